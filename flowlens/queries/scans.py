@@ -132,9 +132,10 @@ def s11(spark, sf):
                                     bl.class_weights(flows, "label_idx"), "minmax")
     sinks.write_json(info, path)
     back = spark.read.schema("feature_count int, label_classes array<string>, scaler_type string, "
-                             "class_weights map<int,double>").json(path)
+                             "class_weights map<string,double>").json(path)
     return back.select("feature_count", F.size("label_classes").alias("n_classes"), "scaler_type",
-                       F.explode("class_weights").alias("label_idx", "weight")).withColumn("weight", F.round("weight", 6))
+                       F.explode("class_weights").alias("label_idx", "weight")).withColumns({
+        "label_idx": F.col("label_idx").cast("int"), "weight": F.round("weight", 6)})
 
 
 @query("s12_processed_read", f"""WITH {S.FLOWS}

@@ -21,6 +21,7 @@ def get_spark(app: str = "flowlens", cores: int | None = None, **conf: str) -> S
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", conf.pop("driver_memory", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

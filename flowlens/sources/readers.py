@@ -55,7 +55,7 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     category is a window over the lines of one signature file.
     """
     lines = (
-        spark.read.option("wholetext", True).text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"),
                 F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw"))
         .withColumn("line", F.trim("raw"))

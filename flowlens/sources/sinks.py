@@ -17,9 +17,9 @@ def read_processed(spark: SparkSession, path: str, split: str | None = None) ->
 
 def preprocessing_info(df: DataFrame, features: list[str], classes: list[str],
                        weights: DataFrame, scaler: str) -> DataFrame:
-    """One row describing a preprocessing run."""
+    """One row describing a preprocessing run; ``weights`` has one row per class."""
     return weights.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label_idx", "weight")))).alias("class_weights")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("label_idx").cast("string"), "weight")))).alias("class_weights")
     ).select(
         F.lit(len(features)).alias("feature_count"),
         F.array(*[F.lit(c) for c in features]).alias("feature_names"),
