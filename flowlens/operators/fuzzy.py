@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens import fixed_values as fv
 from flowlens.functions import membership as mb, numeric as nm, stats as st
+from flowlens.functions.quantile import exact_quantiles
 
 Stats = Column | dict[str, Any]
 
@@ -63,12 +64,18 @@ _QUANTILES = {
 }
 
 
-def quantile_stats(df: DataFrame, approx: bool = False, lazy: bool = True) -> Stats:
-    """Interpolated quantiles; ``approx`` bounds memory on very large inputs."""
-    fn = (lambda c, q: F.percentile_approx(c, q, 10_000)) if approx else (lambda c, q: F.percentile(c, q))
-    aggs = {f"{c}__{int(q * 100)}": fn(c, q).cast("double") for c, qs in _QUANTILES.items() for q in qs
-            if c in df.columns}
-    return st.lazy(df, **aggs) if lazy else st.fit(df, **aggs)
+def _stat_name(c: str, q: float) -> str:
+    return f"{c}__{round(q * 100)}"
+
+
+def quantile_stats(df: DataFrame, approx: bool = False) -> Stats:
+    """Interpolated quantiles: exact ones are fitted in bounded memory, ``approx``
+    ones stay in the plan as one aggregate."""
+    wanted = {c: list(qs) for c, qs in _QUANTILES.items() if c in df.columns}
+    if not approx:
+        return {_stat_name(c, p): v for (c, p), v in exact_quantiles(df, wanted).items()}
+    return st.lazy(df, **{_stat_name(c, p): F.percentile_approx(c, p, 10_000).cast("double")
+                          for c, ps in wanted.items() for p in ps})
 
 
 def quantile_score(df: DataFrame, stats: Stats | None = None) -> DataFrame:
@@ -167,9 +174,10 @@ FUZZY_FEATURES = [
 def fuzzy_summary(df: DataFrame) -> DataFrame:
     """Distribution of ``fuzzy_score``: moments, median, risk counts, count above 0.6."""
     s = F.col("fuzzy_score")
+    median = exact_quantiles(df, {"fuzzy_score": [0.5]})["fuzzy_score", 0.5]
     return df.agg(
         F.avg(s).alias("mean_score"), F.stddev_samp(s).alias("std_score"), F.stddev_pop(s).alias("std_pop_score"),
-        F.min(s).alias("min_score"), F.max(s).alias("max_score"), F.median(s).alias("median_score"),
+        F.min(s).alias("min_score"), F.max(s).alias("max_score"), F.lit(median).alias("median_score"),
         F.count_if(s < 0.2).alias("risk_low"), F.count_if((s >= 0.2) & (s < 0.6)).alias("risk_medium"),
         F.count_if(s >= 0.6).alias("risk_high"), F.count_if(s > 0.6).alias("high_fuzzy"),
     )

@@ -106,10 +106,28 @@ def report_status(alerts: DataFrame, ref_ts: Column, stale_minutes: int = 30) ->
     return one.withColumn("age_minutes", age).withColumn("is_stale", F.col("age_minutes") > stale_minutes)
 
 
-def running_detection_time(alerts: DataFrame, partition: str, order: list[str]) -> DataFrame:
-    """Cumulative mean detection time inside each partition value, in event order."""
-    w = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return alerts.withColumn("running_mean", F.avg("detection_time").over(w))
+def running_detection_time(alerts: DataFrame, key: str, ts: str = "ts", tie: str = "flow_id",
+                           bucket: str = "hour") -> DataFrame:
+    """Cumulative mean detection time per key, in event order.
+
+    Rows are accumulated inside (key, time bucket); sums of earlier buckets come
+    from the small table of bucket totals.  A key that holds a large share of
+    all rows is spread over its buckets.
+    """
+    bucketed = alerts.withColumn("__b", F.date_trunc(bucket, F.col(ts).cast("timestamp")))
+    totals = bucketed.groupBy(key, "__b").agg(
+        F.sum("detection_time").alias("__s"), F.count("detection_time").alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        F.col(key).alias("__k"), F.col("__b").alias("__kb"),
+        F.coalesce(F.sum("__s").over(earlier), F.lit(0.0)).alias("__s0"),
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0"))
+    w = Window.partitionBy(key, "__b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = bucketed.withColumns({
+        "__s1": F.coalesce(F.sum("detection_time").over(w), F.lit(0.0)), "__n1": F.count("detection_time").over(w)})
+    joined = inside.join(before, (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__kb")))
+    mean = F.try_divide(F.col("__s0") + F.col("__s1"), F.col("__n0") + F.col("__n1"))
+    return joined.select(*alerts.columns, mean.alias("running_mean"))
 
 
 def windowed_severity(alerts: DataFrame, length: str = "30 minutes", slide: str = "5 minutes") -> DataFrame:

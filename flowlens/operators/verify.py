@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens import fixed_values as fv
+from flowlens.functions.quantile import exact_quantiles
 from flowlens.functions.numeric import safe_div, wald_margin
 from flowlens.operators.alerts import class_name, is_benign, is_threat, is_valid_alert
 
@@ -106,9 +107,11 @@ def manual_times(verified: DataFrame) -> DataFrame:
 
 def manual_time_stats(verified: DataFrame) -> DataFrame:
     t = F.col("analysis_time")
-    return manual_times(verified).agg(
+    times = manual_times(verified)
+    median = exact_quantiles(times, {"analysis_time": [0.5]})["analysis_time", 0.5]
+    return times.agg(
         F.count(F.lit(1)).alias("total_verified"), F.count(t).alias("samples"),
-        F.median(t).alias("median_time"), F.avg(t).alias("mean_time"), F.min(t).alias("min_time"),
+        F.lit(median).cast("double").alias("median_time"), F.avg(t).alias("mean_time"), F.min(t).alias("min_time"),
         F.max(t).alias("max_time"), F.stddev_pop(t).alias("std_time"))
 
 
