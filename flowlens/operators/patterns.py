@@ -126,26 +126,25 @@ def positions(df: DataFrame, text_col: str, patterns: list[str]) -> DataFrame:
 def gram_matches(df: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
     """``(start, pattern)`` for any number of patterns by an equi-join.
 
-    The shortest pattern length is the gram; each text position contributes one
-    window as long as the longest pattern, joined on its first gram characters.
-    Both lengths come from one aggregate over the pattern table.
+    The shortest pattern length is the gram.  Every text position contributes its
+    gram to a hash join with the pattern prefixes; only joined positions compare
+    the whole pattern.  Both lengths come from one aggregate over the patterns.
     """
     size = patterns.agg(F.min(F.length("pattern")).alias("lo"), F.max(F.length("pattern")).alias("hi"),
                         F.count(F.lit(1)).alias("n")).first()
     lo, hi = size["lo"], size["hi"]
     keep = [c for c in df.columns if c != text_col]
-    chunks = with_chunks(df, text_col, overlap=hi - 1, size=256)
-    at = F.explode(F.sequence(F.lit(0), F.col("chunk_len") - 1))
-    windows = chunks.withColumn("__at", at).select(
-        *keep, (F.col("chunk_start") + F.col("__at")).alias("start"),
-        F.substring(F.col("chunk"), F.col("__at") + 1, F.lit(hi)).alias("__window"))
+    # Short slices: a position inside a slice is found by walking its characters.
+    chunks = with_chunks(df, text_col, overlap=hi - 1, size=64)
+    at = F.explode(F.sequence(F.lit(1), F.col("chunk_len")))
     grams = patterns.select("pattern", F.left("pattern", F.lit(lo)).alias("__gram"))
     grams = F.broadcast(grams) if size["n"] <= BROADCAST_PATTERNS else grams
     return (
-        windows.withColumn("__gram", F.left("__window", F.lit(lo)))
+        chunks.withColumn("__at", at)
+        .withColumn("__gram", F.substring(F.col("chunk"), F.col("__at"), F.lit(lo)))
         .join(grams, "__gram")
-        .filter(F.startswith("__window", F.col("pattern")))
-        .select(*keep, "start", "pattern")
+        .filter(F.substring(F.col("chunk"), F.col("__at"), F.length("pattern")) == F.col("pattern"))
+        .select(*keep, (F.col("chunk_start") + F.col("__at") - 1).alias("start"), "pattern")
     )
 
 

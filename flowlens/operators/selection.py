@@ -15,21 +15,21 @@ from flowlens.functions.lookup import literal_table
 
 
 def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """One-way ANOVA F per feature from counts, sums and sums of squares per class."""
+    """One-way ANOVA F per feature from count, mean and variance per class."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for f in features:
         x = F.col(f).cast("double")
-        aggs += [F.sum(x).alias(f"{f}__s"), F.sum(x * x).alias(f"{f}__q")]
+        aggs += [F.avg(x).alias(f"{f}__m"), F.var_pop(x).alias(f"{f}__v")]
     per_class = df.groupBy(label).agg(*aggs)
     long = per_class.select("n", F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"{f}__s").alias("s"), F.col(f"{f}__q").alias("q"))
+        F.struct(F.lit(f).alias("feature"), F.col(f"{f}__m").alias("m"), F.col(f"{f}__v").alias("v"))
         for f in features])))
-    n, s, q = F.sum("n"), F.sum("s"), F.sum("q")
-    between = F.sum(F.col("s") * F.col("s") / F.col("n")) - s * s / n
-    within = q - F.sum(F.col("s") * F.col("s") / F.col("n"))
-    k = F.count(F.lit(1))
-    f_value = F.try_divide(between / (k - 1), within / (n - k))
-    return long.groupBy("feature").agg(f_value.alias("f_score"))
+    w = Window.partitionBy("feature")  # one row per class
+    centred = long.withColumn("d", F.col("m") - F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w))
+    n, k = F.sum("n"), F.count(F.lit(1))
+    between = F.sum(F.col("n") * F.col("d") * F.col("d")) / (k - 1)
+    within = F.sum(F.col("n") * F.col("v")) / (n - k)
+    return centred.groupBy("feature").agg(F.try_divide(between, within).alias("f_score"))
 
 
 def correlations(df: DataFrame, features: list[str], label: str) -> DataFrame:

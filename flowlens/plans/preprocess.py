@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.operators import balance as bl, clean as cl, encode as en, features as ft, sampling as sp, scaling as sc
+from flowlens.session import materialize
 from flowlens.sources import artifacts as ar, sinks
 from flowlens.sources.schema import numeric_columns, string_columns, with_ips, with_label
 
@@ -35,27 +36,30 @@ class Preprocessed:
 def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Preprocessed:
     """Clean, encode, derive, split, scale.
 
-    Statistics are fitted rows; the flow table is scanned lazily and shuffled
-    for duplicate removal and resampling only.
+    The cleaned rows and the derived rows are written once each: later passes
+    (statistics, dictionaries, scaler fit) read the table instead of repeating
+    the duplicate removal, and the logical plan of a pass stays small.
     """
     df = with_ips(with_label(raw, cfg.label))
     if cfg.sample_size is not None:
         df = sp.sample_exact(df, cfg.key, cfg.sample_size, cfg.seed)
-    df = en.encode_labels(cl.clean(df), cfg.label)
+    df = materialize(cl.clean(df), "clean")
     feature_stats = ft.feature_stats(df)
-    df = ft.engineer(df, feature_stats)
+    df = en.encode_labels(df, cfg.label)
     if "protocol" in df.columns:
         df = en.encode_column(df, "protocol", "protocol_encoded")
     meta = ("flow_id", "src_ip", "dst_ip", "ts", cfg.label)
     strings = string_columns(df, meta)
     if strings:
         df = en.encode_categoricals(df, en.plan_categoricals(df, strings))
+    df = ft.engineer(df, feature_stats)
     booleans = [f.name for f in df.schema.fields if f.dataType.simpleString() == "boolean"]
     df = df.withColumns({c: F.col(c).cast("int") for c in booleans}) if booleans else df
+    df = materialize(sp.split_hash(df, cfg.key, cfg.test_fraction, cfg.seed), "derived")
     columns = numeric_columns(df, ("label_idx", "src_port", "dst_port"))
+    df = cl.nullify_non_finite(df)
     if not cfg.impute:
-        df = cl.nullify_non_finite(df).na.fill(0, subset=columns)
-    df = sp.split_hash(df, cfg.key, cfg.test_fraction, cfg.seed)
+        df = df.na.fill(0, subset=columns)
     fit_rows = df if cfg.fit_on == "all" else df.filter("split = 'train'")
     scaler = sc.fit_scaler(fit_rows, columns, impute=cfg.impute)
     scaled = sc.scale(df, columns, scaler, cfg.scaler, impute=cfg.impute)

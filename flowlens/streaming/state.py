@@ -14,22 +14,27 @@ STATE = "verified_us long, is_threat int, analysis_time double"
 _NONE = -1  # withdrawn verdict in the state row
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the newest event of the key; emit it when it replaces the stored one."""
-    old = state.get if state.exists else None
-    best = old
-    for pdf in batches:
-        order = pdf.sort_values(["verified_us", "is_threat", "analysis_time"]).iloc[-1]
-        candidate = (int(order["verified_us"]), int(order["is_threat"]), float(order["analysis_time"]))
-        if best is None or candidate > tuple(best):
-            best = candidate
-    if best is None or (old is not None and tuple(old) == tuple(best)):
-        return
-    state.update(best)
-    yield pd.DataFrame({
-        "flow_id": [key[0]], "verified_at": pd.to_datetime([best[0]], unit="us"),
-        "is_threat": pd.array([None if best[1] == _NONE else bool(best[1])], dtype="boolean"),
-        "analysis_time": [best[2]]})
+def _updater():
+    """The update function; built here so that it travels to executors by value."""
+    none = _NONE
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Keep the newest event of the key; emit it when it replaces the stored one."""
+        old = tuple(state.get) if state.exists else None
+        best = old
+        for pdf in batches:
+            last = pdf.sort_values(["verified_us", "is_threat", "analysis_time"]).iloc[-1]
+            candidate = (int(last["verified_us"]), int(last["is_threat"]), float(last["analysis_time"]))
+            best = candidate if best is None else max(best, candidate)
+        if best is None or best == old:
+            return
+        state.update(best)
+        yield pd.DataFrame({
+            "flow_id": [key[0]], "verified_at": pd.to_datetime([best[0]], unit="us"),
+            "is_threat": pd.array([None if best[1] == none else bool(best[1])], dtype="boolean"),
+            "analysis_time": [best[2]]})
+
+    return update
 
 
 def verdict_updates(events: DataFrame) -> DataFrame:
@@ -42,4 +47,4 @@ def verdict_updates(events: DataFrame) -> DataFrame:
         F.coalesce(F.col("is_threat").cast("int"), F.lit(_NONE)).alias("is_threat"),
         F.coalesce(F.col("analysis_time"), F.lit(-1.0)).alias("analysis_time"))
     return slim.groupBy("flow_id").applyInPandasWithState(
-        _update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+        _updater(), OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
