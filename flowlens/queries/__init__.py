@@ -26,5 +26,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from flowlens.queries import (  # noqa: F401
-        aggregates, alerting, features, patterns, rules, sampling, scans, selection, verification,
+        aggregates, alerting, features, learning, patterns, rules, sampling, scans, selection, streams, verification,
     )
