@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens.functions.keys import hash_bucket, hash_uniform, key_hash
 from flowlens.functions.numeric import as_col
 from flowlens.operators.sampling import numbered
+from flowlens.session import materialize
 
 DRAWS_PER_TASK = 100_000
 
@@ -26,7 +27,12 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
-    weights = class_weights(df, label).select(F.col(label).alias("__l"), F.col("weight").alias(out))
+    """Weight of each row's class.
+
+    The per-class table is written first: its size is then known, and the join
+    never shuffles the rows by label unless there are very many classes.
+    """
+    weights = materialize(class_weights(df, label).select(F.col(label).alias("__l"), F.col("weight").alias(out)), "weights")
     return df.join(weights, F.col(label).eqNullSafe(F.col("__l")), "left").drop("__l")
 
 
@@ -73,9 +79,9 @@ TARGETS = {"minority": minority_target, "median": median_target, "tiered": tiere
 
 
 def targets(df: DataFrame, label: str, policy: str) -> DataFrame:
-    """``(label, n, target)``; a NULL target leaves the class as it is."""
+    """``(label, n, target)``, written once; a NULL target leaves the class as it is."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("target", TARGETS[policy](counts).cast("bigint"))
+    return materialize(counts.withColumn("target", TARGETS[policy](counts).cast("bigint")), "targets")
 
 
 def draws(plan: DataFrame, label: str, seed: int) -> DataFrame:

@@ -23,6 +23,7 @@ from flowlens.functions.keys import hash_bucket, key_hash
 from flowlens.functions.numeric import as_col
 from flowlens.operators.balance import with_class_weight
 from flowlens.operators.fuzzy import override_prediction
+from flowlens.session import materialize
 
 MAX_DEPTH = 30  # upper bound of Spark's tree learner
 
@@ -134,10 +135,10 @@ def fuzzy_forest_predict(model: PipelineModel, df: DataFrame, cfg: TrainConfig,
 
 # --- support vector machines ------------------------------------------------------
 def linear_svm(df: DataFrame, cfg: TrainConfig, reg: float = 0.01, iterations: int = 50,
-               features: str | None = None) -> PipelineModel:
+               parallelism: int = 4) -> PipelineModel:
     """Scaled one-vs-rest hinge-loss SVM."""
     svc = LinearSVC(regParam=reg, maxIter=iterations, standardization=False)
-    ovr = OneVsRest(classifier=svc, labelCol=cfg.label, featuresCol="scaled")
+    ovr = OneVsRest(classifier=svc, labelCol=cfg.label, featuresCol="scaled", parallelism=parallelism)
     stages = [assembler(cfg), StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
               _weighted(ovr, cfg)]
     return Pipeline(stages=stages).fit(prepare(df, cfg))
@@ -188,9 +189,10 @@ def weighted_f1(cfg: TrainConfig) -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol=cfg.label, metricName="f1")
 
 
-def grid_search(df: DataFrame, cfg: TrainConfig, fold: str, regs: list[float], parallelism: int = 4):
+def grid_search(df: DataFrame, cfg: TrainConfig, fold: str, regs: list[float], parallelism: int = 4,
+                iterations: int = 20):
     """Grid search of the linear SVM by weighted F1 over given folds."""
-    svc = LinearSVC(maxIter=20, standardization=False)
+    svc = LinearSVC(maxIter=iterations, standardization=False)
     ovr = OneVsRest(classifier=svc, labelCol=cfg.label, featuresCol="scaled")
     pipe = Pipeline(stages=[assembler(cfg), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), ovr])
     grid = ParamGridBuilder().addGrid(ovr.classifier, [svc.copy({svc.regParam: r}) for r in regs]).build()
@@ -200,7 +202,7 @@ def grid_search(df: DataFrame, cfg: TrainConfig, fold: str, regs: list[float], p
     slim = df.select(F.col(cfg.label).cast("double").alias(cfg.label), fold,
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cfg.features])
     fitted = cv.fit(slim)
-    return fitted, list(zip(regs, fitted.avgMetrics))
+    return fitted, [(r, float(m)) for r, m in zip(regs, fitted.avgMetrics)]
 
 
 def out_of_fold(df: DataFrame, cfg: TrainConfig, fold: str, fit, out: str, folds: int = 3) -> DataFrame:
@@ -213,14 +215,14 @@ def out_of_fold(df: DataFrame, cfg: TrainConfig, fold: str, fit, out: str, folds
 
 
 def stack(df: DataFrame, cfg: TrainConfig, fold: str, learners: dict[str, Any], n_classes: int,
-          folds: int = 3) -> tuple[PipelineModel, dict[str, PipelineModel], TrainConfig]:
+          folds: int = 3, iterations: int = 50) -> tuple[PipelineModel, dict[str, PipelineModel], TrainConfig]:
     """Logistic regression over out-of-fold class probabilities of the learners."""
     staged = df
     for name, fit in learners.items():
         staged = out_of_fold(staged, cfg, fold, fit, f"p_{name}", folds)
-    meta, names = probability_columns(staged, list(learners), n_classes)
+    meta, names = probability_columns(materialize(staged, "out-of-fold"), list(learners), n_classes)
     meta_cfg = TrainConfig(features=tuple(names), label=cfg.label, weight=cfg.weight, seed=cfg.seed)
-    lr = LogisticRegression(labelCol=cfg.label, maxIter=50, regParam=0.001)
+    lr = LogisticRegression(labelCol=cfg.label, maxIter=iterations, regParam=0.001)
     top = Pipeline(stages=[assembler(meta_cfg), _weighted(lr, meta_cfg)]).fit(prepare(meta, meta_cfg))
     return top, {name: fit(df, cfg) for name, fit in learners.items()}, meta_cfg
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.keys import hash_bucket, hash_uniform, key_hash
 from flowlens.functions.numeric import as_col
+from flowlens.session import materialize
 
 BUCKET_DIGITS = 4
 _GROUP, _HASH, _BUCKET, _QUOTA = "__group", "__hash", "__bucket", "__quota"
@@ -38,7 +39,8 @@ def _bucket_counts(hashed: DataFrame) -> DataFrame:
 def _take(df: DataFrame, hashed: DataFrame, cuts: DataFrame) -> DataFrame:
     """Rows below each group's cut bucket plus the ranked head of that bucket.
 
-    ``cuts`` has one row per group; Spark broadcasts it when its size allows.
+    ``cuts`` is a written table with one row per group, so its true size is
+    known: Spark broadcasts it below its threshold and shuffles beyond.
     """
     joined = hashed.join(cuts, _GROUP)
     whole = joined.filter(F.col(_BUCKET) < F.col("__cut"))
@@ -49,10 +51,11 @@ def _take(df: DataFrame, hashed: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def _cuts(counts: DataFrame, quota: Column) -> DataFrame:
-    """(group, cut bucket, rows still missing at its start)."""
+    """(group, cut bucket, rows still missing at its start); written once."""
     q = counts.withColumn(_QUOTA, F.least(F.greatest(quota.cast("bigint"), F.lit(0)), F.col("__size")))
     last = q.filter((F.col("__before") < F.col(_QUOTA)) & (F.col("__upto") >= F.col(_QUOTA)))
-    return last.select(_GROUP, F.col(_BUCKET).alias("__cut"), (F.col(_QUOTA) - F.col("__before")).alias("__left"))
+    return materialize(
+        last.select(_GROUP, F.col(_BUCKET).alias("__cut"), (F.col(_QUOTA) - F.col("__before")).alias("__left")), "cuts")
 
 
 def sample_exact(df: DataFrame, key: str | Column, n: int, seed: int = 42) -> DataFrame:
@@ -109,8 +112,8 @@ def split_exact(df: DataFrame, key: str | Column, label: str | None, test_fracti
     cuts = _cuts(_bucket_counts(hashed), quota)
     edge = hashed.select(_GROUP, _BUCKET, _HASH).join(cuts, _GROUP).filter(F.col(_BUCKET) == F.col("__cut"))
     rank = F.row_number().over(Window.partitionBy(_GROUP).orderBy(_HASH))
-    limit = edge.withColumn("__r", rank).filter(F.col("__r") == F.col("__left")).select(
-        _GROUP, F.col(_HASH).alias("__limit"))
+    limit = materialize(edge.withColumn("__r", rank).filter(F.col("__r") == F.col("__left")).select(
+        _GROUP, F.col(_HASH).alias("__limit")), "limits")
     return (
         hashed.join(limit, _GROUP, "left")
         .withColumn("split", F.when(F.col(_HASH) <= F.col("__limit"), "test").otherwise("train"))

@@ -143,7 +143,7 @@ def e12(spark, sf):
     return df.select("flow_id", ft.numbers_text(df, _SC).alias("text"))
 
 
-@query("e13_preprocessing_pipeline")
+@query("e13_preprocessing")
 def e13(spark, sf):
     """Whole pipeline; one row per (split, class) with the range of the scaled features."""
     from flowlens.operators.alerts import class_name

@@ -20,7 +20,7 @@ from flowlens.sources import artifacts as ar, readers, sinks, tables as tb
 
 N = len(fv.CLASSES)
 CFG = md.TrainConfig(features=tuple(FEATURES))
-SMALL = tr.Sizes(trees=5, depth=6, tree_depth=6, svm_iterations=5)
+SMALL = tr.Sizes(trees=5, depth=6, tree_depth=6, svm_iterations=3)
 
 
 def split_flows(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +72,7 @@ def m08(spark, sf):
 @query("m09_linear_svm")
 def m09(spark, sf):
     train, test = split_flows(spark, sf)
-    scored = md.score(md.linear_svm(train, CFG, iterations=5), test, CFG, "pred", keep_raw="raw")
+    scored = md.score(md.linear_svm(train, CFG, iterations=3), test, CFG, "pred", keep_raw="raw")
     conf = md.confidence(decision=F.col("raw"))
     return scored.groupBy("label_idx").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label_idx")).alias("correct"),
                                            F.avg(conf).alias("mean_confidence"))
@@ -84,9 +84,9 @@ def m10(spark, sf):
     from flowlens.operators import scaling as sc
 
     stats = sc.fit_scaler(train, FEATURES)
-    parts = [md.with_fourier_features(sc.scale(d, FEATURES, stats, "standard"), FEATURES, n_out=16) for d in (train, test)]
+    parts = [md.with_fourier_features(sc.scale(d, FEATURES, stats, "standard"), FEATURES, n_out=8) for d in (train, test)]
     cfg = md.TrainConfig(features=tuple(parts[0][1]))
-    return by_class(md.score(md.linear_svm(parts[0][0], cfg, iterations=5), parts[1][0], cfg, "pred"), "pred")
+    return by_class(md.score(md.linear_svm(parts[0][0], cfg, iterations=3), parts[1][0], cfg, "pred"), "pred")
 
 
 @query("m11_grid_search")
@@ -94,7 +94,7 @@ def m11(spark, sf):
     train, _ = split_flows(spark, sf)
     cfg = md.TrainConfig(features=tuple(FEATURES[:5]), weight=None)
     two = train.withColumn("label_idx", al.is_threat(F.col("label_idx")).cast("int"))
-    _, scores = md.grid_search(md.with_fold(two, "flow_id"), cfg, "fold", [0.01, 1.0])
+    _, scores = md.grid_search(md.with_fold(two, "flow_id"), cfg, "fold", [0.01, 1.0], iterations=3)
     return spark.createDataFrame(scores, "reg double, weighted_f1 double")
 
 
@@ -156,7 +156,7 @@ def m13(spark, sf):
     train, test = split_flows(spark, sf)
     cfg = md.TrainConfig(features=tuple(FEATURES[:6]))
     learners = {"rf": lambda d, c: md.random_forest(d, c, trees=3, depth=5), "dt": lambda d, c: md.entropy_tree(d, c, depth=5)}
-    top, base, meta = md.stack(md.with_fold(train, "flow_id"), cfg, "fold", learners, N)
+    top, base, meta = md.stack(md.with_fold(train, "flow_id"), cfg, "fold", learners, N, iterations=10)
     return by_class(md.score_stack(top, base, meta, test, cfg, N, "pred"), "pred")
 
 

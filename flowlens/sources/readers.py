@@ -33,12 +33,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines; a line that is not valid JSON lands in ``_corrupt_record``."""
     with_bad = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    return (
-        spark.read.schema(with_bad)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return spark.read.text(path).select(F.from_json("value", with_bad, options).alias("r")).select("r.*")
 
 
 def read_detection_log(spark: SparkSession, path: str) -> DataFrame:
