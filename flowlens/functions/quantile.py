@@ -3,7 +3,7 @@
 ``percentile`` and ``median`` keep every distinct value of a group in one
 buffer.  Here each pass counts values in equal-width buckets of the bracket
 that still holds a wanted rank, so tasks and driver see bucket counts only.
-Brackets shrink about a thousandfold per pass; what is left is read once it is
+Brackets shrink some thousandfold per pass; what is left is read once it is
 small.
 """
 
@@ -14,8 +14,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-BUCKETS = 1000
-SMALL = 100_000
+BUCKETS = 4096
+SMALL = 10_000
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int = SMALL,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 
 def lazy(df: DataFrame, **aggs: Column) -> Column:
@@ -39,3 +39,11 @@ def moments(columns: list[str]) -> dict[str, Column]:
         out[f"{c}__min"] = F.min(c)
         out[f"{c}__max"] = F.max(c)
     return out
+
+
+def over_all(c: Column) -> Column:
+    """An aggregate over all rows of an already aggregated, small table.
+
+    Unlike a scalar subquery it does not read the source a second time.
+    """
+    return c.over(Window.partitionBy(F.lit(0)))

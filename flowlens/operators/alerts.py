@@ -154,20 +154,25 @@ def key_features(df: DataFrame, least: int = 5, most: int = 10) -> Column:
 
 
 def enrich(df: DataFrame, predictions: dict[str, str] = PREDICTION_COLUMNS) -> DataFrame:
-    """Alert columns for scored flows: a single projection over the scored table."""
-    label = class_name(F.col("label_idx"))
+    """Alert columns for scored flows: a single projection over the scored table.
+
+    Counts and names come from comparisons, not from the model array, so filters
+    and reports on them stay in generated code when Catalyst inlines them.
+    """
+    agrees = {m: F.col(c) == F.col("label_idx") for m, c in predictions.items()}
+    n = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(False)).cast("int") for t in agrees.values()])
+    names = F.concat_ws(",", *[F.when(t, F.lit(m)) for m, t in agrees.items()])
     base = df.withColumns({
-        "attack_type": label,
+        "attack_type": class_name(F.col("label_idx")),
         "detection_models": agreeing_models(F.col("label_idx"), predictions),
+        "n_agreeing": n,
+        "model_used": F.when(n > 0, names).otherwise("Unknown"),
         "threat_votes": threat_votes(predictions),
     })
-    n = F.size("detection_models")
     return base.withColumns({
         "attack_label": F.col("attack_type"),
-        "n_agreeing": n,
-        "model_used": F.when(n > 0, F.array_join("detection_models", ",")).otherwise("Unknown"),
         "ensemble": majority(F.col("threat_votes")),
-        "severity": adjusted_severity(F.col("attack_type"), n),
+        "severity": adjusted_severity(F.col("attack_type"), F.col("n_agreeing")),
         "true_is_threat": F.col("attack_type") != fv.BENIGN,
     }).withColumn("risk_analysis", risk_narrative(F.col("attack_type"), F.col("severity"), F.col("n_agreeing")))
 
@@ -290,11 +295,12 @@ def anomaly_codes(df: DataFrame) -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(code)) for code, (t, _) in anomaly_tests(df).items()]))
 
 
-def top_features(features: Column, k: int = 3) -> Column:
-    """Names of the k largest features by absolute value (above 0.001), largest first."""
-    entries = F.filter(F.map_entries(features), lambda e: F.abs(e["value"]) > 0.001)
-    keyed = F.transform(entries, lambda e: F.struct((-F.abs(e["value"])).alias("k"), e["key"].alias("name")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda e: e["name"])
+def top_features(df: DataFrame, k: int = 3) -> Column:
+    """Names of the k largest analyst features by absolute value (above 0.001), largest first."""
+    found = {name: F.abs(F.col(c).try_cast("double")) for name, c in fv.KEY_FEATURES.items() if c in df.columns}
+    keyed = F.array_compact(F.array(*[
+        F.when(v > 0.001, F.struct((-v).alias("k"), F.lit(name).alias("name"))) for name, v in found.items()]))
+    return F.slice(F.sort_array(keyed), 1, k)["name"]
 
 
 def anomaly_reasons(df: DataFrame, attack: Column) -> Column:
@@ -302,7 +308,7 @@ def anomaly_reasons(df: DataFrame, attack: Column) -> Column:
     found = F.array_compact(F.array(*[F.when(t, text) for t, text in anomaly_tests(df).values()]))
     low = F.lower(attack)
     has = lambda *ks: reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in ks])
-    first = F.get(top_features(key_features(df)), F.lit(0))
+    first = F.get(top_features(df), F.lit(0))
     fallback = (
         F.when(low == "benign", "Normal balanced traffic")
         .when(has("hoax"), "False positive - benign pattern")

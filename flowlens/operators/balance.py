@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.keys import hash_bucket, hash_uniform, key_hash
 from flowlens.functions.numeric import as_col
+from flowlens.functions.stats import over_all
 from flowlens.operators.sampling import numbered
 from flowlens.session import materialize
 
@@ -13,17 +14,16 @@ DRAWS_PER_TASK = 100_000
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
-    """``(label, n, pct)``; the total is a scalar over the counts, not the rows."""
+    """``(label, n, pct)``."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.struct(F.sum("n").alias("t")).alias("s")).scalar()["t"]
-    return counts.withColumn("pct", F.col("n") * 100.0 / total)
+    return counts.withColumn("pct", F.col("n") * 100.0 / over_all(F.sum("n")))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights N / (K * n_c)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    s = counts.agg(F.struct(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")).alias("s")).scalar()
-    return counts.withColumn("weight", s["t"].cast("double") / (s["k"] * F.col("n")))
+    total, k = over_all(F.sum("n")), over_all(F.count(F.lit(1)))
+    return counts.withColumn("weight", total.cast("double") / (k * F.col("n")))
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
@@ -50,28 +50,26 @@ def imbalance(df: DataFrame, label: str) -> DataFrame:
     })
 
 
-def minority_target(counts: DataFrame) -> Column:
+def minority_target() -> Column:
     """Upsample target max(20% of the largest class, 100); larger classes stay as they are."""
-    m = counts.agg(F.struct(F.max("n").alias("m"), F.min("n").alias("l")).alias("s")).scalar()
-    target = F.greatest(F.floor(m["m"] * F.lit(0.2)), F.lit(100))
-    needed = F.try_divide(m["m"], m["l"]) > 5
-    return F.when(needed & (F.col("n") < target), target)
+    largest, smallest = over_all(F.max("n")), over_all(F.min("n"))
+    target = F.greatest(F.floor(largest * F.lit(0.2)), F.lit(100))
+    return F.when((F.try_divide(largest, smallest) > 5) & (F.col("n") < target), target)
 
 
-def median_target(counts: DataFrame) -> Column:
+def median_target() -> Column:
     """Every class to the median class size unless already balanced."""
-    s = counts.agg(F.struct(F.median("n").alias("m"), (F.min("n") / F.max("n")).alias("b")).alias("s")).scalar()
-    return F.when(s["b"] <= 0.9, F.floor(s["m"]))
+    return F.when(over_all(F.min("n")) / over_all(F.max("n")) <= 0.9, F.floor(over_all(F.median("n"))))
 
 
-def tiered_target(counts: DataFrame) -> Column:
+def tiered_target() -> Column:
     """Target size by severity of the imbalance; none at a ratio of 2 or less."""
-    s = counts.agg(F.struct(F.max("n").alias("hi"), F.min("n").alias("lo")).alias("s")).scalar()
-    ratio = F.try_divide(s["hi"], s["lo"])
+    hi, lo = over_all(F.max("n")), over_all(F.min("n"))
+    ratio = F.try_divide(hi, lo)
     return (
-        F.when(ratio > 10, F.floor(s["lo"] * F.lit(1.5)))
-        .when(ratio > 5, F.floor(s["lo"] * F.lit(1.2)))
-        .when(ratio > 2, F.floor((s["hi"] + s["lo"]) / 2))
+        F.when(ratio > 10, F.floor(lo * F.lit(1.5)))
+        .when(ratio > 5, F.floor(lo * F.lit(1.2)))
+        .when(ratio > 2, F.floor((hi + lo) / 2))
     )
 
 
@@ -81,7 +79,7 @@ TARGETS = {"minority": minority_target, "median": median_target, "tiered": tiere
 def targets(df: DataFrame, label: str, policy: str) -> DataFrame:
     """``(label, n, target)``, written once; a NULL target leaves the class as it is."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return materialize(counts.withColumn("target", TARGETS[policy](counts).cast("bigint")), "targets")
+    return materialize(counts.withColumn("target", TARGETS[policy]().cast("bigint")), "targets")
 
 
 def draws(plan: DataFrame, label: str, seed: int) -> DataFrame:
@@ -113,11 +111,11 @@ def resample(df: DataFrame, key: str | Column, label: str, policy: str = "minori
     plan = targets(df, label, policy)
     drawn = draws(plan, label, seed).select(
         F.col(label).alias("__l"), F.col("row_idx").alias("__i"), "copies")
-    rows = numbered(df, key, label, seed)
     resized = plan.select(F.col(label).alias("__pl"), "target")
-    kept = rows.join(resized, F.col(label) == F.col("__pl")).drop("__pl")
-    hit = kept.filter("target is not null").join(
-        drawn, (F.col(label) == F.col("__l")) & (F.col("row_idx") == F.col("__i")))
+    kept = df.join(resized, F.col(label) == F.col("__pl")).drop("__pl")
+    # Classes without a target pass through a filter; only the others are numbered.
+    rows = numbered(kept.filter("target is not null"), key, label, seed)
+    hit = rows.join(drawn, (F.col(label) == F.col("__l")) & (F.col("row_idx") == F.col("__i")))
     same = kept.filter("target is null").withColumn("copies", F.lit(1).cast("bigint"))
     return hit.select(*df.columns, "copies").unionByName(same.select(*df.columns, "copies"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowlens.functions.stats import over_all
 from flowlens.functions.text import occurrences, quote, with_chunks
 
 WIDE_LIMIT = 150
@@ -155,8 +156,8 @@ def pattern_statistics(df: DataFrame, text_col: str, patterns: list[str]) -> Dat
         for p in patterns])
     per_pattern = df.select(F.inline(listed)).groupBy("pattern").agg(
         F.sum("n").alias("total_matches"), F.count_if(F.col("n") > 0).alias("texts_hit"))
-    total = per_pattern.agg(F.struct(F.sum("total_matches").alias("t")).alias("s")).scalar()["t"]
-    return per_pattern.withColumn("share", F.coalesce(F.try_divide("total_matches", total), F.lit(0.0)))
+    share = F.try_divide(F.col("total_matches"), over_all(F.sum("total_matches")))
+    return per_pattern.withColumn("share", F.coalesce(share, F.lit(0.0)))
 
 
 def pattern_scores(df: DataFrame, text_col: str, patterns: list[str], flags: bool = True,

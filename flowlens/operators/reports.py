@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.numeric import safe_div
+from flowlens.functions.stats import over_all
 from flowlens.operators.alerts import is_benign, is_valid_alert, model_tokens, recent
 from flowlens.operators.severity import report_action_table
 
@@ -33,12 +34,11 @@ def risk_report(alerts: DataFrame, ref_ts: Column | None = None, minutes: int =
     entry = F.struct("rank", "attack_type", "n")
     tops = top_attacks(counts).groupBy("severity").agg(F.array_sort(F.collect_list(entry)).alias("top"))
     sums = counts.groupBy("severity").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.struct(F.sum("n").alias("t")).alias("s")).scalar()["t"]
     text = F.transform("top", lambda e: F.concat(e["attack_type"], F.lit(" ("), e["n"].cast("string"), F.lit(")")))
     dim = report_action_table(alerts.sparkSession)
     n = F.coalesce("n", F.lit(0).cast("bigint"))
     return dim.join(sums, "severity", "left").join(tops, "severity", "left").select(
-        "severity", n.alias("n"), safe_div(n * 100.0, F.coalesce(total, F.lit(0))).alias("percentage"),
+        "severity", n.alias("n"), safe_div(n * 100.0, over_all(F.sum(n))).alias("percentage"),
         F.coalesce(F.array_join(text, "; "), F.lit("")).alias("top_attacks"), "action", "description", "timeframe")
 
 
@@ -53,8 +53,7 @@ def attack_frequency(alerts: DataFrame) -> DataFrame:
     sev = lambda s: F.count_if(F.col("severity") == s)
     counts = alerts.filter(is_valid_alert() & ~is_benign()).groupBy("attack_type").agg(
         F.count(F.lit(1)).alias("n"), sev("High").alias("high"), sev("Medium").alias("medium"), sev("Low").alias("low"))
-    total = counts.agg(F.struct(F.sum("n").alias("t")).alias("s")).scalar()["t"]
-    return counts.withColumn("percentage", safe_div(F.col("n") * 100.0, total)).orderBy(F.desc("n"), "attack_type")
+    return counts.withColumn("percentage", safe_div(F.col("n") * 100.0, over_all(F.sum("n")))).orderBy(F.desc("n"), "attack_type")
 
 
 def attack_frequency_summary(frequency: DataFrame) -> DataFrame:

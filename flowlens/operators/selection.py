@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens import fixed_values as fv
 from flowlens.functions.lookup import literal_table
+from flowlens.session import materialize
 
 
 def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -54,21 +55,30 @@ def equal_width_edges(df: DataFrame, features: list[str], bins: int) -> dict[str
             for f in features}
 
 
+def _edges_below(x: Column, edges: list[float], offset: int = 0) -> Column:
+    """Number of sorted edges below ``x`` as a balanced CASE: log2(edges) comparisons per row."""
+    if not edges:
+        return F.lit(offset)
+    mid = len(edges) // 2
+    return F.when(x > F.lit(float(edges[mid])), _edges_below(x, edges[mid + 1:], offset + mid + 1)).otherwise(
+        _edges_below(x, edges[:mid], offset))
+
+
 def binned_counts(df: DataFrame, edges: dict[str, list[float]], label: str) -> DataFrame:
     """``(feature, bin, label, n)``: contingency of every feature in one pass.
 
-    ``bin`` is the number of edges below the value.  Rows become one row per
-    feature inside the task; the partial aggregate shrinks them to bins x
-    classes before the shuffle.
+    ``bin`` is the number of edges below the value.  All bins of a row are
+    packed into small integer codes; the partial aggregate shrinks them to
+    bins x classes before the shuffle.
     """
-    def bin_of(f: str) -> Column:
-        x = F.col(f).cast("double")
-        below = F.filter(F.array(*[F.lit(float(e)) for e in edges[f]]), lambda e: x > e)
-        return F.size(below) if edges[f] else F.lit(0)
-
-    entries = [F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in edges]
-    return df.select(F.col(label).alias("label"), F.inline(F.array(*entries))).groupBy(
-        "feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
+    names = list(edges)
+    width = max(len(e) for e in edges.values()) + 1
+    codes = [F.lit(i * width) + F.coalesce(_edges_below(F.col(f).cast("double"), edges[f]), F.lit(0))
+             for i, f in enumerate(names)]
+    counts = df.select(F.col(label).alias("label"), F.explode(F.array(*codes)).alias("__code")).groupBy(
+        "__code", "label").agg(F.count(F.lit(1)).alias("n"))
+    name = F.get(F.array(*[F.lit(n) for n in names]), F.floor(F.col("__code") / width).cast("int"))
+    return counts.select(name.alias("feature"), (F.col("__code") % width).alias("bin"), "label", "n")
 
 
 def mutual_information(counts: DataFrame) -> DataFrame:
@@ -83,8 +93,11 @@ def mutual_information(counts: DataFrame) -> DataFrame:
 def split_table(counts: DataFrame) -> DataFrame:
     """``(feature, cut, label, n_left, n_right)`` for the split bin <= cut.
 
-    The cumulative sums run over bins of one (feature, label): a few rows.
+    The contingency table (features x bins x classes rows) is written once, so
+    the flows are scanned once; the cumulative sums run over the bins of one
+    (feature, label).
     """
+    counts = materialize(counts, "bins")
     bins = counts.select("feature", "bin").distinct()
     labels = counts.select("feature", "label").distinct()
     grid = bins.join(labels, "feature")  # bins x classes of one feature

@@ -117,7 +117,7 @@ def manual_time_stats(verified: DataFrame) -> DataFrame:
 
 def counted_detections(alerts: DataFrame) -> DataFrame:
     """Detected, non-benign alerts: the ones whose detection time counts."""
-    return alerts.filter((F.size("detection_models") > 0) & ~is_benign())
+    return alerts.filter((F.col("n_agreeing") > 0) & ~is_benign())
 
 
 def automated_time(alerts: DataFrame) -> DataFrame:

@@ -384,7 +384,7 @@ r AS (SELECT rid, flow_id, f.name AS name, row_number() OVER (PARTITION BY rid O
 SELECT top, count(*) AS n FROM (SELECT rid, string_agg(name, '|' ORDER BY rn) AS top FROM r WHERE rn <= 3 GROUP BY 1) GROUP BY 1""")
 def w11(spark, sf):
     flows = tb.flows(spark, sf)
-    return flows.select(F.array_join(al.top_features(al.key_features(flows)), "|").alias("top")).groupBy("top").agg(
+    return flows.select(F.array_join(al.top_features(flows), "|").alias("top")).groupBy("top").agg(
         F.count("*").alias("n"))
 
 

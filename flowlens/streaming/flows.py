@@ -51,7 +51,7 @@ def frequency_windows(df: DataFrame, length: str = "1 hour") -> DataFrame:
 
 def detection_time_totals(df: DataFrame, by: list[str]) -> DataFrame:
     """Running mean of detection time per key as sum and count, for update mode."""
-    counted = df.filter((F.size("detection_models") > 0) & ~al.is_benign())
+    counted = df.filter((F.col("n_agreeing") > 0) & ~al.is_benign())
     return counted.groupBy(*by).agg(
         F.sum("detection_time").alias("total_time"), F.count("detection_time").alias("n"),
         F.avg("detection_time").alias("running_mean"))
