@@ -107,11 +107,11 @@ class CategoricalPlan:
 
 
 def profile_categoricals(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, max_length, distinct_values)`` from one aggregate."""
+    """``(column, max_length, distinct_values)`` from one pass of lengths and sketches."""
     aggs = []
     for c in columns:
         aggs += [F.max(F.length(c)).cast("bigint").alias(f"{c}__len"),
-                 F.count_distinct(F.coalesce(F.col(c), F.lit(NA))).alias(f"{c}__n")]
+                 F.approx_count_distinct(F.coalesce(F.col(c), F.lit(NA)), 0.02).alias(f"{c}__n")]
     items = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__len").alias("max_length"),
                       F.col(f"{c}__n").alias("distinct_values")) for c in columns]
     return df.agg(*aggs).select(F.inline(F.array(*items)))
@@ -119,10 +119,18 @@ def profile_categoricals(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def plan_categoricals(df: DataFrame, columns: list[str], max_distinct: int = 100,
                       hash_length: int = 20) -> CategoricalPlan:
-    """Hash-like (long) or low-cardinality columns are encoded, others dropped."""
+    """Hash-like (long) or low-cardinality columns are encoded, others dropped.
+
+    Only where the sketch is near the limit are the distinct values counted,
+    and that count stops just beyond the limit.
+    """
     keep, drop = [], []
     for r in profile_categoricals(df, columns).collect():  # one row per string column
-        good = (r["max_length"] or 0) > hash_length or r["distinct_values"] <= max_distinct
+        n = r["distinct_values"]
+        low = n <= max_distinct
+        if 0.8 * max_distinct < n < 1.25 * max_distinct:
+            low = is_small(distinct_values(df, r["column"], NA), max_distinct)
+        good = (r["max_length"] or 0) > hash_length or low
         (keep if good else drop).append(r["column"])
     return CategoricalPlan(tuple(keep), tuple(drop))
 

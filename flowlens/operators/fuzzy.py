@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens import fixed_values as fv
 from flowlens.functions import membership as mb, numeric as nm, stats as st
 from flowlens.functions.quantile import exact_quantiles
+from flowlens.session import materialize
 
 Stats = Column | dict[str, Any]
 
@@ -174,6 +175,7 @@ FUZZY_FEATURES = [
 def fuzzy_summary(df: DataFrame) -> DataFrame:
     """Distribution of ``fuzzy_score``: moments, median, risk counts, count above 0.6."""
     s = F.col("fuzzy_score")
+    df = materialize(df.select("fuzzy_score"), "scores")
     median = exact_quantiles(df, {"fuzzy_score": [0.5]})["fuzzy_score", 0.5]
     return df.agg(
         F.avg(s).alias("mean_score"), F.stddev_samp(s).alias("std_score"), F.stddev_pop(s).alias("std_pop_score"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens import fixed_values as fv
-from flowlens.functions.quantile import exact_quantiles
 from flowlens.functions.numeric import safe_div, wald_margin
+from flowlens.functions.quantile import exact_quantiles
+from flowlens.session import materialize
 from flowlens.operators.alerts import class_name, is_benign, is_threat, is_valid_alert
 
 
@@ -107,7 +108,8 @@ def manual_times(verified: DataFrame) -> DataFrame:
 
 def manual_time_stats(verified: DataFrame) -> DataFrame:
     t = F.col("analysis_time")
-    times = manual_times(verified)
+    # Written once: the quantile passes and the moments read one column.
+    times = materialize(manual_times(verified).select("analysis_time"), "times")
     median = exact_quantiles(times, {"analysis_time": [0.5]})["analysis_time", 0.5]
     return times.agg(
         F.count(F.lit(1)).alias("total_verified"), F.count(t).alias("samples"),

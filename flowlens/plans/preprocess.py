@@ -36,9 +36,9 @@ class Preprocessed:
 def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Preprocessed:
     """Clean, encode, derive, split, scale.
 
-    The cleaned rows and the derived rows are written once each: later passes
-    (statistics, dictionaries, scaler fit) read the table instead of repeating
-    the duplicate removal, and the logical plan of a pass stays small.
+    The cleaned, derived and scaled rows are written once each: later passes
+    (statistics, dictionaries, scaler fit, splits) read a table instead of
+    repeating the duplicate removal, and the logical plan of a pass stays small.
     """
     df = with_ips(with_label(raw, cfg.label))
     if cfg.sample_size is not None:
@@ -57,12 +57,14 @@ def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Pr
     df = df.withColumns({c: F.col(c).cast("int") for c in booleans}) if booleans else df
     df = materialize(sp.split_hash(df, cfg.key, cfg.test_fraction, cfg.seed), "derived")
     columns = numeric_columns(df, ("label_idx", "src_port", "dst_port"))
-    df = cl.nullify_non_finite(df)
-    if not cfg.impute:
-        df = df.na.fill(0, subset=columns)
+
+    def filled(rows: DataFrame) -> DataFrame:
+        rows = cl.nullify_non_finite(rows)
+        return rows if cfg.impute else rows.na.fill(0, subset=columns)
+
     fit_rows = df if cfg.fit_on == "all" else df.filter("split = 'train'")
-    scaler = sc.fit_scaler(fit_rows, columns, impute=cfg.impute)
-    scaled = sc.scale(df, columns, scaler, cfg.scaler, impute=cfg.impute)
+    scaler = sc.fit_scaler(filled(fit_rows), columns, impute=cfg.impute)
+    scaled = materialize(sc.scale(filled(df), columns, scaler, cfg.scaler, impute=cfg.impute), "scaled")
     if cfg.resample:
         train = bl.expand(bl.resample(scaled.filter("split = 'train'"), cfg.key, "label_idx", "minority", cfg.seed))
         scaled = train.unionByName(scaled.filter("split = 'test'"))

@@ -2,49 +2,15 @@
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUTPUT = "flow_id string, verified_at timestamp, is_threat boolean, analysis_time double"
-STATE = "verified_us long, is_threat int, analysis_time double"
-
-_NONE = -1  # withdrawn verdict in the state row
-
-
-def _updater():
-    """The update function; built here so that it travels to executors by value."""
-    none = _NONE
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Keep the newest event of the key; emit it when it replaces the stored one."""
-        old = tuple(state.get) if state.exists else None
-        best = old
-        for pdf in batches:
-            last = pdf.sort_values(["verified_us", "is_threat", "analysis_time"]).iloc[-1]
-            candidate = (int(last["verified_us"]), int(last["is_threat"]), float(last["analysis_time"]))
-            best = candidate if best is None else max(best, candidate)
-        if best is None or best == old:
-            return
-        state.update(best)
-        yield pd.DataFrame({
-            "flow_id": [key[0]], "verified_at": pd.to_datetime([best[0]], unit="us"),
-            "is_threat": pd.array([None if best[1] == none else bool(best[1])], dtype="boolean"),
-            "analysis_time": [best[2]]})
-
-    return update
 
 
 def verdict_updates(events: DataFrame) -> DataFrame:
-    """Stream of changed verdicts, one row per change of a flow's newest event.
+    """Newest verdict event of every flow, for update mode.
 
-    The state holds one small row per verified flow.
+    A maximum over structs ordered by time is the keyed state: it is combined
+    on the map side, so a flow with very many events in one micro-batch costs
+    one row per task.  A NULL verdict that is newest withdraws the flow.
     """
-    slim = events.select(
-        "flow_id", F.unix_micros(F.col("verified_at").cast("timestamp")).alias("verified_us"),
-        F.coalesce(F.col("is_threat").cast("int"), F.lit(_NONE)).alias("is_threat"),
-        F.coalesce(F.col("analysis_time"), F.lit(-1.0)).alias("analysis_time"))
-    return slim.groupBy("flow_id").applyInPandasWithState(
-        _updater(), OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    newest = F.max(F.struct("verified_at", "is_threat", "analysis_time")).alias("s")
+    return events.groupBy("flow_id").agg(newest).select("flow_id", "s.*")
