@@ -42,7 +42,7 @@ def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Pr
     """
     df = with_ips(with_label(raw, cfg.label))
     if cfg.sample_size is not None:
-        df = sp.sample_exact(df, cfg.key, cfg.sample_size, cfg.seed)
+        df = materialize(sp.sample_exact(df, cfg.key, cfg.sample_size, cfg.seed), "sample")
     df = materialize(cl.clean(df), "clean")
     feature_stats = ft.feature_stats(df)
     df = en.encode_labels(df, cfg.label)
