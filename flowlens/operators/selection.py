@@ -191,7 +191,12 @@ def domain_bonus(scores: DataFrame, column: str, out: str = "importance") -> Dat
 
 
 def top_k(scores: DataFrame, column: str, k: int) -> DataFrame:
-    return scores.orderBy(F.desc(column), "feature").limit(k)
+    """The k best features; scores equal to six digits are ties and go by name.
+
+    Features that are multiples of each other have equal scores up to rounding
+    noise, which must not decide the order.
+    """
+    return scores.orderBy(F.desc(F.round(column, 6)), "feature").limit(k)
 
 
 def quota_selection(scores: DataFrame, column: str, n: int) -> DataFrame:

@@ -58,7 +58,7 @@ def fs2_quantile(spark, sf):
 _CORR = " UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, label_idx)) AS corr FROM flows" for f in FEATURES)
 
 
-@query("fs5_correlation", f"WITH {S.FLOWS}, c AS ({_CORR}) SELECT feature, round(corr, 6) AS corr FROM c ORDER BY corr DESC, feature LIMIT 5")
+@query("fs5_correlation", f"WITH {S.FLOWS}, c AS ({_CORR}) SELECT feature, round(corr, 6) AS corr FROM c ORDER BY round(corr, 6) DESC, feature LIMIT 5")
 def fs5(spark, sf):
     return rounded(fs.top_k(fs.correlations(tb.flows(spark, sf), FEATURES, "label_idx"), "corr", 5), "corr")
 
@@ -125,21 +125,21 @@ def fs11(spark, sf):
     return fs.quota_selection(rounded(fs.information_gain(quality(spark, sf)), "gain"), "gain", 5)
 
 
-@query("t02_top_features", f"WITH {F_SQL} SELECT feature, round(f_score, 4) AS f_score FROM fscore ORDER BY f_score DESC, feature LIMIT 4")
+@query("t02_top_features", f"WITH {F_SQL} SELECT feature, round(f_score, 4) AS f_score FROM fscore ORDER BY round(f_score, 6) DESC, feature LIMIT 4")
 def t02(spark, sf):
     return rounded(fs.top_k(fs.anova_f(tb.flows(spark, sf), FEATURES, "label_idx"), "f_score", 4), "f_score", digits=4)
 
 
-@query("u02_selection_union", f"""WITH {F_SQL}, c AS ({_CORR}) SELECT feature FROM (SELECT feature FROM fscore ORDER BY f_score DESC, feature LIMIT 4)
-UNION SELECT feature FROM (SELECT feature FROM c ORDER BY corr DESC, feature LIMIT 4)""")
+@query("u02_selection_union", f"""WITH {F_SQL}, c AS ({_CORR}) SELECT feature FROM (SELECT feature FROM fscore ORDER BY round(f_score, 6) DESC, feature LIMIT 4)
+UNION SELECT feature FROM (SELECT feature FROM c ORDER BY round(corr, 6) DESC, feature LIMIT 4)""")
 def u02(spark, sf):
     flows = tb.flows(spark, sf)
     return fs.selection_union(fs.top_k(fs.anova_f(flows, FEATURES, "label_idx"), "f_score", 4),
                               fs.top_k(fs.correlations(flows, FEATURES, "label_idx"), "corr", 4))
 
 
-@query("fs12_selection_summary", f"""WITH {F_SQL}, c AS ({_CORR}), s AS (SELECT 'anova' AS method, feature FROM (SELECT feature FROM fscore ORDER BY f_score DESC, feature LIMIT 4)
-UNION ALL SELECT 'correlation', feature FROM (SELECT feature FROM c ORDER BY corr DESC, feature LIMIT 3))
+@query("fs12_selection_summary", f"""WITH {F_SQL}, c AS ({_CORR}), s AS (SELECT 'anova' AS method, feature FROM (SELECT feature FROM fscore ORDER BY round(f_score, 6) DESC, feature LIMIT 4)
+UNION ALL SELECT 'correlation', feature FROM (SELECT feature FROM c ORDER BY round(corr, 6) DESC, feature LIMIT 3))
 SELECT method, count(*) AS n_features, string_agg(feature, ',' ORDER BY feature) AS features FROM s GROUP BY 1""")
 def fs12(spark, sf):
     flows = tb.flows(spark, sf)
