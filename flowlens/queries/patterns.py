@@ -90,11 +90,8 @@ def pm7(spark, sf):
     return scored.drop("tokens").withColumn("detection_score", F.round("detection_score", 6))
 
 
-@query("pm8_gram_join", f"""WITH words AS (SELECT DISTINCT p_name AS pattern FROM part), names AS (SELECT c_custkey, c_name || ' buys ' || c_mktsegment || ' and ' || 'Part#' || (c_custkey % 2000) AS text FROM customer),
-{P}, allp AS (SELECT pattern FROM p), sp AS (SELECT doc_id, pattern, string_split(text, pattern) AS parts FROM documents, allp WHERE contains(text, pattern)),
-u AS (SELECT doc_id, pattern, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS k FROM sp),
-c AS (SELECT doc_id, pattern, i, k, sum(length(part)) OVER (PARTITION BY doc_id, pattern ORDER BY i) + (i - 1) * length(pattern) AS st FROM u)
-SELECT doc_id, CAST(st AS BIGINT) AS start, pattern FROM c WHERE i < k""")
+@query("pm8_gram_join", _positions_sql("documents", "doc_id", "text").replace(
+    ', CAST(st + length(pattern) - 1 AS BIGINT) AS "end"', ""))
 def pm8(spark, sf):
     from flowlens.functions.lookup import literal_table
 
