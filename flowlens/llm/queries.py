@@ -31,6 +31,36 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Distinct shingles of every document, shared shingles by document pair, transitive closure of the links.
+OP2_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b
+  WHERE 100 * k >= 80 * (u.n_shingles + v.n_shingles - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a),
+d AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM n JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)
+"""
+
+
+@query("op2_ngram_jaccard_join", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 @query("op4_benchmark_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm import decontaminate
@@ -95,3 +125,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm import sharding
 
     return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -154,3 +154,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     """Fit on the labelled part, score everything: doc_id, held_out, score, predicted."""
     return score(docs, fit(docs, labels), threshold).select(
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def below(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """The rows that score below the threshold, with all their columns."""
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column("text"), model) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
