@@ -61,6 +61,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+@query("op3_pii_boosting")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import pii
+
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 @query("op4_benchmark_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm import decontaminate
