@@ -19,8 +19,8 @@ The index is sent to the tasks in parts of at most ``PART_ITEMS`` items and
 ``PART_BYTES`` of text, so its size is bounded; a benchmark beyond one part makes
 one more pass over the documents per part.  Nothing is shuffled but the matches.
 
-Defined results: null and empty texts match nothing; null or empty items are left
-out; items with equal texts are reported each; a document repeated as a row is
+Defined results: null and empty texts match nothing; null items and items of
+fewer than five words (no passage to quote) are left out; items with equal texts are reported each; a document repeated as a row is
 reported once per (doc_id, item_id); a document with a null id is never reported as
 a match, but ``contaminated`` still drops it by its own text; extra columns are ignored.
 """
@@ -79,7 +79,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
 def build(items: list[tuple[int, str, str | None, str | None]]) -> Index:
     """Index of (item id, text, question, answer) rows."""
     texts = hashes([t for _, t, _, _ in items])
-    keep = [k for k, w in enumerate(texts) if len(w)]
+    keep = [k for k, w in enumerate(texts) if len(w) >= wh.SHINGLE]
     items, texts = [items[k] for k in keep], [texts[k] for k in keep]
     n = len(items)
     questions, answers = [], []

@@ -371,9 +371,10 @@ def join(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents but for those whose component has a smaller id; of rows that repeat an id, one stays."""
-    kept = join(docs).filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    same = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    kept = join(docs).filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(
+        F.col("doc_id").alias("kept")).distinct()
+    same = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
+    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
     if repeated.isEmpty():
         return same
     return same.filter(F.col("doc_id").isNull()).unionByName(same.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))

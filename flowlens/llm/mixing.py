@@ -127,30 +127,26 @@ def _join(rows: DataFrame, plan_rows: DataFrame) -> DataFrame:
 
 
 def decided(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """The documents with ``_mix``: a struct of size, source_size, target and copies."""
-    facts = plan(docs, weights, most, seed)
-    packed = facts.select("source", "level", F.struct(*[c for c in facts.columns if c not in ("source", "level")]).alias("_p"))
-    rows = docs.withColumn("_size", words()).withColumn("_level", level("_size"))
-    named = packed.withColumnsRenamed({"source": "_plan_source", "level": "_plan_level"})
-    rows = rows.join(named, F.col("source").eqNullSafe(F.col("_plan_source")) & (F.col("_level") == F.col("_plan_level")))
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = rows.withColumn("_id", ident)
-    value = rank_value("_id", "_p.fraction", seed)
-    extra = (F.col("_p.fraction") > 0) & (F.struct(value, F.col("_id")) <= F.struct(F.col("_p.cut_rank"), F.col("_p.cut_id")))
-    copies = F.when(F.col("_size") == 0, 0).otherwise(F.col("_p.certain") + extra.cast("int"))
-    mix = F.struct(F.col("_size").alias("size"), F.col("_p.source_size").alias("source_size"),
-                   F.col("_p.target").alias("target"), copies.alias("copies"))
-    return rows.select(*[F.col(c) for c in docs.columns], mix.alias("_mix"))
+    """(row, mix): each document as a struct, and its size, source_size, target and copies."""
+    facts = plan(docs.select("doc_id", "source", "text"), weights, most, seed)
+    packed = facts.select(F.col("source").alias("s"), F.col("level").alias("l"), F.struct("*").alias("p"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("size", words("row.text")) \
+        .withColumn("id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))))
+    rows = rows.join(packed, F.col("row.source").eqNullSafe(F.col("s")) & (level() == F.col("l")))
+    value = rank_value("id", "p.fraction", seed)
+    extra = (F.col("p.fraction") > 0) & (F.struct(value, F.col("id")) <= F.struct(F.col("p.cut_rank"), F.col("p.cut_id")))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("p.certain") + extra.cast("int"))
+    return rows.select("row", F.struct("size", "p.source_size", "p.target", copies.alias("copies")).alias("mix"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each row as often as it is taken."""
-    rows = decided(docs, **options).filter(F.col("_mix.copies") > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.copies")))).select(*docs.columns)
+    rows = decided(docs, **options).filter(F.col("mix.copies") > 0)
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select("row.*")
 
 
 def summary(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    return decided(docs, **options).select(
-        "doc_id", F.col("_mix.size").alias("size"), F.col("_mix.source_size").alias("source_size"),
-        F.col("_mix.target").alias("target"), (F.col("_mix.copies") * F.col("_mix.size")).cast("long").alias("taken"))
+    return decided(docs.select("doc_id", "source", "text"), **options).select(
+        "row.doc_id", "mix.size", "mix.source_size", "mix.target",
+        (F.col("mix.copies") * F.col("mix.size")).cast("long").alias("taken"))

@@ -278,18 +278,25 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[%s]") -> DataFrame:
-    """The documents with every span replaced by its kind; overlapping spans of several kinds become one mask."""
-    found_ = redactions(docs.select("doc_id", "text")).select("doc_id", "spans")
-    joined = docs.dropDuplicates(["doc_id"]).join(found_.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_d"),
-                                                  F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
+    """The documents with every span replaced by its kind; spans that overlap become one mask.
+
+    The spans are found from (id, text) rows and joined back by both, so rows that repeat
+    an id with other texts keep their own.
+    """
+    key = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
+        "row", F.xxhash64("row.doc_id", "row.text").alias("key"))
+    texts = key.select(F.col("key").alias("doc_id"), "row.text").dropDuplicates(["doc_id"])
+    rows = key.join(redactions(texts).select(F.col("doc_id").alias("key"), "spans"), "key")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     names = F.array(*[F.lit(mask % k) for k in KINDS])
+    text = F.col("row.text")
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.when(s["end"] <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.element_at(names, s["kind"] + 1)))
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        new = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.element_at(names, s["kind"] + 1)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
 
-    rest = F.aggregate(ordered, first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("text").isNotNull(), rest)).select(*docs.columns)
+    rest = F.aggregate(ordered, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    masked = F.when(text.isNotNull(), rest)
+    return rows.select(*[masked.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -1,0 +1,138 @@
+"""Learned operators: held-out accuracy on the supplied tables, folds, and the awkward table."""
+
+import zlib
+
+import helpers as h
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from flowlens.llm import common, langid, quality, toxicity
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+
+
+def held_out(rows, truth, label):
+    pairs = [(r["predicted"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
+    return pairs
+
+
+def test_quality_on_the_held_out_fold(data):
+    rows = quality.classify(*data).collect()
+    truth = {r["doc_id"]: r["quality"] for r in data[1].collect()}
+    pairs = held_out(rows, truth, "quality")
+    assert len(pairs) > 80 and np.mean([a == b for a, b in pairs]) > 0.95
+    for r in rows:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_toxicity_on_the_held_out_fold(data):
+    rows = toxicity.classify(*data).collect()
+    truth = {r["doc_id"]: r["toxic"] for r in data[1].collect()}
+    pairs = held_out(rows, truth, "toxic")
+    assert sum(a and b for a, b in pairs) >= 8 and sum(a and not b for a, b in pairs) == 0
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+
+
+def test_language_on_the_held_out_fold(data):
+    rows = langid.classify(data[0]).collect()
+    truth = {r["doc_id"]: r["lang"] for r in data[0].collect()}
+    held = [r["lang_pred"] == truth[r["doc_id"]] for r in rows if r["held_out"]]
+    assert len(held) > 150 and np.mean(held) > 0.98
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+@pytest.mark.parametrize("operator, label", [(quality.classify, "quality"), (toxicity.classify, "toxic")])
+def test_classifiers_on_awkward_rows(spark, operator, label):
+    docs = h.table(spark)
+    rows = operator(docs, h.labels(spark, label)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in rows) == sorted((r[0] is not None, r[0] or 0) for r in h.rows())
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] == 0}) == 1
+    none = operator(docs, h.labels(spark, label).limit(0)).collect()
+    assert len({r["score"] for r in none}) == 1
+    one = operator(docs, spark.createDataFrame([(k, 1) for k in range(0, 63, 3)], f"doc_id long, {label} int")).collect()
+    assert all(r["predicted"] == 1 for r in one)
+    assert operator(h.empty(spark), h.labels(spark, label)).count() == 0
+
+
+def test_language_on_awkward_rows(spark):
+    rows = langid.classify(h.table(spark)).collect()
+    assert len(rows) == len(h.rows())
+    by_text = {r["doc_id"]: r for r in rows}
+    for k, text in enumerate(h.TEXTS):
+        letters = any(c.isalpha() for c in text or "")
+        assert (by_text[k * 3]["lang_pred"] == "und") == (not letters), text
+        assert by_text[k * 3]["lang_pred"] in {"aa", "bb", "und"}
+    assert langid.classify(h.empty(spark)).count() == 0
+    unknown = h.table(spark).withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in langid.classify(unknown).collect()} == {"und"}
+
+
+def test_no_label_of_the_held_out_fold_is_used(spark, data):
+    docs, labels = data
+    from pyspark.sql import functions as F
+
+    flipped = labels.withColumn("toxic", F.when(common.fold("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic"))) \
+        .withColumn("quality", F.when(common.fold("doc_id", 3) == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    for operator in (quality.classify, toxicity.classify):
+        a = {(r["doc_id"], round(r["score"], 9)) for r in operator(docs, labels).collect()}
+        b = {(r["doc_id"], round(r["score"], 9)) for r in operator(docs, flipped).collect()}
+        assert a == b
+
+
+def test_training_sample_is_bounded_and_stable(spark):
+    frame = spark.range(5000).selectExpr("id as doc_id", "id % 2 as g")
+    a = common.bounded_sample(frame, "g", ["doc_id"], 100)
+    assert {r["g"]: r["count"] for r in a.groupBy("g").count().collect()} == {0: 100, 1: 100}
+    b = common.bounded_sample(frame.repartition(9), "g", ["doc_id"], 100)
+    assert {r["doc_id"] for r in a.collect()} == {r["doc_id"] for r in b.collect()}
+
+
+def test_ftrl_is_sparse_and_uses_skip_grams():
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(300)]
+    texts, labels = [], []
+    for k in range(400):
+        some = list(rng.choice(words, 30))
+        labels.append(float(k % 4 == 0))
+        some[10:13] = ["bad", "filler%d" % k, "thing"] if k % 4 == 0 else ["bad", "other", "thing2"]
+        texts.append(" ".join(some))
+    model = toxicity.learn(toxicity.features(pa.array(texts)), np.array(labels))
+    assert 0 < len(model.index) < 500
+    assert (toxicity.scores(pa.array(texts), model) > 0.5).astype(float).tolist() == labels
+
+
+def test_discriminant_matches_the_density_formula():
+    rng = np.random.default_rng(1)
+    p = len(quality.STATISTICS)
+    moments = {}
+    for c, shift in ((0, 0.0), (1, 1.0)):
+        x = rng.normal(size=(500, p)) * (1 + c) + shift
+        moments[c] = np.concatenate([[500], x.sum(0), (x.T @ x).ravel()])
+    model = quality.model_of(moments)
+    x = rng.normal(size=(5, p))
+    z = (x - model.centre) / model.scale
+    want = []
+    for row in z:
+        d = []
+        for m, inverse, log_det in zip(model.means, model.factors, model.log_dets):
+            covariance = np.linalg.inv(inverse) @ np.linalg.inv(inverse).T
+            assert np.linalg.slogdet(covariance)[1] == pytest.approx(log_det)
+            d.append(-0.5 * (row - m) @ np.linalg.solve(covariance, row - m) - 0.5 * log_det)
+        want.append(1 / (1 + np.exp(-(d[1] - d[0] + model.log_odds))))
+    assert quality.scores(x, model) == pytest.approx(np.array(want))
+
+
+def test_folded_language_weights_equal_the_kernel_form():
+    texts = [h.prose(k, 40) if k % 2 else h.prose(k, 40).replace("a", "y").replace("e", "w") for k in range(40)]
+    names = ["b" if k % 2 else "a" for k in range(40)]
+    model = langid.learn(texts, names)
+    best, score = langid.predict(pa.array(texts, pa.large_string()), model)
+    assert best.tolist() == names and (score > 0.5).all()
