@@ -26,6 +26,8 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +43,19 @@ from flowlens.session import materialize, new_path
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 END_ID = 1
-CACHED_WORDS = 1_000_000
-CHUNK = 4 << 20
+CACHED_WORDS = 1_500_000
+CHUNK = 1 << 20
+WORDS_AT_ONCE = 10_000
 
 INDEX_DDL = "part int, file string, doc_id long, offset long, n_tokens long"
 
 
 class WordEncoder:
-    """Ids of whole texts, each distinct word encoded once and kept up to a bound."""
+    """Ids of whole texts, each distinct word encoded once and kept up to a bound.
+
+    Known words are a sorted array of hashes beside the place of their ids, some 40
+    bytes a word.  A Python worker keeps its encoder for its next tasks.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,44 +65,57 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.bounds = np.zeros(1, np.int64)
         self.ids = np.zeros(0, self.dtype)
 
+    def _code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        lists = [e.ids for e in coded]
+        return np.fromiter(chain.from_iterable(lists), self.dtype), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Add words not known yet, given in ascending order of their hashes."""
+        raw = data.tobytes()
+        words = [raw[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())]
+        ids, bounds = [self.ids], [self.bounds]
+        for n in range(0, len(words), WORDS_AT_ONCE):
+            some, sizes = self._code(words[n : n + WORDS_AT_ONCE])
+            ids.append(some)
+            bounds.append(bounds[-1][-1] + np.cumsum(sizes))
+        slots = np.arange(len(keys)) + len(self.bounds) - 1
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+        self.ids, self.bounds = np.concatenate(ids), np.concatenate(bounds)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, bounds of each text), with the end id after each."""
         found = wh.words(data, offsets)
-        exact = wh.exact_hashes(data, found)
-        distinct, first, inverse = np.unique(exact, return_index=True, return_inverse=True)
-        if len(self.at) > CACHED_WORDS:
+        distinct, first, inverse = np.unique(wh.exact_hashes(data, found), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHED_WORDS:
             self._clear()
-        keys = distinct.tolist()
-        unseen = [k for k, key in enumerate(keys) if key not in self.at]
-        if unseen:
-            raw = data.tobytes()
-            spans = zip(found.starts[first[unseen]].tolist(), found.ends[first[unseen]].tolist())
-            coded = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in spans], add_special_tokens=False)
-            lists = [e.ids for e in coded]
-            base = len(self.bounds) - 1
-            for n, k in enumerate(unseen):
-                self.at[keys[k]] = base + n
-            self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], self.dtype)])
-            sizes = np.array([len(x) for x in lists], np.int64)
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-        slot = np.array([self.at[k] for k in keys], np.int64)[inverse]
+        unseen = ~np.isin(distinct, self.keys, assume_unique=True) if len(self.keys) else np.ones(len(distinct), bool)
+        if unseen.any():
+            at = first[unseen]
+            self._learn(data, distinct[unseen], found.starts[at], found.ends[at])
+        slot = self.slots[np.searchsorted(self.keys, distinct)][inverse] if len(distinct) else np.zeros(0, np.int64)
         size = self.bounds[slot + 1] - self.bounds[slot]
         upto = np.concatenate([[0], np.cumsum(size)])
-        texts = np.arange(len(offsets))
-        bounds = upto[found.bounds] + texts
+        bounds = upto[found.bounds] + np.arange(len(offsets))
         out = np.empty(int(bounds[-1]), self.dtype)
         out[bounds[1:] - 1] = end_id
-        source = np.arange(int(upto[-1])) - np.repeat(upto[:-1], size) + np.repeat(self.bounds[slot], size)
-        target = np.ones(len(out), bool)
-        target[bounds[1:] - 1] = False
-        out[target] = self.ids[source]
+        inside = np.ones(len(out), bool)
+        inside[bounds[1:] - 1] = False
+        out[inside] = self.ids[np.arange(int(upto[-1])) + np.repeat(self.bounds[slot] - upto[:-1], size)]
         return out, bounds
 
 
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def open_file(path: str, write: bool = False):
     """An output stream, or a random-access file (memory-mapped where it is local)."""
     if "://" in path or path.startswith("file:"):
@@ -166,7 +186,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, lengt
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
-        encoder, writer, at = WordEncoder(tokenizer_path), None, 0
+        encoder, writer, at = encoder_of(tokenizer_path), None, 0
         for batch in batches:
             for first, end, data, offsets in wh.chunks(batch["text"], CHUNK):
                 writer = writer or SequenceWriter(path, encoder.dtype, length)
