@@ -5,6 +5,9 @@ buffer.  Here each pass counts values in equal-width buckets of the bracket
 that still holds a wanted rank, so tasks and driver see bucket counts only.
 Brackets shrink some thousandfold per pass; what is left is read once it is
 small.
+
+The wanted columns are written once and every pass reads that table.  NULL, NaN and
+infinite values take no part.
 """
 
 from __future__ import annotations
@@ -12,7 +15,9 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from flowlens.session import materialize
 
 BUCKETS = 4096
 SMALL = 10_000
@@ -20,8 +25,11 @@ SMALL = 10_000
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int = SMALL,
                     buckets: int = BUCKETS) -> dict[tuple[str, float], float | None]:
-    """``{(column, probability): value}`` by linear interpolation; NULLs are ignored."""
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in wanted])
+    """``{(column, probability): value}`` by linear interpolation over the finite values.
+
+    ``small`` decides only when a bracket's values are read instead of narrowed again.
+    """
+    data = materialize(df.select(*[finite(F.col(c)).alias(c) for c in wanted]), "quantiles")
     first = data.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
                        for c in wanted]).first()
     ranks = {(c, p): p * (first[c]["n"] - 1) for c, ps in wanted.items() for p in ps if first[c]["n"]}
@@ -39,16 +47,35 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int =
         wide = {k: b for k, b in open_.items() if b[3] > small}
         if not wide:
             break
-        open_.update(_narrow(data, wide, buckets))
+        narrower = _narrow(data, wide, buckets)
+        if any(narrower.get(k) in (None, b) for k, b in wide.items()):
+            raise RuntimeError(f"quantile brackets do not shrink: {wide}")
+        open_.update(narrower)
     value.update(_read(data, open_))
 
     def at(c: str, r: float) -> float:
         lo, hi = value[c, math.floor(r)], value[c, math.ceil(r)]
-        return lo + (hi - lo) * (r - math.floor(r))
+        part = r - math.floor(r)
+        return lo if part == 0 or lo == hi else lo * (1 - part) + hi * part if math.isinf(hi - lo) else lo + (hi - lo) * part
 
     return {(c, p): at(c, ranks[c, p]) if (c, p) in ranks else None for c, ps in wanted.items() for p in ps}
 
 
+def finite(c: Column) -> Column:
+    """The value as a double, NULL where it is not a finite number."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), x)
+
+
+def _bucket(c: Column, lo: float, hi: float, buckets: int) -> Column:
+    """Number of the equal-width bucket; halves first, so that no difference overflows."""
+    width = hi / 2 - lo / 2
+    if width == 0:  # next to each other
+        return F.when(c >= F.lit(hi), F.lit(buckets - 1)).otherwise(0)
+    share = (c / 2 - F.lit(lo / 2)) / F.lit(width)
+    return F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int"))
+
+
 def _brackets(open_: dict) -> list[tuple[str, float, float]]:
     return sorted({(c, b[0], b[1]) for (c, _), b in open_.items()})
 
@@ -62,7 +89,7 @@ def _narrow(data: DataFrame, wide: dict, buckets: int) -> dict:
     spans = _brackets(wide)
     entries = []
     for i, (c, lo, hi) in enumerate(spans):
-        b = F.least(F.lit(buckets - 1), F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * buckets).cast("int"))
+        b = _bucket(F.col(c), lo, hi, buckets)
         entries.append(F.when(_inside(c, lo, hi), F.struct(F.lit(i).alias("i"), b.alias("b"), F.col(c).alias("x"))))
     rows = (
         data.filter(reduce(lambda a, b: a | b, [_inside(*s) for s in spans]))

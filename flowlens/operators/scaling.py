@@ -7,23 +7,29 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions import stats as st
+from flowlens.functions.quantile import exact_quantiles
 
 
-def _stat_exprs(columns: list[str], impute: bool, approx: bool) -> dict[str, Column]:
+def _stat_exprs(df: DataFrame, columns: list[str], impute: bool, approx: bool) -> dict[str, Column]:
     exprs = st.moments(columns)
-    if impute:
+    if impute and approx:
         for c in columns:
-            exprs[f"{c}__median"] = (F.percentile_approx(c, 0.5, 10_000) if approx else F.median(c)).cast("double")
+            exprs[f"{c}__median"] = F.percentile_approx(c, 0.5, 10_000).cast("double")
+    elif impute:
+        exact = exact_quantiles(df, {c: [0.5] for c in columns})
+        for c in columns:
+            exprs[f"{c}__median"] = F.lit(exact[c, 0.5]).cast("double")
     return exprs
 
 
-def fit_scaler(df: DataFrame, columns: list[str], impute: bool = False, approx: bool = True) -> dict[str, Any]:
-    """Fitted numbers as a dict (one row to the driver)."""
-    return st.fit(df, **_stat_exprs(columns, impute, approx))
+def fit_scaler(df: DataFrame, columns: list[str], impute: bool = False, approx: bool = False) -> dict[str, Any]:
+    """Fitted numbers as a dict (one row to the driver); medians are exact unless ``approx``."""
+    return st.fit(df, **_stat_exprs(df, columns, impute, approx))
 
 
 def lazy_scaler(df: DataFrame, columns: list[str], impute: bool = False, approx: bool = False) -> Column:
-    return st.lazy(df, **_stat_exprs(columns, impute, approx))
+    """The same numbers inside the plan; only exact medians are found beforehand, in bounded memory."""
+    return st.lazy(df, **_stat_exprs(df, columns, impute, approx))
 
 
 def scale(df: DataFrame, columns: list[str], stats: Column | dict[str, Any], method: str = "minmax",
