@@ -33,13 +33,17 @@ def get_spark(app: str = "flowlens", cores: int | None = None, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (unit tests, a laptop) a temporary folder is made and remembered.
+    A cluster names it in ``spark.checkpoint.dir``; without it a cluster session is an
+    error, since executors would write to disks that the others cannot read.  Only a
+    ``local`` master gets a temporary folder, made once and remembered.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="flowlens-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -47,7 +51,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused, never overwritten."""
-    return f"{shared_dir(spark)}/flowlens/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/flowlens/{run_id(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def run_id(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return spark.sparkContext.applicationId
+
+
+def drop_intermediate(spark: SparkSession) -> bool:
+    """Remove every intermediate table this application has written; call it when results are stored.
+
+    Uses the file system of the folder itself; true if there was something to remove.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/flowlens/{run_id(spark)}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
