@@ -17,14 +17,21 @@ def valid_analysis_time(c: Column) -> Column:
     return F.when(t.between(2, 300), t)
 
 
-def latest(events: DataFrame, key: str = "flow_id", at: str = "verified_at") -> DataFrame:
-    """Newest event per key.
+def arrival(events: DataFrame, order: tuple[str, ...] = ("event_id",)) -> list[str]:
+    """Sequence columns that decide between events of equal time, where the events carry them."""
+    return [c for c in order if c in events.columns]
+
+
+def latest(events: DataFrame, key: str = "flow_id", at: str = "verified_at",
+           order: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Newest event per key; of events with equal times the one with the largest sequence number.
 
     An aggregate of structs ordered by time, combined map-side: a key with very
     many events costs one partial row per task, never a sorted window.
     """
     rest = [c for c in events.columns if c not in (key, at)]
-    newest = F.max(F.struct(F.col(at), *rest)).alias("__s")
+    first = arrival(events, order)
+    newest = F.max(F.struct(F.col(at), *first, *[c for c in rest if c not in first])).alias("__s")
     return events.groupBy(key).agg(newest).select(key, f"__s.{at}", *[f"__s.{c}" for c in rest])
 
 

@@ -12,11 +12,6 @@ from flowlens.session import new_path
 from flowlens.sources import tables as tb
 from flowlens.streaming import flows as sf_, state
 
-# The replayed tables span weeks and their files carry no order, so the queries
-# here wait long enough for every row; a live feed uses minutes.
-DELAY = "400 days"
-
-
 def replay(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
     """The rows of a table as a stream of several files, two per micro-batch."""
     path = new_path(spark, "feed")
@@ -37,7 +32,9 @@ def to_latest(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFr
 
 
 def alert_stream(spark, sf) -> DataFrame:
-    return al.enrich(sf_.event_time(replay(spark, tb.alerts(spark, sf)), delay=DELAY))
+    """Enriched alerts; the files of the replay carry no order, so the watermark waits for the table's own span."""
+    alerts = tb.alerts(spark, sf)
+    return al.enrich(sf_.event_time(replay(spark, alerts), delay=sf_.span(alerts)))
 
 
 @query("s20_stream_source", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -58,7 +55,7 @@ def st01(spark, sf):
 
 @query("st02_first_seen_pairs", f"WITH {S.ALERTS} SELECT DISTINCT src_ip, dst_ip FROM alerts0")
 def st02(spark, sf):
-    stream = sf_.event_time(replay(spark, tb.alerts(spark, sf)), delay=DELAY)
+    stream = replay(spark, tb.alerts(spark, sf))
     return to_table(spark, sf_.first_seen_pairs(stream).select("src_ip", "dst_ip"))
 
 
@@ -88,16 +85,16 @@ def st05(spark, sf):
 def st06(spark, sf):
     from flowlens.queries.verification import repeated_events
 
-    changes = state.verdict_updates(replay(spark, repeated_events(spark, sf)))
-    newest = to_latest(spark, changes, ["flow_id"])
-    return newest.filter("is_threat is not null").select("flow_id", "is_threat", "analysis_time")
+    path = new_path(spark, "verdicts")
+    state.run_verdict_log(replay(spark, repeated_events(spark, sf)), path, new_path(spark, "checkpoint"))
+    return state.current_verdicts(spark, path).select("flow_id", "is_threat", "analysis_time")
 
 
 @query("st07_stream_join", f"""WITH {S.VERIFS}, {S.ALERTS_ENRICHED} SELECT a.flow_id, severity, is_threat FROM alerts a JOIN verifs v ON a.flow_id = v.flow_id
 AND v.verified_at + INTERVAL 10 MINUTES BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR""")
 def st07(spark, sf):
     verdicts = tb.verifications(spark, sf).withColumn("verified_at", F.expr("verified_at + interval 10 minutes"))
-    stream = sf_.event_time(replay(spark, verdicts, files=2), "verified_at", DELAY)
+    stream = sf_.event_time(replay(spark, verdicts, files=2), "verified_at", sf_.span(verdicts, "verified_at"))
     return to_table(spark, sf_.join_verifications(alert_stream(spark, sf), stream).select("flow_id", "severity", "is_threat"))
 
 
@@ -111,8 +108,7 @@ def st08(spark, sf):
 @query("st10_stream_progress", "SELECT count(*) AS total, count(*) AS streamed, CAST(0 AS BIGINT) AS remaining FROM events")
 def st10(spark, sf):
     events = tb.table(spark, sf, "events")
-    q = sf_.run_to_table(replay(spark, events), new_path(spark, "sink"), new_path(spark, "checkpoint"))
-    p = sf_.progress(q, events.count())
+    p = sf_.progress(to_table(spark, replay(spark, events)), events.count())
     return spark.createDataFrame([(p["total"], p["streamed"], p["remaining"])], "total long, streamed long, remaining long")
 
 

@@ -26,7 +26,7 @@ def verified(spark, sf):
 def repeated_events(spark, sf):
     """Several verdict events per key: events keyed by user instead of flow."""
     return tb.table(spark, sf, "events").selectExpr(
-        "concat('user_', cast(user_id as string)) as flow_id", "ts as verified_at",
+        "concat('user_', cast(user_id as string)) as flow_id", "ts as verified_at", "event_id",
         "case when event_id % 5 = 0 then null else event_id % 2 = 0 end as is_threat", "value as analysis_time")
 
 

@@ -37,8 +37,24 @@ def score_flows(df: DataFrame, stats: dict[str, Any],
 
 
 def first_seen_pairs(df: DataFrame) -> DataFrame:
-    """First row of every (source, destination) pair; state expires with the watermark."""
-    return df.dropDuplicatesWithinWatermark(["src_ip", "dst_ip"])
+    """First row of every (source, destination) pair, however late the pair returns.
+
+    Exact, so every distinct pair stays in the state store (two addresses a pair); use
+    the RocksDB state store for very many pairs.
+    """
+    return df.dropDuplicates(["src_ip", "dst_ip"])
+
+
+def span(df: DataFrame, column: str = "ts") -> str:
+    """A watermark delay that covers all of a stored table: its whole span of time, plus a minute."""
+    row = df.agg(F.unix_seconds(F.min(F.col(column).cast("timestamp"))).alias("a"),
+                 F.unix_seconds(F.max(F.col(column).cast("timestamp"))).alias("b")).first()
+    return f"{(row['b'] or 0) - (row['a'] or 0) + 60} seconds"
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows the stateful operators have dropped as later than the watermark, in the batches Spark still reports."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
 
 
 def severity_windows(df: DataFrame, length: str = "30 minutes", slide: str = "5 minutes") -> DataFrame:
@@ -104,7 +120,11 @@ def latest_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     return log.groupBy(*keys).agg(newest).select(*keys, *[f"s.{c}" for c in rest])
 
 
-def progress(query: StreamingQuery, total: int) -> dict[str, int]:
-    """Rows streamed so far and rows remaining of a known total."""
-    streamed = sum(int(p["numInputRows"]) for p in query.recentProgress)
+def progress(sink: DataFrame, total: int) -> dict[str, int]:
+    """Rows streamed so far and rows remaining of a known total.
+
+    Counts what the sink holds (file sinks commit each batch once), since Spark keeps
+    the progress of its last hundred batches only.
+    """
+    streamed = sink.count()
     return {"total": total, "streamed": streamed, "remaining": max(total - streamed, 0)}

@@ -1,16 +1,37 @@
-"""Keyed verdict state: upsert, withdraw, latest wins."""
+"""Keyed verdict state without streaming state: a log of verdicts, latest wins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from flowlens.operators.verify import latest
 
-def verdict_updates(events: DataFrame) -> DataFrame:
-    """Newest verdict event of every flow, for update mode.
 
-    A maximum over structs ordered by time is the keyed state: it is combined
-    on the map side, so a flow with very many events in one micro-batch costs
-    one row per task.  A NULL verdict that is newest withdraws the flow.
+def run_verdict_log(events: DataFrame, path: str, checkpoint: str, key: str = "flow_id",
+                    at: str = "verified_at") -> StreamingQuery:
+    """Append the newest event per key of every micro-batch to a table.
+
+    No state is kept between batches, so nothing grows or expires with the stream; a
+    flow with very many events costs one row per batch.  A batch that is retried
+    overwrites its own folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        latest(batch, key, at).write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+
+    query = (
+        events.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def current_verdicts(spark: SparkSession, path: str, key: str = "flow_id", at: str = "verified_at") -> DataFrame:
+    """Newest verdict of every key over the whole log, whatever order the events came in.
+
+    Events of equal time go by their sequence number; a newest event without a verdict
+    withdraws the flow.
     """
-    newest = F.max(F.struct("verified_at", "is_threat", "analysis_time")).alias("s")
-    return events.groupBy("flow_id").agg(newest).select("flow_id", "s.*")
+    log = spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+    return latest(log, key, at).filter(F.col("is_threat").isNotNull())
