@@ -11,6 +11,7 @@ from flowlens.operators.sampling import numbered
 from flowlens.session import materialize
 
 DRAWS_PER_TASK = 100_000
+MOST_RATE = 400.0
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -135,23 +136,26 @@ def resample_poisson(df: DataFrame, key: str | Column, label: str, policy: str =
     """
     plan = targets(df, label, policy).select(
         F.col(label).alias("__l"), F.try_divide(F.col("target"), F.col("n")).alias("__rate"))
-    u = hash_uniform(key_hash(as_col(key), seed))
-    joined = df.withColumn("__u", u).join(plan, F.col(label) == F.col("__l"))
+    # A large rate is the sum of independent draws of at most MOST_RATE each, where exp(-rate) keeps its precision.
+    parts = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("__rate") / MOST_RATE))
+    joined = df.withColumn("__key", as_col(key).cast("string")).join(plan, F.col(label) == F.col("__l")) \
+        .withColumn("__share", F.col("__rate") / parts)
     # Terms beyond rate + 12*sqrt(rate) + 12 have less probability than 2**-32.
-    top = F.ceil(F.col("__rate") + 12 * F.sqrt("__rate") + 12)
-    start = F.struct(F.exp(-F.col("__rate")).alias("p"), F.exp(-F.col("__rate")).alias("cdf"), F.lit(0).cast("bigint").alias("k"))
-    walk = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), top), start,
-        lambda a, i: F.struct(
-            (a["p"] * F.col("__rate") / i).alias("p"),
-            (a["cdf"] + a["p"] * F.col("__rate") / i).alias("cdf"),
-            (a["k"] + (F.col("__u") >= a["cdf"]).cast("bigint")).alias("k")),
-        lambda a: a["k"])
-    # Beyond rate 500 exp(-rate) loses precision; whole part plus a Bernoulli rest.
-    large = F.floor("__rate") + (F.col("__u") < F.col("__rate") - F.floor("__rate")).cast("bigint")
-    copies = (
-        F.when(F.col("__rate").isNull(), F.lit(1).cast("bigint"))
-        .when(F.col("__rate") > 500, large)
-        .otherwise(walk)
-    )
-    return joined.withColumn("copies", copies).drop("__u", "__l", "__rate").filter("copies > 0")
+    top = F.ceil(F.col("__share") + 12 * F.sqrt("__share") + 12)
+    zero = F.lit(0).cast("bigint")
+
+    def draw(part: Column) -> Column:
+        name = F.when(part == 0, F.col("__key")).otherwise(F.concat(F.col("__key"), F.lit("#"), part.cast("string")))
+        u = hash_uniform(key_hash(name, seed))
+        start = F.struct(F.exp(-F.col("__share")).alias("p"), F.exp(-F.col("__share")).alias("cdf"), zero.alias("k"), u.alias("u"))
+        return F.aggregate(
+            F.sequence(F.lit(1).cast("bigint"), top), start,
+            lambda a, i: F.struct(
+                (a["p"] * F.col("__share") / i).alias("p"),
+                (a["cdf"] + a["p"] * F.col("__share") / i).alias("cdf"),
+                (a["k"] + (a["u"] >= a["cdf"]).cast("bigint")).alias("k"), a["u"].alias("u")),
+            lambda a: a["k"])
+
+    drawn = F.aggregate(F.sequence(zero, parts - 1), zero, lambda total, part: total + draw(part))
+    copies = F.when(F.col("__rate").isNull(), F.lit(1).cast("bigint")).otherwise(drawn)
+    return joined.withColumn("copies", copies).drop("__key", "__share", "__l", "__rate").filter("copies > 0")

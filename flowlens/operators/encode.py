@@ -57,7 +57,7 @@ def dense_codes(distinct: DataFrame, column: str = "value", out: str = "code", s
     """
     if small:
         rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column))
-        return distinct.select(column, (rank - 1).cast("int").alias(out))
+        return distinct.select(column, (rank - 1).cast("bigint").alias(out))
     ranged = materialize(distinct.repartitionByRange(column).withColumn("__part", F.spark_partition_id()), "dict")
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,7 +90,7 @@ def encode_column(df: DataFrame, column: str, out: str, null_code: int | None =
     joined = df.withColumn("__k", key).join(
         F.broadcast(right) if small else right, F.col("__k") == F.col("__v"), "left")
     code = F.col("__c") if null_code is None else F.coalesce("__c", F.lit(null_code))
-    return joined.withColumn(out, code.cast("int")).drop("__k", "__v", "__c")
+    return joined.withColumn(out, code.cast("bigint")).drop("__k", "__v", "__c")
 
 
 def encode_labels(df: DataFrame, column: str = "label", out: str = "label_idx") -> DataFrame:

@@ -16,13 +16,19 @@ from flowlens.functions.numeric import as_col
 from flowlens.session import materialize
 
 BUCKET_DIGITS = 4
-_GROUP, _HASH, _BUCKET, _QUOTA = "__group", "__hash", "__bucket", "__quota"
+_GROUP, _HASH, _TIE, _BUCKET, _QUOTA = "__group", "__hash", "__tie", "__bucket", "__quota"
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of the whole row: rows with equal keys keep one order in every run, unless they are equal."""
+    parts = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
 
 
 def _hashed(df: DataFrame, key: str | Column, seed: int, group: str | Column | None) -> DataFrame:
     h = key_hash(as_col(key), seed)
     g = F.lit("all") if group is None else F.coalesce(as_col(group).cast("string"), F.lit(""))
-    return df.withColumns({_GROUP: g, _HASH: h}).withColumn(_BUCKET, hash_bucket(F.col(_HASH), BUCKET_DIGITS))
+    return df.withColumns({_GROUP: g, _HASH: h, _TIE: row_hash(df)}).withColumn(_BUCKET, hash_bucket(F.col(_HASH), BUCKET_DIGITS))
 
 
 def _bucket_counts(hashed: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def _take(df: DataFrame, hashed: DataFrame, cuts: DataFrame) -> DataFrame:
     joined = hashed.join(cuts, _GROUP)
     whole = joined.filter(F.col(_BUCKET) < F.col("__cut"))
     edge = joined.filter(F.col(_BUCKET) == F.col("__cut"))
-    rank = F.row_number().over(Window.partitionBy(_GROUP).orderBy(_HASH))
+    rank = F.row_number().over(Window.partitionBy(_GROUP).orderBy(_HASH, _TIE))
     part = edge.withColumn("__r", rank).filter(F.col("__r") <= F.col("__left"))
     return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
@@ -74,7 +80,7 @@ def random_rows(df: DataFrame, key: str | Column, n: int, seed: int = 42) -> Dat
 def bottom_k(df: DataFrame, key: str | Column, n: int, seed: int = 42) -> DataFrame:
     """Reservoir-style sample for small n: per-partition top-k, then one merge."""
     h = key_hash(as_col(key), seed)
-    return df.withColumn(_HASH, h).orderBy(_HASH).limit(max(n, 0)).drop(_HASH)
+    return df.withColumns({_HASH: h, _TIE: row_hash(df)}).orderBy(_HASH, _TIE).limit(max(n, 0)).drop(_HASH, _TIE)
 
 
 def sample_fraction(df: DataFrame, key: str | Column, fraction: float, seed: int = 42) -> DataFrame:
@@ -86,8 +92,8 @@ def sample_stratified(df: DataFrame, key: str | Column, group: str, n: int, seed
     """About n rows in all: every group keeps its share, rounded half up, at least one."""
     hashed = _hashed(df, key, seed, group)
     counts = _bucket_counts(hashed)
-    total = df.agg(F.struct(F.count(F.lit(1)).alias("n")).alias("s")).scalar()["n"]
-    quota = F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("__size") / total + F.lit(0.5)))
+    everything = Window.partitionBy(F.lit(0))  # the bucket counts, not the rows
+    quota = F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("__size") / F.sum("__n").over(everything) + F.lit(0.5)))
     return _take(df, hashed, _cuts(counts, quota))
 
 
@@ -110,8 +116,8 @@ def split_exact(df: DataFrame, key: str | Column, label: str | None, test_fracti
     hashed = _hashed(df, key, seed, label)
     quota = F.floor(F.col("__size") * F.lit(test_fraction) + F.lit(0.5))
     cuts = _cuts(_bucket_counts(hashed), quota)
-    edge = hashed.select(_GROUP, _BUCKET, _HASH).join(cuts, _GROUP).filter(F.col(_BUCKET) == F.col("__cut"))
-    rank = F.row_number().over(Window.partitionBy(_GROUP).orderBy(_HASH))
+    edge = hashed.select(_GROUP, _BUCKET, _HASH, _TIE).join(cuts, _GROUP).filter(F.col(_BUCKET) == F.col("__cut"))
+    rank = F.row_number().over(Window.partitionBy(_GROUP).orderBy(_HASH, _TIE))
     limit = materialize(edge.withColumn("__r", rank).filter(F.col("__r") == F.col("__left")).select(
         _GROUP, F.col(_HASH).alias("__limit")), "limits")
     return (
@@ -145,7 +151,7 @@ def numbered(df: DataFrame, key: str | Column, group: str, seed: int = 42) -> Da
     hashed = _hashed(df, key, seed, group)
     offsets = _bucket_counts(hashed).select(
         F.col(_GROUP).alias("__g2"), F.col(_BUCKET).alias("__b2"), "__before", F.col("__size").alias("group_size"))
-    rank = F.row_number().over(Window.partitionBy(_GROUP, _BUCKET).orderBy(_HASH))
+    rank = F.row_number().over(Window.partitionBy(_GROUP, _BUCKET).orderBy(_HASH, _TIE))
     return (
         hashed.withColumn("__r", rank)
         .join(offsets, (F.col(_GROUP) == F.col("__g2")) & (F.col(_BUCKET) == F.col("__b2")))

@@ -358,7 +358,7 @@ def w06(spark, sf):
 
 
 @query("w07_dense_codes", """WITH d AS (SELECT DISTINCT l_shipdate AS v FROM lineitem), c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM d)
-SELECT CAST(code AS INT) AS code, count(*) AS n FROM lineitem JOIN c ON l_shipdate = v GROUP BY 1""")
+SELECT CAST(code AS BIGINT) AS code, count(*) AS n FROM lineitem JOIN c ON l_shipdate = v GROUP BY 1""")
 def w07(spark, sf):
     return en.encode_column(tb.table(spark, sf, "lineitem").select("l_shipdate"), "l_shipdate", "code").groupBy("code").agg(
         F.count("*").alias("n"))

@@ -62,7 +62,7 @@ def e05(spark, sf):
     return out.withColumns({"iat_mean": F.round("iat_mean", 7), "iat_std": F.round("iat_std", 6), "iat_ratio": F.round("iat_ratio", 4)})
 
 
-@query("e06_protocol_code", f"""WITH {S.FLOWS} SELECT protocol, CASE protocol WHEN 1 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS protocol_encoded, count(*) AS n FROM flows GROUP BY 1, 2""")
+@query("e06_protocol_code", f"""WITH {S.FLOWS} SELECT protocol, (CASE protocol WHEN 1 THEN 0 WHEN 6 THEN 1 ELSE 2 END)::BIGINT AS protocol_encoded, count(*) AS n FROM flows GROUP BY 1, 2""")
 def e06(spark, sf):
     f = tb.flows(spark, sf).select("protocol")
     return en.encode_column(f, "protocol", "protocol_encoded").groupBy("protocol", "protocol_encoded").agg(F.count("*").alias("n"))
@@ -80,7 +80,7 @@ _CAT = """cat AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 TH
 
 @query("e08_categorical_codes", f"""WITH {_CAT}, f AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce(flag, '___NA___') AS v FROM cat)),
 h AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT sample AS v FROM cat))
-SELECT CAST(f.code AS INT) AS flag_encoded, CAST(h.code AS INT) AS sample_encoded, count(*) AS n FROM cat JOIN f ON coalesce(flag, '___NA___') = f.v JOIN h ON sample = h.v GROUP BY 1, 2""")
+SELECT CAST(f.code AS BIGINT) AS flag_encoded, CAST(h.code AS BIGINT) AS sample_encoded, count(*) AS n FROM cat JOIN f ON coalesce(flag, '___NA___') = f.v JOIN h ON sample = h.v GROUP BY 1, 2""")
 def e08(spark, sf):
     df = tb.table(spark, sf, "lineitem").selectExpr(
         "case when l_linenumber = 7 then null else l_returnflag end as flag", "md5(cast(l_suppkey as string)) as sample",
@@ -91,7 +91,7 @@ def e08(spark, sf):
 
 @query("e09_label_index", f"""WITH {S.LABELS}, {S.ALERTS}, x AS (SELECT CASE WHEN event_id % 17 = 0 THEN 'UNKNOWN' ELSE name END AS label FROM alerts0 JOIN labels9 ON label_idx = idx),
 d AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i FROM (SELECT DISTINCT label FROM x))
-SELECT x.label, CAST(i AS INT) AS label_idx, count(*) AS n FROM x JOIN d ON x.label = d.label GROUP BY 1, 2""")
+SELECT x.label, CAST(i AS BIGINT) AS label_idx, count(*) AS n FROM x JOIN d ON x.label = d.label GROUP BY 1, 2""")
 def e09(spark, sf):
     from flowlens.operators.alerts import class_name
 
