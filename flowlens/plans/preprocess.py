@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from flowlens.operators import balance as bl, clean as cl, encode as en, features as ft, sampling as sp, scaling as sc
 from flowlens.session import materialize
 from flowlens.sources import artifacts as ar, sinks
-from flowlens.sources.schema import numeric_columns, string_columns, with_ips, with_label
+from flowlens.sources.schema import numeric_columns, resolve_columns, string_columns, with_ips, with_label
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,8 @@ class PreprocessConfig:
     fit_on: str = "train"          # "all" fits the scaler on every row
     impute: bool = False           # False fills missing values with 0
     sample_size: int | None = None
-    resample: bool = False
+    stratify: bool = True          # exact per-class test quota; False splits by hash alone
+    resample: bool | None = None   # None: when the largest class has over 5 times the smallest
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,9 @@ def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Pr
     (statistics, dictionaries, scaler fit, splits) read a table instead of
     repeating the duplicate removal, and the logical plan of a pass stays small.
     """
-    df = with_ips(with_label(raw, cfg.label))
+    df = with_ips(with_label(resolve_columns(raw), cfg.label))
+    if cfg.key not in df.columns:
+        df = df.withColumn(cfg.key, F.sha2(F.to_json(F.struct("*")), 256))  # exports without an id: one of the whole row
     if cfg.sample_size is not None:
         df = materialize(sp.sample_exact(df, cfg.key, cfg.sample_size, cfg.seed), "sample")
     df = materialize(cl.clean(df), "clean")
@@ -55,7 +58,10 @@ def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Pr
     df = ft.engineer(df, feature_stats)
     booleans = [f.name for f in df.schema.fields if f.dataType.simpleString() == "boolean"]
     df = df.withColumns({c: F.col(c).cast("int") for c in booleans}) if booleans else df
-    df = materialize(sp.split_hash(df, cfg.key, cfg.test_fraction, cfg.seed), "derived")
+    df = materialize(df, "engineered")
+    split = sp.split_exact(df, cfg.key, "label_idx", cfg.test_fraction, cfg.seed) if cfg.stratify \
+        else sp.split_hash(df, cfg.key, cfg.test_fraction, cfg.seed)
+    df = materialize(split, "derived")
     columns = numeric_columns(df, ("label_idx", "src_port", "dst_port"))
 
     def filled(rows: DataFrame) -> DataFrame:
@@ -65,7 +71,10 @@ def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Pr
     fit_rows = df if cfg.fit_on == "all" else df.filter("split = 'train'")
     scaler = sc.fit_scaler(filled(fit_rows), columns, impute=cfg.impute)
     scaled = materialize(sc.scale(filled(df), columns, scaler, cfg.scaler, impute=cfg.impute), "scaled")
-    if cfg.resample:
+    resample = cfg.resample
+    if resample is None:
+        resample = bool(bl.imbalance(scaled.filter("split = 'train'"), "label_idx").first()["imbalanced"])
+    if resample:
         train = bl.expand(bl.resample(scaled.filter("split = 'train'"), cfg.key, "label_idx", "minority", cfg.seed))
         scaled = train.unionByName(scaled.filter("split = 'test'"))
     return Preprocessed(scaled, columns, {"scaler": scaler, "features": feature_stats})

@@ -30,9 +30,25 @@ def canonical_name(name: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", s).strip("_")
 
 
-def canonicalize(df: DataFrame) -> DataFrame:
-    """Rename every column to its canonical form in one projection."""
-    return df.select(*[F.col(f"`{c}`").alias(canonical_name(c)) for c in df.columns])
+def resolve_columns(df: DataFrame) -> DataFrame:
+    """A raw export under the names the library uses: canonical form, then known aliases.
+
+    The first column of an alias group keeps the name; headers that become equal are
+    numbered on.  ``ts`` is parsed from text by the export's own formats.
+    """
+    taken: dict[str, int] = {}
+    out = []
+    for c in df.columns:
+        name = canonical_name(c)
+        if not any(canonical_name(o) == fv.COLUMN_ALIASES.get(name) for o in df.columns):
+            name = fv.COLUMN_ALIASES.get(name, name)
+        taken[name] = taken.get(name, 0) + 1
+        out.append(F.col(f"`{c}`").alias(name if taken[name] == 1 else f"{name}_{taken[name]}"))
+    renamed = df.select(*out)
+    if dict(renamed.dtypes).get("ts") == "string":
+        parsed = [F.try_to_timestamp("ts", F.lit(f)) for f in fv.TIMESTAMP_FORMATS]
+        renamed = renamed.withColumn("ts", F.coalesce(*parsed).cast("timestamp_ntz"))
+    return renamed
 
 
 def find_label_column(columns: list[str]) -> str | None:
@@ -70,9 +86,3 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
 def string_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.StringType) and f.name not in exclude]
-
-
-def require(df: DataFrame, *columns: str) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError("missing columns: " + ", ".join(missing))
