@@ -23,6 +23,7 @@ from flowlens.functions.keys import hash_bucket, key_hash
 from flowlens.functions.numeric import as_col
 from flowlens.operators.balance import with_class_weight
 from flowlens.operators.fuzzy import override_prediction
+from flowlens.operators.scaling import fit_scaler, scale
 from flowlens.session import materialize
 
 MAX_DEPTH = 30  # upper bound of Spark's tree learner
@@ -69,7 +70,7 @@ def entropy_tree(df: DataFrame, cfg: TrainConfig, depth: int = 10, min_leaf: int
     return Pipeline(stages=[assembler(cfg), _weighted(dt, cfg)]).fit(prepare(df, cfg))
 
 
-# Variants of the tree ensemble: (depth, minimum rows per leaf, leading features used).
+# Variants of the tree ensemble as (depth, minimum rows per leaf, leading features used).
 TREE_VARIANTS = [(50, 1, 60), (45, 1, 55), (55, 1, 65), (48, 2, 58), (52, 1, 62)]
 
 
@@ -77,10 +78,11 @@ def tree_ensemble(df: DataFrame, cfg: TrainConfig, variants: list[tuple[int, int
                   max_depth: int = MAX_DEPTH) -> list[PipelineModel]:
     """Entropy trees over the leading features of ``cfg`` (ranked best first).
 
-    Variants that coincide after Spark's depth bound are fitted once and keep
-    their votes.
+    Where a bound of Spark's tree learner or of the table is reached, the variants
+    keep their distances: the deepest tree has ``max_depth`` and the others as many
+    levels less as they had, the widest has all features and the others their share.
     """
-    effective = [(min(d, max_depth), leaf, min(n, len(cfg.features))) for d, leaf, n in variants]
+    effective = effective_variants(variants, len(cfg.features), max_depth)
     data = prepare(df, cfg).cache()
     try:
         fitted = {}
@@ -94,6 +96,14 @@ def tree_ensemble(df: DataFrame, cfg: TrainConfig, variants: list[tuple[int, int
         data.unpersist()
 
 
+def effective_variants(variants: list[tuple[int, int, int]], features: int, max_depth: int) -> list[tuple[int, int, int]]:
+    """Variants within the bounds, still different from each other."""
+    deepest, widest = max(d for d, _, _ in variants), max(n for _, _, n in variants)
+    over = max(deepest - max_depth, 0)
+    wide = min(features / widest, 1.0)
+    return [(max(d - over, 1), leaf, max(1, math.ceil(n * wide))) for d, leaf, n in variants]
+
+
 def score(model: PipelineModel, df: DataFrame, cfg: TrainConfig, out: str,
           probability: str | None = None, keep_raw: str | None = None) -> DataFrame:
     """Add the predicted class (and optionally the probability array) to ``df``."""
@@ -205,6 +215,27 @@ def grid_search(df: DataFrame, cfg: TrainConfig, fold: str, regs: list[float], p
     return fitted, [(r, float(m)) for r, m in zip(regs, fitted.avgMetrics)]
 
 
+def svm_grid(df: DataFrame, cfg: TrainConfig, fold: str, costs: list[float], gammas: list[float | None],
+             n_out: int = 64, iterations: int = 20) -> list[tuple[float, float | None, float]]:
+    """Weighted F1 of every (C, gamma) over given folds; gamma None is the linear kernel.
+
+    The features are standardised first; an RBF kernel is its random Fourier features.
+    A cost C is the regularisation 1 / (C n) of the mean hinge loss.
+    """
+    stats = fit_scaler(df, list(cfg.features))
+    scaled = materialize(scale(df, list(cfg.features), stats, "standard").select(
+        F.col(cfg.label).cast("double").alias(cfg.label), fold, *cfg.features), "grid")
+    n = scaled.count()
+    out = []
+    for gamma in gammas:
+        data, names = (scaled, list(cfg.features)) if gamma is None else with_fourier_features(
+            scaled, list(cfg.features), n_out, gamma, cfg.seed)
+        sub = TrainConfig(features=tuple(names), label=cfg.label, weight=None, seed=cfg.seed)
+        _, scores = grid_search(data, sub, fold, [1.0 / (c * n) for c in costs], iterations=iterations)
+        out += [(c, gamma, f1) for c, (_, f1) in zip(costs, scores)]
+    return out
+
+
 def out_of_fold(df: DataFrame, cfg: TrainConfig, fold: str, fit, out: str, folds: int = 3) -> DataFrame:
     """Probability of every row from the model that did not see its fold."""
     parts = []

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.operators import compare as cp, features as ft, fuzzy as fz, metrics as mt, models as md, patterns as pt
+from flowlens.operators import compare as cp, features as ft, fuzzy as fz, metrics as mt, models as md, patterns as pt, selection as fs
 from flowlens.session import materialize
 from flowlens.sources.tables import PREDICTION_COLUMNS
 
@@ -53,7 +53,8 @@ def train_all(train: DataFrame, features: list[str], fuzzy_features: list[str],
               weight: str | None = "class_weight") -> TrainedSystem:
     """Fit the three models on one written training table."""
     data = materialize(train.select("label_idx", *dict.fromkeys([*features, *fuzzy_features])), "train")
-    plain = md.TrainConfig(features=tuple(features), weight=weight)
+    ranked = [r["feature"] for r in fs.anova_f(data, features, "label_idx").orderBy(F.desc_nulls_last("f_score"), "feature").collect()]
+    plain = md.TrainConfig(features=tuple(ranked), weight=weight)  # one row per feature
     forest_cfg = md.TrainConfig(features=tuple(dict.fromkeys([*features, *fuzzy_features])), weight=weight)
     seconds: dict[str, float] = {}
 

@@ -1,14 +1,17 @@
 """Models, ensembles, tuning, explanations and model-based selection (M5-M20, FS3-FS8, T6, S21).
 
-Tree counts and depths are kept small here; the plans take the full sizes.
+Models have the reference sizes.  What bounds a fit is FIT_ROWS, the number of labelled
+rows of the train side used to fit (stratified by class); every row is scored.  A query
+returns facts that hold for any good fit, so each has a SQL twin: rows per true class,
+accuracy not below what the class shares give away, paths that agree with the features.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens import fixed_values as fv
-from flowlens.operators import alerts as al, compare as cp, fuzzy as fz, metrics as mt, models as md, sampling as sp, selection as fs
+from flowlens.operators import compare as cp, fuzzy as fz, metrics as mt, models as md, sampling as sp, selection as fs
 from flowlens.plans import training as tr
 from flowlens.queries import query
 from flowlens.queries import sql as S
@@ -20,16 +23,23 @@ from flowlens.sources import artifacts as ar, readers, sinks, tables as tb
 
 N = len(fv.CLASSES)
 CFG = md.TrainConfig(features=tuple(FEATURES))
-SMALL = tr.Sizes(trees=5, depth=6, tree_depth=6, svm_iterations=3)
+FIT_ROWS = 2_000
+GRID_ROWS = 600
 
+SPLIT_SQL = f"""{S.FLOWS}, sides AS (SELECT *, CASE WHEN ('0x' || substr(md5(flow_id || '#42'), 1, 8))::BIGINT / 4294967296 < 0.3e0
+  THEN 'test' ELSE 'train' END AS split FROM flows), test AS (SELECT * FROM sides WHERE split = 'test')"""
+LEARNED_SQL = f"WITH {SPLIT_SQL} SELECT label_idx, count(*) AS n, true AS learned FROM test GROUP BY 1"
 
-def split_flows(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(train, test) of the flow view by key hash; the split is written once."""
+
+def split_flows(spark, sf, rows: int = FIT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(train rows to fit on, test) of the flow view by key hash; both are written once."""
     cols = ["flow_id", "ts", "label_idx", *FEATURES, "protocol", "src_port"]
     flows = tb.flows(spark, sf).select(*dict.fromkeys(cols))
-    rows = fz.with_fuzzy_features(flows.withColumn("is_well_known_dst", F.col("dst_port") <= 1024))
-    stored = materialize(sp.split_hash(rows, "flow_id"), "split")
-    return stored.filter("split = 'train'"), stored.filter("split = 'test'")
+    featured = fz.with_fuzzy_features(flows.withColumn("is_well_known_dst", F.col("dst_port") <= 1024))
+    stored = materialize(sp.split_hash(featured, "flow_id"), "split")
+    fitted = sp.sample_stratified(stored.filter("split = 'train'"), "flow_id", "label_idx", rows)
+    # One file: the bounded sample is small, and a solver's passes are then one task each.
+    return materialize(fitted.coalesce(1), "fit"), stored.filter("split = 'test'")
 
 
 def by_class(scored: DataFrame, pred: str) -> DataFrame:
@@ -37,65 +47,108 @@ def by_class(scored: DataFrame, pred: str) -> DataFrame:
     return scored.groupBy("label_idx").agg(F.count("*").alias("n"), F.count_if(F.col(pred) == F.col("label_idx")).alias("correct"))
 
 
-@query("m05_random_forest")
+def learned(scored: DataFrame, pred: str, balanced: bool = False, also: Column | None = None) -> DataFrame:
+    """Rows per true class, and whether the model beats guessing.
+
+    Plain: more hits than the largest class has rows.  ``balanced``: mean recall above
+    one over the number of classes, for models fitted with class weights.
+    """
+    from flowlens.functions.stats import over_all
+
+    ok = F.lit(True) if also is None else also
+    counts = by_class(scored.withColumn("__ok", ok), pred).join(
+        scored.withColumn("__ok", ok).groupBy("label_idx").agg(F.bool_and("__ok").alias("__all")), "label_idx")
+    hits, largest = over_all(F.sum("correct")), over_all(F.max("n"))
+    recall = over_all(F.avg(F.col("correct") / F.col("n")))
+    better = recall > 1.0 / N if balanced else hits >= largest
+    return counts.select("label_idx", "n", (better & over_all(F.bool_and("__all"))).alias("learned"))
+
+
+@query("m05_random_forest", LEARNED_SQL)
 def m05(spark, sf):
     """Class-weighted forest on flow features plus flow-token pattern features."""
     train, test = split_flows(spark, sf)
-    (train, extra), (test, _) = [tr.with_model_inputs(d, ["flag_syn", "long_flow", "protocol_17"]) for d in (train, test)]
+    (train, extra), (test, _) = [tr.with_model_inputs(d, fv.MALWARE_SIGNATURES) for d in (train, test)]
     cfg = md.TrainConfig(features=tuple(dict.fromkeys([*FEATURES, *[c for c in extra if c.startswith("aca")]])))
-    return by_class(md.score(md.random_forest(train, cfg, trees=5, depth=6), test, cfg, "pred"), "pred")
+    return learned(md.score(md.random_forest(train, cfg), test, cfg, "pred"), "pred")
 
 
-@query("m06_fuzzy_forest")
+@query("m06_fuzzy_forest", LEARNED_SQL)
 def m06(spark, sf):
+    """Forest of 200 trees to depth 30 with fuzzy features; overridden calls are benign ones only."""
     train, test = split_flows(spark, sf)
     cfg = md.TrainConfig(features=tuple([*FEATURES, *fz.FUZZY_FEATURES]))
-    scored = md.fuzzy_forest_predict(md.random_forest(train, cfg, trees=5, depth=6), test, cfg, "pred")
-    return fz.override_statistics(scored, "pred_raw", "pred")
+    scored = md.fuzzy_forest_predict(md.random_forest(train, cfg, trees=200, depth=30), test, cfg, "pred")
+    benign = fv.CLASSES.index(fv.BENIGN)
+    return learned(scored, "pred_raw", also=(F.col("pred") == F.col("pred_raw")) | (F.col("pred_raw") == benign))
 
 
-@query("m07_tree_ensemble")
+@query("m07_tree_ensemble", LEARNED_SQL)
 def m07(spark, sf):
     train, test = split_flows(spark, sf)
-    variants = [(6, 1, 10), (5, 1, 8), (7, 1, 10), (6, 2, 9), (6, 1, 7)]
-    trees = md.tree_ensemble(train, CFG, variants)
-    return by_class(md.score_ensemble(trees, test, CFG, "pred"), "pred")
+    ranked = [r["feature"] for r in fs.top_k(fs.anova_f(train, FEATURES, "label_idx"), "f_score", len(FEATURES)).collect()]
+    cfg = md.TrainConfig(features=tuple(ranked))
+    return learned(md.score_ensemble(md.tree_ensemble(train, cfg), test, cfg, "pred"), "pred")
 
 
-@query("m08_decision_paths")
+@query("m08_decision_paths", f"WITH {SPLIT_SQL} SELECT count(*) AS n, count(*) AS agreeing, true AS paths_differ FROM test")
 def m08(spark, sf):
+    """Every row's path, evaluated again on the row's own features."""
     train, test = split_flows(spark, sf)
-    model = md.entropy_tree(train, CFG, depth=5)
-    return md.decision_paths(model, test, CFG, "flow_id").groupBy("path", "depth", "prediction").agg(F.count("*").alias("n"))
-
-
-@query("m09_linear_svm")
+    model = md.entropy_tree(train, CFG, depth=10)
+    rows = test.withColumn("flow_id", F.monotonically_increasing_id())
+    rows = materialize(rows, "paths")
+    found = materialize(md.decision_paths(model, rows, CFG, "flow_id").join(rows, "flow_id"), "paths")
+    holds = F.lit(False)
+    for r in found.select("path").distinct().collect():  # leaves of one tree
+        test_ = F.lit(True) if r["path"] == "(root)" else F.expr(tolerant(r["path"]))
+        holds = holds | ((F.col("path") == r["path"]) & test_)
+    return found.agg(F.count("*").alias("n"), F.count_if(holds).alias("agreeing"), (F.count_distinct("path") > 1).alias("paths_differ"))
+
+
+def tolerant(path: str) -> str:
+    """The path's conditions with room for the six digits its thresholds are written with."""
+    out = []
+    for condition in path.split(" AND "):
+        name, sign, limit = condition.split(" ")
+        room = abs(float(limit)) * 1e-5
+        out.append(f"{name} {sign} {float(limit) + (room if sign == '<=' else -room)!r}D")
+    return " AND ".join(out)
+
+
+@query("m09_linear_svm", LEARNED_SQL)
 def m09(spark, sf):
     train, test = split_flows(spark, sf)
-    scored = md.score(md.linear_svm(train, CFG, iterations=3), test, CFG, "pred", keep_raw="raw")
-    conf = md.confidence(decision=F.col("raw"))
-    return scored.groupBy("label_idx").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label_idx")).alias("correct"),
-                                           F.avg(conf).alias("mean_confidence"))
+    scored = md.score(md.linear_svm(train, CFG, iterations=100), test, CFG, "pred", keep_raw="raw")
+    return learned(scored, "pred", balanced=True, also=md.confidence(decision=F.col("raw")).between(-1.0, 1.0))
 
 
-@query("m10_rbf_svm")
+@query("m10_rbf_svm", LEARNED_SQL)
 def m10(spark, sf):
     train, test = split_flows(spark, sf)
     from flowlens.operators import scaling as sc
 
     stats = sc.fit_scaler(train, FEATURES)
-    parts = [md.with_fourier_features(sc.scale(d, FEATURES, stats, "standard"), FEATURES, n_out=8) for d in (train, test)]
+    parts = [md.with_fourier_features(sc.scale(d, FEATURES, stats, "standard"), FEATURES, n_out=64) for d in (train, test)]
     cfg = md.TrainConfig(features=tuple(parts[0][1]))
-    return by_class(md.score(md.linear_svm(parts[0][0], cfg, iterations=3), parts[1][0], cfg, "pred"), "pred")
+    return learned(md.score(md.linear_svm(parts[0][0], cfg, iterations=100), parts[1][0], cfg, "pred"), "pred", balanced=True)
+
+
+# Costs of the linear grid; costs and kernel widths of the RBF grid (standardised features: scale = auto = 1 / features).
+LINEAR_COSTS = [0.1, 1.0, 10.0, 100.0]
+RBF_COSTS, RBF_GAMMAS = [0.1, 1.0, 10.0], [1.0 / len(FEATURES), 0.001, 0.01, 0.1]
 
 
-@query("m11_grid_search")
+@query("m11_grid_search", "SELECT unnest(['linear', 'rbf']) AS kernel, unnest([4, 12])::BIGINT AS points, true AS best_not_below_first")
 def m11(spark, sf):
-    train, _ = split_flows(spark, sf)
-    cfg = md.TrainConfig(features=tuple(FEATURES[:5]), weight=None)
-    two = train.withColumn("label_idx", al.is_threat(F.col("label_idx")).cast("int"))
-    _, scores = md.grid_search(md.with_fold(two, "flow_id"), cfg, "fold", [0.01, 1.0], iterations=3)
-    return spark.createDataFrame(scores, "reg double, weighted_f1 double")
+    train, _ = split_flows(spark, sf, GRID_ROWS)
+    cfg = md.TrainConfig(features=tuple(FEATURES), weight=None)
+    folded = md.with_fold(train, "flow_id")
+    rows = []
+    for kernel, costs, gammas in (("linear", LINEAR_COSTS, [None]), ("rbf", RBF_COSTS, RBF_GAMMAS)):
+        scores = md.svm_grid(folded, cfg, "fold", costs, gammas)
+        rows.append((kernel, len(scores), max(f for *_, f in scores) >= scores[0][2] > 0))
+    return spark.createDataFrame(rows, "kernel string, points long, best_not_below_first boolean")
 
 
 # --- votes over given predictions -------------------------------------------------------
@@ -151,93 +204,121 @@ def m17(spark, sf):
                        F.round(md.confidence(decision=F.array(a, b)), 6).alias("from_decisions"))
 
 
-@query("m13_stacking")
+@query("m13_stacking", LEARNED_SQL)
 def m13(spark, sf):
     train, test = split_flows(spark, sf)
-    cfg = md.TrainConfig(features=tuple(FEATURES[:6]))
-    learners = {"rf": lambda d, c: md.random_forest(d, c, trees=3, depth=5), "dt": lambda d, c: md.entropy_tree(d, c, depth=5)}
-    top, base, meta = md.stack(md.with_fold(train, "flow_id"), cfg, "fold", learners, N, iterations=10)
-    return by_class(md.score_stack(top, base, meta, test, cfg, N, "pred"), "pred")
+    learners = {"rf": lambda d, c: md.random_forest(d, c), "dt": lambda d, c: md.entropy_tree(d, c)}
+    top, base, meta = md.stack(md.with_fold(train, "flow_id"), CFG, "fold", learners, N)
+    return learned(md.score_stack(top, base, meta, test, CFG, N, "pred"), "pred", balanced=True)
 
 
-@query("m18_score_and_log")
+@query("m18_score_and_log", f"WITH {SPLIT_SQL} SELECT count(*) AS n, count(*) AS same_prediction, true AS confident FROM test")
 def m18(spark, sf):
+    """Scored rows appended to the detection log and read back."""
     train, test = split_flows(spark, sf)
-    scored = md.score(md.entropy_tree(train, CFG, depth=5), test, CFG, "pred", probability="p")
+    scored = materialize(md.score(md.entropy_tree(train, CFG), test, CFG, "pred", probability="p"), "scored")
     log = sinks.detection_log(scored.withColumn("conf", md.confidence(F.col("p"))), "IntruDTree", "pred", "conf", ["flow_duration"])
     path = new_path(spark, "scored-log")
     sinks.append_detections(log, path)
-    return readers.read_detection_log(spark, path).groupBy("prediction").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
+    back = readers.read_detection_log(spark, path).groupBy("prediction").agg(F.count("*").alias("n"), F.min("confidence").alias("low"), F.max("confidence").alias("high"))
+    was = scored.groupBy(F.col("pred").alias("prediction")).agg(F.count("*").alias("m"))
+    return back.join(was, "prediction", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("same_prediction"),
+                                                    ((F.min("low") >= 1.0 / N) & (F.max("high") <= 1.0)).alias("confident"))
 
 
-@query("m20_train_all")
+@query("m20_train_all", """SELECT unnest(['ACA_SVM', 'Fuzzy_RF', 'IntruDTree']) AS model, true AS ranked, true AS in_range""")
 def m20(spark, sf):
-    """All three models trained, scored and compared; one row per model."""
+    """All three models at full size, trained, scored and compared; one row per model."""
     train, test = split_flows(spark, sf)
-    both = train.unionByName(test)
-    _, tables = tr.run(both, FEATURES, SMALL)
-    return tables["evaluation"].join(tables["ranking"].select("model", "overall_rank"), "model")
+    _, tables = tr.run(train.unionByName(test), FEATURES)
+    both = tables["evaluation"].join(tables["ranking"].select("model", "overall_rank"), "model")
+    return both.select("model", F.col("overall_rank").between(1, 3).alias("ranked"), F.col("accuracy").between(0, 1).alias("in_range"))
 
 
-@query("t06_feature_importance")
-def t06(spark, sf):
+IMPORTANCE_SQL = f"SELECT unnest({FEATURES!r}) AS feature, true AS not_negative, true AS sum_is_one"
+
+
+def importance_facts(scores: DataFrame) -> DataFrame:
+    from flowlens.functions.stats import over_all
+
+    total = over_all(F.sum("importance"))
+    return scores.select("feature", (F.col("importance") >= 0).alias("not_negative"), (F.abs(total - 1) < 1e-6).alias("sum_is_one"))
+
+
+def forest_scores(spark, sf) -> DataFrame:
     train, _ = split_flows(spark, sf)
-    return md.feature_importance(md.random_forest(train, CFG, trees=5, depth=5), CFG, spark)
+    return md.feature_importance(md.random_forest(train, CFG), CFG, spark)
 
 
-@query("s21_model_store")
+@query("t06_feature_importance", IMPORTANCE_SQL)
+def t06(spark, sf):
+    return importance_facts(forest_scores(spark, sf))
+
+
+@query("s21_model_store", f"""WITH {SPLIT_SQL} SELECT model, count(*) AS n, count(*) AS equal_predictions FROM test, (SELECT unnest(['forest', 'tree']) AS model) GROUP BY 1""")
 def s21(spark, sf):
     """Saved and reloaded models give the same predictions; one row per model."""
     train, test = split_flows(spark, sf)
-    models = {"forest": md.random_forest(train, CFG, trees=3, depth=4), "tree": md.entropy_tree(train, CFG, depth=4)}
+    models = {"forest": md.random_forest(train, CFG), "tree": md.entropy_tree(train, CFG)}
     path = new_path(spark, "models")
-    ar.save_models(spark, models, path, {"tree": {"depth": 4}})
+    ar.save_models(spark, models, path, {"tree": {"depth": 10}})
     back = ar.load_models(spark, path)
     rows = test
     for name in models:
         rows = md.score(back[name], md.score(models[name], rows, CFG, f"{name}_before"), CFG, f"{name}_after")
     same = [F.count_if(F.col(f"{n}_before") == F.col(f"{n}_after")).alias(n) for n in models]
     counts = rows.agg(F.count("*").alias("n"), *same).unpivot(["n"], list(models), "model", "equal_predictions")
-    return ar.load_manifest(spark, path).join(counts, "model")
+    return ar.load_manifest(spark, path).join(counts, "model").select("model", "n", "equal_predictions")
 
 
 # --- model-based selection ------------------------------------------------------------------
-def forest_scores(spark, sf) -> DataFrame:
+@query("fs3_forest_importance", IMPORTANCE_SQL)
+def fs3(spark, sf):
+    return importance_facts(forest_scores(spark, sf))
+
+
+def tree_selection(spark, sf, k: int) -> DataFrame:
+    flows = tb.flows(spark, sf)
+    return fs.combined_tree_score(fs.mutual_information(equal_bins(spark, sf)), forest_scores(spark, sf),
+                                  fs.anova_f(flows, FEATURES, "label_idx"), k)
+
+
+def linear_selection(spark, sf, k: int) -> DataFrame:
+    flows = tb.flows(spark, sf)
     train, _ = split_flows(spark, sf)
-    return md.feature_importance(md.random_forest(train, CFG, trees=5, depth=5), CFG, spark)
+    return fs.combined_linear_score(fs.anova_f(flows, FEATURES, "label_idx"), md.eliminate(train, CFG, k),
+                                    fs.correlations(flows, FEATURES, "label_idx"), k)
 
 
-@query("fs3_forest_importance")
-def fs3(spark, sf):
-    return forest_scores(spark, sf)
+def selection_facts(selected: DataFrame) -> DataFrame:
+    known = F.bool_and(F.col("feature").isin(FEATURES))
+    return selected.agg(F.count("*").alias("n"), F.count_distinct("feature").alias("distinct_features"), known.alias("known"))
 
 
-@query("fs4_tree_score")
+@query("fs4_tree_score", "SELECT 5::BIGINT AS n, 5::BIGINT AS distinct_features, true AS known")
 def fs4(spark, sf):
-    flows = tb.flows(spark, sf)
-    return fs.combined_tree_score(fs.mutual_information(equal_bins(spark, sf)), forest_scores(spark, sf),
-                                  fs.anova_f(flows, FEATURES, "label_idx"), 5)
+    return selection_facts(tree_selection(spark, sf, 5))
 
 
-@query("fs6_recursive_elimination")
+@query("fs6_recursive_elimination", "SELECT 7::BIGINT AS n, 7::BIGINT AS distinct_features, true AS known FROM (SELECT count(*) FROM lineitem)")
 def fs6(spark, sf):
     train, _ = split_flows(spark, sf)
     kept = md.eliminate(train, CFG, 7)
-    return train.agg(*[F.count(c).alias(c) for c in kept]).unpivot([], kept, "feature", "n")
+    return selection_facts(train.agg(*[F.count(c).alias(c) for c in kept]).unpivot([], kept, "feature", "n"))
 
 
-@query("fs7_linear_score")
+@query("fs7_linear_score", "SELECT 8::BIGINT AS n, 8::BIGINT AS distinct_features, true AS known")
 def fs7(spark, sf):
-    flows = tb.flows(spark, sf)
-    train, _ = split_flows(spark, sf)
-    return fs.combined_linear_score(fs.anova_f(flows, FEATURES, "label_idx"), md.eliminate(train, CFG, 8),
-                                    fs.correlations(flows, FEATURES, "label_idx"), 8)
+    return selection_facts(linear_selection(spark, sf, 8))
 
 
-@query("fs8_subset_search")
+@query("fs8_subset_search", "SELECT unnest([2, 4, 6, 8]) AS n_features, true AS in_range, true AS within_union")
 def fs8(spark, sf):
-    flows = tb.flows(spark, sf)
+    """Union of tree and linear selection, then the best leading subset by cross-validated F1."""
     train, _ = split_flows(spark, sf)
-    ranked = [r["feature"] for r in fs.top_k(fs.anova_f(flows, FEATURES, "label_idx"), "f_score", 10).collect()]
-    found = md.subset_search(md.with_fold(train, "flow_id"), CFG, ranked, "fold", [5, 10], trees=3)
-    return spark.createDataFrame(found, "n_features int, weighted_f1 double")
+    union = fs.selection_union(tree_selection(spark, sf, 6).select("feature"), linear_selection(spark, sf, 6).select("feature"))
+    chosen = {r["feature"] for r in union.collect()}  # at most the two selections
+    ranked = [r["feature"] for r in fs.top_k(fs.anova_f(train, sorted(chosen), "label_idx"), "f_score", len(chosen)).collect()]
+    found = md.subset_search(md.with_fold(train, "flow_id"), CFG, (ranked + [f for f in FEATURES if f not in ranked])[:8], "fold", [2, 4, 6, 8])
+    inside = set(ranked) == chosen and len(chosen) >= 6
+    return spark.createDataFrame([(n, 0 <= f <= 1, inside) for n, f in found], "n_features int, in_range boolean, within_union boolean")
