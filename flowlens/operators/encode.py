@@ -16,7 +16,7 @@ from flowlens.session import materialize
 
 NA = "___NA___"
 # Dictionaries up to this many entries are broadcast; larger ones are joined by shuffle.
-BROADCAST_ENTRIES = 100_000
+BROADCAST_ENTRIES, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def label_dictionary(spark: SparkSession, classes: list[str] = fv.CLASSES) -> DataFrame:
@@ -42,8 +42,10 @@ def distinct_values(df: DataFrame, column: str, null_value: str | None = None) -
 
 
 def is_small(distinct: DataFrame, max_values: int = BROADCAST_ENTRIES) -> bool:
-    """Size check that stops counting just beyond the bound."""
-    return distinct.limit(max_values + 1).count() <= max_values
+    """Check of rows and bytes that stops counting just beyond the bound."""
+    row = distinct.limit(max_values + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(distinct.columns[0]).cast("string"))).alias("b")).first()
+    return row["n"] <= max_values and (row["b"] or 0) <= BROADCAST_BYTES
 
 
 def dense_codes(distinct: DataFrame, column: str = "value", out: str = "code", small: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -83,16 +84,16 @@ def quantile_score(df: DataFrame, stats: Stats | None = None) -> DataFrame:
     """``rule_score`` in [0, 1] and ``rule_label`` = score > 0.5."""
     stats = quantile_stats(df) if stats is None else stats
     q = lambda name: st.stat(stats, name)
-    rules: list[tuple[str, Column, int]] = [
-        ("packets_per_second", F.col("packets_per_second") > q("packets_per_second__90"), 3),
-        ("bytes_per_second", F.col("bytes_per_second") > q("bytes_per_second__90"), 2),
-        ("is_well_known_port", F.col("is_well_known_port") == 0, 2),
-        ("flow_direction", F.col("flow_direction") == 2, 2),
-        ("packet_count", F.col("packet_count") > q("packet_count__80"), 1),
-        ("protocol_encoded", F.col("protocol_encoded") > q("protocol_encoded__95"), 2),
-        ("avg_ttl", ~F.col("avg_ttl").between(q("avg_ttl__10"), q("avg_ttl__90")), 1),
+    rules: list[tuple[str, Callable[[], Column], int]] = [
+        ("packets_per_second", lambda: F.col("packets_per_second") > q("packets_per_second__90"), 3),
+        ("bytes_per_second", lambda: F.col("bytes_per_second") > q("bytes_per_second__90"), 2),
+        ("is_well_known_port", lambda: F.col("is_well_known_port") == 0, 2),
+        ("flow_direction", lambda: F.col("flow_direction") == 2, 2),
+        ("packet_count", lambda: F.col("packet_count") > q("packet_count__80"), 1),
+        ("protocol_encoded", lambda: F.col("protocol_encoded") > q("protocol_encoded__95"), 2),
+        ("avg_ttl", lambda: ~F.col("avg_ttl").between(q("avg_ttl__10"), q("avg_ttl__90")), 1),
     ]
-    points = [F.when(test, weight).otherwise(0) for c, test, weight in rules if c in df.columns]
+    points = [F.when(test(), weight).otherwise(0) for c, test, weight in rules if c in df.columns]
     score = nm.clamp01(reduce(lambda a, b: a + b, points) / F.lit(13.0))
     return df.withColumn("rule_score", score).withColumn("rule_label", (F.col("rule_score") > 0.5).cast("int"))
 

@@ -1,9 +1,10 @@
 """Signature scans over any text column.
 
-Up to ``WIDE_LIMIT`` patterns are compiled to expressions on the text (no join,
-no row growth).  Beyond that the scan is an equi-join on the shortest pattern
-length: every text window is matched by hash against the pattern prefixes and
-verified in full, so the cost does not grow with the number of patterns.
+``scan_patterns`` takes a pattern table and routes by its size: up to ``WIDE_LIMIT``
+patterns are compiled to expressions on the text (no join, no row growth).  Beyond
+that the scan is an equi-join on a gram length: every text window is matched by hash
+against the pattern prefixes and verified in full, so the cost does not grow with the
+number of patterns.  The list forms below are those expressions.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from flowlens.functions.stats import over_all
 from flowlens.functions.text import occurrences, quote, with_chunks
 
 WIDE_LIMIT = 150
-# Pattern tables up to this many rows are broadcast in the gram join.
-BROADCAST_PATTERNS = 200_000
+# Pattern tables within both bounds are broadcast in the gram join.
+BROADCAST_PATTERNS, BROADCAST_BYTES = 200_000, 32 << 20
+# Longest gram of the join; patterns shorter than that are matched by their own length.
+GRAM = 8
 
 
 def presence(df: DataFrame, text_col: str, patterns: list[str], lower: bool = False) -> DataFrame:
@@ -125,30 +128,74 @@ def positions(df: DataFrame, text_col: str, patterns: list[str]) -> DataFrame:
 
 
 def gram_matches(df: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """``(start, pattern)`` for any number of patterns by an equi-join.
+    """``(start, end inclusive, pattern)`` for any number of patterns by an equi-join.
 
-    The shortest pattern length is the gram.  Every text position contributes its
-    gram to a hash join with the pattern prefixes; only joined positions compare
-    the whole pattern.  Both lengths come from one aggregate over the patterns.
+    Every text position contributes one gram per length class of the patterns (1, 2, ..,
+    GRAM characters), so that a short pattern does not shorten the gram of the others;
+    only joined positions compare the whole pattern.  An empty table matches nothing.
     """
-    size = patterns.agg(F.min(F.length("pattern")).alias("lo"), F.max(F.length("pattern")).alias("hi"),
-                        F.count(F.lit(1)).alias("n")).first()
-    lo, hi = size["lo"], size["hi"]
+    listed = patterns.select("pattern").filter(F.length("pattern") > 0).distinct() \
+        .withColumn("__class", F.least(F.length("pattern"), F.lit(GRAM)))
+    classes = listed.groupBy("__class").agg(
+        F.max(F.length("pattern")).alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("pattern")).alias("b")).collect()
     keep = [c for c in df.columns if c != text_col]
+    if not classes:
+        return df.limit(0).select(*keep, F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.lit("").alias("pattern"))
     # Short slices: a position inside a slice is found by walking its characters.
-    chunks = with_chunks(df, text_col, overlap=hi - 1, size=64)
+    chunks = with_chunks(df, text_col, overlap=max(r["hi"] for r in classes) - 1, size=64)
     at = F.explode(F.sequence(F.lit(1), F.col("chunk_len")))
-    grams = patterns.select("pattern", F.left("pattern", F.lit(lo)).alias("__gram"))
-    grams = F.broadcast(grams) if size["n"] <= BROADCAST_PATTERNS else grams
+    sizes = sorted(r["__class"] for r in classes)
+    windows = F.array(*[F.struct(F.lit(n).alias("__class"), F.substring(F.col("chunk"), F.col("__at"), F.lit(n)).alias("__gram")) for n in sizes])
+    grams = listed.select("pattern", "__class", F.left("pattern", F.lit(GRAM)).alias("__gram"))
+    small = sum(r["n"] for r in classes) <= BROADCAST_PATTERNS and sum(r["b"] for r in classes) <= BROADCAST_BYTES
+    grams = F.broadcast(grams) if small else grams
+    every = chunks.withColumn("__at", at)
+    every = every.withColumn("__w", F.explode(windows)).select("*", "__w.*") if len(sizes) > 1 else every.select("*", F.inline(windows))
+    start = F.col("chunk_start") + F.col("__at") - 1
     return (
-        chunks.withColumn("__at", at)
-        .withColumn("__gram", F.substring(F.col("chunk"), F.col("__at"), F.lit(lo)))
-        .join(grams, "__gram")
+        every.join(grams, ["__class", "__gram"])
         .filter(F.substring(F.col("chunk"), F.col("__at"), F.length("pattern")) == F.col("pattern"))
-        .select(*keep, (F.col("chunk_start") + F.col("__at") - 1).alias("start"), "pattern")
+        .select(*keep, start.alias("start"), (start + F.length("pattern") - 1).alias("end"), "pattern")
     )
 
 
+def scan_patterns(df: DataFrame, text_col: str, patterns: DataFrame, mode: str = "count", lower: bool = False) -> DataFrame:
+    """Occurrences (overlapping ones included) of a pattern table in a text column.
+
+    The other columns of ``df`` must identify a row.  Modes: ``position`` (start, end,
+    pattern), ``count`` (pattern, n), ``presence`` (pattern), ``frequency`` (pattern,
+    occurrences per character), ``totals`` (one row per text: total_matches,
+    unique_patterns, match_density, text_length).  ``lower`` folds text and patterns.
+    """
+    if mode not in ("position", "count", "presence", "frequency", "totals"):
+        raise ValueError(f"unknown mode {mode}")
+    fold = F.lower if lower else (lambda c: c)
+    keep = [c for c in df.columns if c != text_col]
+    rows = df.select(*keep, fold(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
+    table = patterns.select(fold(F.col("pattern")).alias("pattern")).filter(F.length("pattern") > 0).distinct()
+    some = [r["pattern"] for r in table.limit(WIDE_LIMIT + 1).collect()]
+    wide = 0 < len(some) <= WIDE_LIMIT
+    if mode == "position":
+        return positions(rows, "__text", sorted(some)) if wide else gram_matches(rows, "__text", table)
+    if wide:
+        listed = F.array(*[F.struct(F.lit(p).alias("pattern"), occurrences(F.col("__text"), p).cast("bigint").alias("n")) for p in sorted(some)])
+        hits = rows.select(*keep, F.explode(F.filter(listed, lambda p: p["n"] > 0)).alias("__p")).select(*keep, "__p.pattern", "__p.n")
+    else:
+        hits = gram_matches(rows, "__text", table).groupBy(*keep, "pattern").agg(F.count(F.lit(1)).alias("n"))
+    if mode == "count":
+        return hits
+    if mode == "presence":
+        return hits.select(*keep, "pattern")
+    size = F.length("__text")
+    if mode == "frequency":
+        return hits.join(rows.select(*keep, size.alias("__n")), keep).select(*keep, "pattern", (F.col("n") / F.col("__n")).alias("frequency"))
+    sums = hits.groupBy(*keep).agg(F.sum("n").alias("total_matches"), F.count(F.lit(1)).alias("unique_patterns"))
+    zero = F.lit(0).cast("bigint")
+    return rows.select(*keep, size.alias("text_length")).join(sums, keep, "left").select(
+        *keep, F.coalesce("total_matches", zero).alias("total_matches"), F.coalesce("unique_patterns", zero).alias("unique_patterns"),
+        (F.coalesce("total_matches", zero) / F.greatest("text_length", F.lit(1))).alias("match_density"), "text_length")
+
+
 def pattern_statistics(df: DataFrame, text_col: str, patterns: list[str]) -> DataFrame:
     """Corpus totals per pattern: occurrences, texts hit, share of all occurrences."""
     listed = F.array(*[
@@ -163,10 +210,9 @@ def pattern_statistics(df: DataFrame, text_col: str, patterns: list[str]) -> Dat
 def pattern_scores(df: DataFrame, text_col: str, patterns: list[str], flags: bool = True,
                    max_score: Column | None = None) -> DataFrame:
     """Matches per text, scaled by the corpus maximum; high above 0.7."""
-    score = F.aggregate(
-        F.array(*[F.coalesce(occurrences(F.lower(text_col), p), F.lit(0)) for p in patterns]),
-        F.lit(0), lambda a, x: a + x)
-    scored = df.withColumn("pattern_score", score)
+    counts_ = F.array(*[F.coalesce(occurrences(F.lower(text_col), p), F.lit(0)) for p in patterns])
+    scored = df.withColumn("__counts", counts_).withColumn(
+        "pattern_score", F.aggregate("__counts", F.lit(0), lambda a, x: a + x))
     if max_score is None:
         max_score = scored.agg(F.struct(F.max("pattern_score").alias("m")).alias("s")).scalar()["m"]
     out = scored.withColumns({
@@ -174,7 +220,5 @@ def pattern_scores(df: DataFrame, text_col: str, patterns: list[str], flags: boo
         "detection_score": F.when(max_score > 0, F.col("pattern_score") / max_score).otherwise(0.0),
     }).withColumn("high_pattern", F.col("detection_score") > 0.7)
     if flags:
-        out = out.withColumns({
-            f"pattern_{p}": F.coalesce(F.contains(F.lower(text_col), F.lit(p)), F.lit(False)).cast("int")
-            for p in patterns})
-    return out
+        out = out.withColumns({f"pattern_{p}": (F.get("__counts", F.lit(i)) > 0).cast("int") for i, p in enumerate(patterns)})
+    return out.drop("__counts")

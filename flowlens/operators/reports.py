@@ -105,14 +105,27 @@ def report_status(alerts: DataFrame, ref_ts: Column, stale_minutes: int = 30) ->
     return one.withColumn("age_minutes", age).withColumn("is_stale", F.col("age_minutes") > stale_minutes)
 
 
+BUCKET_ROWS = 1_000_000
+
+
+def _bucket_of(alerts: DataFrame, key: str, ts: str) -> str:
+    for bucket in ("hour", "minute"):
+        sizes = alerts.groupBy(key, F.date_trunc(bucket, F.col(ts).cast("timestamp"))).count()
+        if (sizes.agg(F.max("count").alias("m")).first()["m"] or 0) <= BUCKET_ROWS:
+            return bucket
+    return "second"
+
+
 def running_detection_time(alerts: DataFrame, key: str, ts: str = "ts", tie: str = "flow_id",
-                           bucket: str = "hour") -> DataFrame:
+                           bucket: str | None = None) -> DataFrame:
     """Cumulative mean detection time per key, in event order.
 
     Rows are accumulated inside (key, time bucket); sums of earlier buckets come
     from the small table of bucket totals.  A key that holds a large share of
-    all rows is spread over its buckets.
+    all rows is spread over its buckets: the coarsest of hour, minute and second of
+    which no (key, bucket) holds more than ``BUCKET_ROWS`` rows, unless one is given.
     """
+    bucket = bucket or _bucket_of(alerts, key, ts)
     bucketed = alerts.withColumn("__b", F.date_trunc(bucket, F.col(ts).cast("timestamp")))
     totals = bucketed.groupBy(key, "__b").agg(
         F.sum("detection_time").alias("__s"), F.count("detection_time").alias("__n"))

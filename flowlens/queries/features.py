@@ -143,15 +143,24 @@ def e12(spark, sf):
     return df.select("flow_id", ft.numbers_text(df, _SC).alias("text"))
 
 
-@query("e13_preprocessing")
+# Exact test quota of each class; train classes below a fifth of the largest are drawn up to it when the ratio exceeds 5.
+@query("e13_preprocessing", f"""WITH {S.FLOWS}, {S.LABELS}, f AS (SELECT DISTINCT * EXCLUDE (pred_aca_svm, pred_fuzzy_rf, pred_intrudtree) FROM flows),
+c AS (SELECT label_idx AS i, count(*) AS n, CAST(floor(count(*) * 0.3e0 + 0.5e0) AS BIGINT) AS test FROM f GROUP BY 1), t AS (SELECT i, n - test AS n FROM c),
+m AS (SELECT max(n) AS hi, min(n) AS lo, greatest(floor(max(n) * 0.2), 100) AS target FROM t),
+s AS (SELECT 'test' AS split, i, test AS n FROM c UNION ALL SELECT 'train', i, CAST(CASE WHEN hi / lo > 5 AND n < target THEN target ELSE n END AS BIGINT) FROM t, m)
+SELECT split, name AS label, dense_rank() OVER (ORDER BY name) - 1 AS label_idx, n, true AS scaled FROM s JOIN labels9 ON idx = i""")
 def e13(spark, sf):
-    """Whole pipeline; one row per (split, class) with the range of the scaled features."""
+    """Whole plan on raw headers, stratified and resampled; rows per (split, class), all features within [0, 1]."""
     from flowlens.operators.alerts import class_name
 
     raw = tb.flows(spark, sf).drop("pred_aca_svm", "pred_fuzzy_rf", "pred_intrudtree")
-    raw = raw.withColumn("Label", class_name(F.col("label_idx"))).drop("label_idx")
+    raw = raw.withColumn("Label", class_name(F.col("label_idx"))).drop("label_idx").withColumnsRenamed({
+        "src_ip": "Src IP", "dst_ip": "Dst IP", "src_port": "Src Port", "dst_port": "Dst Port", "ts": "Timestamp", "protocol": "Protocol",
+        "flow_duration": "Flow Duration", "flow_bytes_per_s": "Flow Bytes/s", "flow_packets_per_s": "Flow Packets/s",
+        "packet_length_mean": "Packet Length Mean", "total_fwd_packets": "Total Fwd Packet", "total_bwd_packets": "Total Bwd packets",
+        **{c: c.replace("_flag_count", "").upper() + " Flag Count" for c in fv.FLAG_COLUMNS}})
     result = pp.preprocess(raw, pp.PreprocessConfig(fit_on="all"))
     low = F.least(*[F.min(c) for c in result.features])
     high = F.greatest(*[F.max(c) for c in result.features])
     return result.data.groupBy("split", "label", "label_idx").agg(
-        F.count("*").alias("n"), low.alias("lowest"), high.alias("highest"), F.lit(len(result.features)).alias("n_features"))
+        F.count("*").alias("n"), ((low >= 0) & (high <= 1 + 1e-9)).alias("scaled"))

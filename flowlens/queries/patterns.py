@@ -90,8 +90,24 @@ def pm7(spark, sf):
     return scored.drop("tokens").withColumn("detection_score", F.round("detection_score", 6))
 
 
-@query("pm8_gram_join", _positions_sql("documents", "doc_id", "text").replace(
-    ', CAST(st + length(pattern) - 1 AS BIGINT) AS "end"', ""))
+_WORDS = "SELECT pattern FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS pattern FROM benchmark) WHERE length(pattern) >= 2 ORDER BY md5(pattern), pattern LIMIT 500"
+
+
+@query("pm8_scan_table", f"""WITH w AS ({_WORDS}), c AS (SELECT conv_id, turn, text FROM conversations),
+n AS (SELECT conv_id, turn, pattern, len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(pattern)) = pattern)) AS n
+  FROM c JOIN w ON contains(text, pattern)), t AS (SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS total_matches, count(*) AS unique_patterns FROM n GROUP BY 1, 2)
+SELECT conv_id, turn, coalesce(total_matches, 0) AS total_matches, coalesce(unique_patterns, 0) AS unique_patterns,
+  round(coalesce(total_matches, 0) / greatest(length(coalesce(text, '')), 1), 6) AS match_density, CAST(length(coalesce(text, '')) AS INT) AS text_length
+FROM c LEFT JOIN t USING (conv_id, turn)""")
+def pm8_table(spark, sf):
+    """Totals of 500 patterns taken from benchmark words, through the pattern-table form."""
+    words = tb.table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("pattern")).distinct().filter(F.length("pattern") >= 2)
+    some = words.orderBy(F.md5("pattern"), "pattern").limit(500)
+    texts = tb.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return pt.scan_patterns(texts, "text", some, "totals").withColumn("match_density", F.round("match_density", 6))
+
+
+@query("pm8_gram_join", _positions_sql("documents", "doc_id", "text"))
 def pm8(spark, sf):
     from flowlens.functions.lookup import literal_table
 

@@ -45,6 +45,23 @@ def f02_padded(spark, sf):
     return fz.quantile_score(cl.pad_columns(p)).groupBy("rule_label").agg(F.count("*").alias("n"))
 
 
+_DIRTY = """CASE WHEN l_linenumber = 7 AND l_partkey % 10 = 0 THEN {inf} WHEN l_linenumber = 7 AND l_partkey % 10 = 1 THEN -{inf}
+  WHEN l_linenumber = 7 AND l_partkey % 10 = 2 THEN {nan} WHEN l_linenumber = 7 AND l_partkey % 10 = 3 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) / {d} END"""
+_DIRTY_DUCK = _DIRTY.replace("{inf}", "'inf'::DOUBLE").replace("{nan}", "'nan'::DOUBLE")
+_DIRTY_SPARK = _DIRTY.replace("{inf}", "double('Infinity')").replace("{nan}", "double('NaN')")
+
+
+@query("f02_quantile_rules_dirty", f"""WITH d AS (SELECT l_orderkey, l_linenumber, {_DIRTY_DUCK.format(d=40)} AS p, {_DIRTY_DUCK.format(d=3)} AS b, CAST(l_quantity AS DOUBLE) AS c FROM lineitem),
+q AS (SELECT quantile_cont(CASE WHEN isfinite(p) THEN p END, 0.9) AS qp, quantile_cont(CASE WHEN isfinite(b) THEN b END, 0.9) AS qb, quantile_cont(c, 0.8) AS qc FROM d)
+SELECT l_orderkey, l_linenumber, round((CASE WHEN p > qp THEN 3 ELSE 0 END + CASE WHEN b > qb THEN 2 ELSE 0 END + CASE WHEN c > qc THEN 1 ELSE 0 END) / 13, 6) AS rule_score FROM d, q""")
+def f02_dirty(spark, sf):
+    """Rates with NULL, NaN and infinities: quantiles over the finite values, rules on the raw ones."""
+    d = tb.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", f"{_DIRTY_SPARK.format(d=40)} AS packets_per_second", f"{_DIRTY_SPARK.format(d=3)} AS bytes_per_second",
+        "double(l_quantity) AS packet_count")
+    return rounded(fz.quantile_score(d).select("l_orderkey", "l_linenumber", "rule_score"), "rule_score")
+
+
 _X, _T = "packet_length_mean", 500
 
 

@@ -80,7 +80,14 @@ def u01(spark, sf):
     return bl.expand(bl.resample(imbalanced(spark, sf), "event_id", "cls", "median")).groupBy("cls").agg(F.count("*").alias("n"))
 
 
-@query("m02_poisson_upsample")
+# Copies: how many partial sums of the Poisson probabilities the hashed uniform reaches.
+@query("m02_poisson_upsample", f"""WITH {_IMB}, tg AS (SELECT cls, CASE WHEN (SELECT max(n) / min(n) FROM cnt) > 5 AND n < greatest(floor((SELECT max(n) FROM cnt) * 0.2), 100)
+  THEN greatest(floor((SELECT max(n) FROM cnt) * 0.2), 100) / n END AS rate FROM cnt),
+cdf AS (SELECT cls, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY cls ORDER BY k) AS cdf FROM tg, range(0, 400) t(k) WHERE rate IS NOT NULL),
+u AS (SELECT event_id, cls, ('0x' || substr(md5(event_id || '#42'), 1, 8))::BIGINT / 4294967296.0e0 AS u FROM imb),
+c AS (SELECT event_id, u.cls, count(*) AS copies FROM u JOIN cdf ON u.cls = cdf.cls AND u.u >= cdf.cdf GROUP BY 1, 2
+  UNION ALL SELECT event_id, u.cls, 1 FROM u JOIN tg ON u.cls = tg.cls WHERE rate IS NULL)
+SELECT cls, CAST(sum(copies) AS BIGINT) AS n, count(*) AS distinct_rows FROM c GROUP BY 1""")
 def m02_poisson(spark, sf):
     """Shuffle-free form: class sizes are close to the targets, not equal to them."""
     r = bl.resample_poisson(imbalanced(spark, sf), "event_id", "cls", "minority")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens import fixed_values as fv
+from flowlens.functions.quantile import exact_quantiles
 from flowlens.operators import selection as fs
 from flowlens.queries import query
 from flowlens.queries import sql as S
@@ -48,11 +49,16 @@ def fs2(spark, sf):
     return rounded(fs.mutual_information(equal_bins(spark, sf)), "mi")
 
 
-@query("fs2_quantile_binned_information")
+@query("fs2_quantile_binned_information", f"""WITH {S.FLOWS}, edges AS (SELECT {', '.join(f"list_distinct([{', '.join(f'quantile_cont({f}::DOUBLE, {i}/{BINS}.0e0)' for i in range(1, BINS))}]) AS e{j}" for j, f in enumerate(FEATURES))} FROM flows),
+bins AS (SELECT feature, bin, label, count(*) AS n FROM ({_BIN}) GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bin) AS b, sum(n) OVER (PARTITION BY feature, label) AS l FROM bins)
+SELECT feature, round(sum(n / t * ln(n * t / (b * l))), 5) AS mi FROM t GROUP BY 1""")
 def fs2_quantile(spark, sf):
-    """Equal-frequency bins from approximate quantiles."""
+    """Equal-frequency bins from exact quantiles."""
     flows = tb.flows(spark, sf)
-    return fs.mutual_information(fs.binned_counts(flows, fs.bin_edges(flows, FEATURES, BINS), "label_idx"))
+    found = exact_quantiles(flows, {f: [i / BINS for i in range(1, BINS)] for f in FEATURES})
+    edges = {f: sorted({found[f, i / BINS] for i in range(1, BINS)}) for f in FEATURES}
+    return rounded(fs.mutual_information(fs.binned_counts(flows, edges, "label_idx")), "mi", digits=5)
 
 
 _CORR = " UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, label_idx)) AS corr FROM flows" for f in FEATURES)

@@ -138,3 +138,55 @@ def test_missing_category_codes(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",)], "c string")
     assert [r["k"] for r in en.encode_column(df, "c", "k").orderBy("c").collect()] == [-1, 0, 1]
     assert {r["c"]: r["k"] for r in en.encode_labels(df, "c", "k").collect()} == {None: 0, "a": 1, "b": 2}
+
+
+@pytest.mark.parametrize("n", [9_999, 20_001])
+def test_quantiles_leave_out_what_is_not_finite(spark, n):
+    odd = "case when id % 100 = 1 then double('Infinity') when id % 100 = 2 then double('-Infinity') when id % 100 = 3 then double('NaN') when id % 100 = 4 then null else double(id) end"
+    df = spark.range(n).selectExpr(f"{odd} as x", "case when id % 2 = 0 then 1.7e308 else -1.7e308 end as wide", "double('Infinity') as never")
+    got = exact_quantiles(df, {"x": [0.0, 0.5, 0.9], "wide": [0.25, 0.75], "never": [0.5]})
+    values = sorted(k for k in range(n) if k % 100 not in (1, 2, 3, 4))
+    for p in (0.0, 0.5, 0.9):
+        r = p * (len(values) - 1)
+        lo, hi = values[int(r)], values[min(int(r) + 1, len(values) - 1)]
+        assert got["x", p] == pytest.approx(lo + (hi - lo) * (r - int(r)))
+    assert (got["wide", 0.25], got["wide", 0.75], got["never", 0.5]) == (-1.7e308, 1.7e308, None)
+
+
+def test_scaler_medians_are_exact(spark):
+    from flowlens.operators import scaling as sc
+
+    df = spark.range(15_001).selectExpr("double(id * id) as x", "case when id % 3 = 0 then null else double(id) end as y")
+    stats = sc.fit_scaler(df, ["x", "y"], impute=True)
+    assert stats["x__median"] == 7_500.0**2 and stats["y__median"] == 7500.0
+    row = sc.scale(df.limit(1), ["x"], sc.lazy_scaler(df, ["x"], impute=True), "standard", impute=True).first()
+    assert row["x"] is not None
+
+
+@pytest.mark.parametrize("mode", ["position", "count", "presence", "frequency", "totals"])
+def test_pattern_tables_scan_alike_on_both_routes(spark, mode, monkeypatch):
+    texts = [(0, "the abab of ABABAB"), (1, ""), (2, None), (3, "a" * 70 + "bab"), (4, "nothing")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    table = spark.createDataFrame([("aba",), ("ab",), ("",), (None,), ("the abab of abab",), ("a",)], "pattern string")
+    wide = sorted(map(tuple, pt.scan_patterns(df, "text", table, mode, lower=True).collect()))
+    monkeypatch.setattr(pt, "WIDE_LIMIT", 1)
+    assert sorted(map(tuple, pt.scan_patterns(df, "text", table, mode, lower=True).collect())) == wide and wide
+    none = pt.scan_patterns(df, "text", table.limit(0), mode)
+    assert none.count() == (5 if mode == "totals" else 0)
+
+
+def test_cluster_needs_a_shared_folder(monkeypatch):
+    from flowlens import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())

@@ -202,3 +202,44 @@ def test_no_nested_loops_or_python(spark, sf, name):
 
     plan = plan_of(entry.queries()[name](spark, sf))
     assert not any(w in plan for w in ("CartesianProduct", "NestedLoop", "Python", "ArrowEval"))
+
+
+def test_equal_times_go_by_arrival(spark):
+    from flowlens.operators import verify as vf
+
+    rows = [("f", 1, 1, True), ("f", 1, 3, False), ("f", 1, 2, True), ("g", 1, 1, True), ("g", 1, 2, None)]
+    df = spark.createDataFrame(rows, "flow_id string, verified_at int, event_id int, is_threat boolean")
+    assert [(r["flow_id"], r["is_threat"]) for r in vf.active(df).collect()] == [("f", False)]
+
+
+def test_poisson_draws_of_a_large_rate_keep_their_variance(spark):
+    df = spark.range(400).selectExpr("id", "'a' as c").unionByName(spark.range(400, 402).selectExpr("id", "'b' as c"))
+    original = bl.TARGETS["minority"]
+    bl.TARGETS["minority"] = lambda: F.when(F.col("n") == 400, F.lit(400 * 900))
+    try:
+        copies = [r["copies"] for r in bl.resample_poisson(df, "id", "c", "minority").filter("c = 'a'").collect()]
+    finally:
+        bl.TARGETS["minority"] = original
+    mean = sum(copies) / 400
+    variance = sum((x - mean) ** 2 for x in copies) / 399
+    assert abs(mean - 900) < 6 and 650 < variance < 1200
+
+
+def test_hot_buckets_are_cut_finer(spark, monkeypatch):
+    from flowlens.operators import reports as rp
+
+    df = spark.range(3000).selectExpr(
+        "case when id % 10 = 0 then 'cold' else 'hot' end as k", "timestamp_seconds(1700000000 + id % 3000) as ts", "string(id) as flow_id", "double(id % 7) as detection_time")
+    want = sorted(map(tuple, rp.running_detection_time(df, "k", bucket="hour").collect()))
+    monkeypatch.setattr(rp, "BUCKET_ROWS", 50)
+    assert rp._bucket_of(df, "k", "ts") == "second"
+    got = sorted(map(tuple, rp.running_detection_time(df, "k").collect()))
+    assert [r[:4] for r in got] == [r[:4] for r in want] and all(abs(a[4] - b[4]) < 1e-9 for a, b in zip(got, want))
+
+
+def test_sample_of_one_repeated_key_is_exact_and_stable(spark):
+    from flowlens.operators import sampling as sp
+
+    df = spark.range(1000).selectExpr("case when id % 10 = 0 then id else -1 end as k", "id")
+    a = {r["id"] for r in sp.sample_exact(df, "k", 300).collect()}
+    assert len(a) == 300 and a == {r["id"] for r in sp.sample_exact(df.repartition(7), "k", 300).collect()}

@@ -19,7 +19,7 @@ def raw(spark, sf):
 
 
 def test_preprocess_scales_and_encodes(raw, spark):
-    cfg = pp.PreprocessConfig(fit_on="all")
+    cfg = pp.PreprocessConfig(fit_on="all", resample=False)
     out = pp.preprocess(raw, cfg)
     assert "sample_encoded" in out.features and "note_encoded" not in out.data.columns
     assert {"flow_duration_log", "flag_entropy", "protocol_encoded", "port_diff"} <= set(out.features)
@@ -34,7 +34,7 @@ def test_preprocess_scales_and_encodes(raw, spark):
 
 
 def test_scaler_fits_on_train_only(raw):
-    out = pp.preprocess(raw, pp.PreprocessConfig(scaler="standard"))
+    out = pp.preprocess(raw, pp.PreprocessConfig(scaler="standard", resample=False))
     train = out.data.filter("split = 'train'").agg(F.avg("flow_duration"), F.stddev_pop("flow_duration")).first()
     assert train[0] == pytest.approx(0, abs=1e-9) and train[1] == pytest.approx(1)
 
@@ -79,3 +79,32 @@ def test_upserts_survive_replay(spark, sf):
     batch = {r["attack_type"]: r["n"] for r in vf.counted_detections(al.enrich(events)).groupBy("attack_type").agg(
         F.count("*").alias("n")).collect()}
     assert first == batch == totals()
+
+
+def test_raw_headers_reach_the_derived_features(spark, tmp_path):
+    from flowlens.plans import preprocess as pp
+
+    head = ["Src IP", "Dst IP", "Src Port", "Dst Port", "Protocol", "Timestamp", "Flow Duration", "Total Fwd Packet", "Total Bwd packets",
+            "Flow Bytes/s", "Flow Packets/s", "Packet Length Mean", "Flow IAT Mean", "Fwd IAT Mean", "Bwd IAT Mean", "FIN Flag Count",
+            "SYN Flag Count", "RST Flag Count", "PSH Flag Count", "ACK Flag Count", "URG Flag Count", "Label"]
+    lines = [",".join(head)]
+    for k in range(400):
+        rate = "Infinity" if k % 50 == 7 else "NaN" if k % 50 == 8 else str(k * 3.5)
+        lines.append(f"10.0.0.{k % 9},10.0.1.{k % 7},{k},{k % 1100},6,12/05/2022 0{1 + k % 9}:1{k % 5}:00 AM,{k * 7},{k % 5},{k % 3},{rate},{k},"
+                     f"{k % 90},1.5,2.5,3.5,{k % 2},1,0,0,{k % 3},0,{'Benign' if k % 8 == 0 else 'Worm'}")
+    path = tmp_path / "flows.csv"
+    path.write_text("\n".join(lines) + "\n")
+    raw = spark.read.option("header", True).option("inferSchema", True).csv(str(path))
+    result = pp.preprocess(raw)
+    assert {"flow_duration_log", "total_flags", "iat_mean", "port_diff", "packet_size_ratio", "bytes_per_sec_log"} <= set(result.features)
+    n = {(r["split"], r["label"]): r["n"] for r in result.data.groupBy("split", "label").agg(F.count("*").alias("n")).collect()}
+    assert n["test", "Benign"] == 15 and n["test", "Worm"] == 105
+    assert n["train", "Worm"] == 245 and n["train", "Benign"] == 100  # ratio 7: drawn up to the minority target
+    assert dict(result.data.dtypes)["ts"] == "timestamp_ntz" and result.data.filter("ts is null").count() == 0
+
+
+def test_tree_variants_stay_different():
+    from flowlens.operators import models as md
+
+    found = md.effective_variants(md.TREE_VARIANTS, 10, 30)
+    assert len(set(found)) == len(found) and max(d for d, _, _ in found) == 30 and max(n for _, _, n in found) == 10
