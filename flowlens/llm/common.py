@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a classifier's training sample; labelled rows beyond it are not fitted on.
@@ -59,6 +60,18 @@ def arrow_rows(fn: Callable[[pa.RecordBatch], dict[str, object]], schema: pa.Sch
     return run
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: str):
+    """Smaller Arrow batches for what is executed inside the block; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def float_lists(matrix: np.ndarray) -> pa.Array:
     """A row-major matrix as an Arrow list column, without Python lists."""
     matrix = np.ascontiguousarray(matrix, np.float64)

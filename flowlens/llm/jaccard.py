@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm import wordhash as wh
+from flowlens.llm.common import arrow_batches
 from flowlens.session import materialize
 
 #: The threshold 0.8 as a fraction of integers: link when DEN * shared >= NUM * union.
@@ -47,6 +48,8 @@ NUM, DEN = 4, 5
 CELL = 1024
 SAMPLE_BITS, HOT_MOST, HOT_LEAST = 4, 65_536, 4
 LEAST_WIDTH, MOST_WIDTH = 64, 1 << 15
+#: Size of the Arrow batches of texts and sets that a task holds at a time.
+BATCH_BYTES = "8m"
 #: Up to this many classes with candidates their ids are sent to the scans; beyond, the texts are shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -338,6 +341,11 @@ def sets_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents linked with, copies included) of every row."""
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _join(docs)
+
+
+def _join(docs: DataFrame) -> DataFrame:
     members = materialize(docs.select("doc_id", "text").mapInArrow(sketches, SKETCH_DDL), "join-sketches")
     classes = members.filter(F.col("n") > 0).groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))

@@ -38,14 +38,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm import wordhash as wh
+from flowlens.llm.common import arrow_batches
 from flowlens.session import materialize, new_path
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 END_ID = 1
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 600_000
 CHUNK = 1 << 20
-WORDS_AT_ONCE = 10_000
+WORDS_AT_ONCE = 4_000
+#: Size of the Arrow batches of texts that a task holds at a time.
+BATCH_BYTES = "8m"
 
 INDEX_DDL = "part int, file string, doc_id long, offset long, n_tokens long"
 
@@ -203,7 +206,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, lengt
 
     by = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     rows = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return materialize(rows.sortWithinPartitions(*by).mapInArrow(task, INDEX_DDL), "token-index")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return materialize(rows.sortWithinPartitions(*by).mapInArrow(task, INDEX_DDL), "token-index")
 
 
 def read(index: DataFrame) -> DataFrame:
