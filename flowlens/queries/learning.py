@@ -279,15 +279,17 @@ def fs3(spark, sf):
 
 def tree_selection(spark, sf, k: int) -> DataFrame:
     flows = tb.flows(spark, sf)
-    return fs.combined_tree_score(fs.mutual_information(equal_bins(spark, sf)), forest_scores(spark, sf),
-                                  fs.anova_f(flows, FEATURES, "label_idx"), k)
+    scores = fs.combined_tree_score(fs.mutual_information(equal_bins(spark, sf)), forest_scores(spark, sf),
+                                    fs.anova_f(flows, FEATURES, "label_idx"), k)
+    return fs.top_k(scores, "score", k)
 
 
 def linear_selection(spark, sf, k: int) -> DataFrame:
     flows = tb.flows(spark, sf)
     train, _ = split_flows(spark, sf)
-    return fs.combined_linear_score(fs.anova_f(flows, FEATURES, "label_idx"), md.eliminate(train, CFG, k),
-                                    fs.correlations(flows, FEATURES, "label_idx"), k)
+    scores = fs.combined_linear_score(fs.anova_f(flows, FEATURES, "label_idx"), md.eliminate(train, CFG, k),
+                                      fs.correlations(flows, FEATURES, "label_idx"), k)
+    return fs.top_k(scores, "score", k)
 
 
 def selection_facts(selected: DataFrame) -> DataFrame:

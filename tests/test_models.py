@@ -50,7 +50,7 @@ def test_svm_coefficients_are_finite(data):
 
 
 def test_equal_variants_share_a_fit(data):
-    trees = md.tree_ensemble(data[0], CFG, [(4, 1, 10), (4, 1, 99), (3, 1, 10)])
+    trees = md.tree_ensemble(data[0], CFG, [(4, 1, 10), (4, 1, 10), (3, 1, 10)])
     assert trees[0] is trees[1] and trees[2] is not trees[0]
 
 
