@@ -19,6 +19,9 @@ The index is sent to the tasks in parts of at most ``PART_ITEMS`` items and
 ``PART_BYTES`` of text, so its size is bounded; a benchmark beyond one part makes
 one more pass over the documents per part.  Nothing is shuffled but the matches.
 
+Items and texts are compared after full case folding and NFC, so a quote in capitals or
+with decomposed accents is the same words.
+
 Defined results: null and empty texts match nothing; null items and items of
 fewer than five words (no passage to quote) are left out; items with equal texts are reported each; a document repeated as a row is
 reported once per (doc_id, item_id); a document with a null id is never reported as
@@ -27,6 +30,7 @@ a match, but ``contaminated`` still drops it by its own text; extra columns are
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -62,10 +66,24 @@ class Index:
     longest: int
 
 
+def fold(text: str | None) -> str:
+    """The text as it is compared: case folded for all letters, NFC."""
+    if not text or text.isascii():
+        return (text or "").lower()
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+
+
+def folded(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of whole folded texts."""
+    for row, end, _, _ in wh.chunks(column):
+        texts = column.slice(row, end - row).to_pylist()
+        yield row, *wh.text_bytes(pa.array([fold(t) for t in texts], pa.large_string()))
+
+
 def hashes(texts: list[str]) -> list[np.ndarray]:
-    """Word hashes of each text; words are runs of ASCII letters and digits and non-ASCII bytes."""
+    """Word hashes of each folded text; words are runs of ASCII letters and digits and non-ASCII bytes."""
     out = []
-    for _, _, data, offsets in wh.chunks(pa.array(texts, pa.large_string())):
+    for _, data, offsets in folded(pa.array(texts, pa.large_string())):
         found = wh.words(data, offsets, wh.NOT_ALNUM)
         out += [found.hashes[a:b] for a, b in zip(found.bounds[:-1], found.bounds[1:])]
     return out
@@ -127,7 +145,7 @@ def search(column: pa.Array, index: Index, threshold: float, overlap: float) ->
     if not len(index.terms):
         return
     n_blocks = -(-len(index.item_ids) // BLOCK)
-    for row, _, data, offsets in wh.chunks(column):
+    for row, data, offsets in folded(column):
         found = wh.words(data, offsets, wh.NOT_ALNUM)
         if not len(found.hashes):
             continue

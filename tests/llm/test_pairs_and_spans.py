@@ -280,3 +280,18 @@ def test_benchmark_in_parts_gives_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(k, h.prose(k, 50) + " " + items[k][1]) for k in range(12)], "doc_id long, text string")
     monkeypatch.setattr(decontaminate, "PART_ITEMS", 5)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()} == {(k, k) for k in range(12)}
+
+
+def test_decontamination_folds_all_letters(spark):
+    """Quotes in capitals and with decomposed accents are found; the A-Z rule lost them."""
+    import unicodedata
+
+    words = "été où garçon niño größe señal ächzen übung straße éclair ñandú être".split()
+    item = " ".join(words[k % 12] + words[(k * 5 + 1) % 12] for k in range(20))
+    docs = [(0, h.prose(1, 80) + " " + item.upper() + " " + h.prose(2, 80)), (1, unicodedata.normalize("NFD", item)),
+            (2, h.prose(3, 200)), (3, item)]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["question_overlap"] for r in decontaminate.matches(frame, bench).collect()}
+    assert got == {0: 1.0, 1: 1.0, 3: 1.0}
+    assert [r["doc_id"] for r in decontaminate.clean(frame, bench).collect()] == [2]
