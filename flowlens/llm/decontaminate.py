@@ -20,16 +20,24 @@ The index is sent to the tasks in parts of at most ``PART_ITEMS`` items and
 one more pass over the documents per part.  Nothing is shuffled but the matches.
 
 Items and texts are compared after full case folding and NFC, so a quote in capitals or
-with decomposed accents is the same words.
+with decomposed accents is the same words.  Every character of a script written without spaces
+(Chinese, Japanese, Thai, Lao, Tibetan, Burmese, Khmer and others) is one word, and
+punctuation and spaces beyond ASCII separate words as ASCII ones do.
 
-Defined results: null and empty texts match nothing; null items and items of
-fewer than five words (no passage to quote) are left out; items with equal texts are reported each; a document repeated as a row is
+Items of fewer than five words have no shingle to quote.  They match where their exact
+word sequence is a unit of its own, between ends of the text, line breaks, sentence ends,
+quotation marks or brackets; a given question and answer are looked for in the unit and the
+``longest`` words on either side of it.  Such a match has score 1.0.
+
+Defined results: null and empty texts match nothing; null items and items
+without a word are left out; items with equal texts are reported each; a document repeated as a row is
 reported once per (doc_id, item_id); a document with a null id is never reported as
 a match, but ``contaminated`` still drops it by its own text; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,6 +55,18 @@ THRESHOLD, OVERLAP = 0.6, 0.8
 BLOCK = 4
 PART_ITEMS, PART_BYTES = 50_000, 32 << 20
 
+#: Characters of scripts written without spaces; each is a word.
+UNSPACED = re.compile(
+    "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u2e80-\u2fdf\u3005-\u3007"
+    "\u3021-\u3029\u3031-\u3035\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\ua4cf\ua980-\uaadf"
+    "\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+#: Spaces, hyphens, apostrophes and commas beyond ASCII, and the marks there that end a unit.
+GAP = re.compile("[\u00a0\u00ad\u2000-\u2019\u202a-\u202f\u205f-\u206f\u3000\u3001\ufeff\uff0c]")
+MARK = re.compile("[\u00a1\u00ab\u00bb\u00bf\u0e2f\u0e5a\u0e5b\u0f0b-\u0f14\u104a\u104b\u17d4-\u17d6\u201a-\u2029\u2030-\u205e"
+                  "\u3002\u3003\u3008-\u301f\uff01-\uff0b\uff0d-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+#: ASCII bytes that end a unit, in which a short item has to stand alone.
+ENDS = np.isin(np.arange(256), list(b'\n\r.!?;:"()[]{}<>|'))
+
 
 @dataclass(frozen=True)
 class Index:
@@ -61,16 +81,22 @@ class Index:
     block_bounds: np.ndarray
     block_of: np.ndarray
     block_max: np.ndarray
+    #: Word sequences of the items of fewer than five words: sorted hashes, and the item of each.
+    short: np.ndarray
+    short_item: np.ndarray
     questions: list[np.ndarray]
+    #: Words in a shingle of each item's question.
+    sizes: list[int]
     answers: list[np.ndarray]
     longest: int
 
 
 def fold(text: str | None) -> str:
-    """The text as it is compared: case folded for all letters, NFC."""
+    """The text as it is compared: case folded for all letters, NFC, unspaced scripts as single characters."""
     if not text or text.isascii():
         return (text or "").lower()
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    return UNSPACED.sub(r" \g<0> ", MARK.sub(".", GAP.sub(" ", text)))
 
 
 def folded(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -89,18 +115,18 @@ def hashes(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Distinct five-word shingles; of fewer words, the whole sequence."""
-    return np.unique(wh.ngrams(words, tuple(range(min(wh.SHINGLE, len(words))))))
+def shingles(words: np.ndarray, size: int = wh.SHINGLE) -> np.ndarray:
+    """Distinct shingles of ``size`` words; of fewer words, the whole sequence."""
+    return np.unique(wh.ngrams(words, tuple(range(min(size, len(words))))))
 
 
 def build(items: list[tuple[int, str, str | None, str | None]]) -> Index:
     """Index of (item id, text, question, answer) rows."""
     texts = hashes([t for _, t, _, _ in items])
-    keep = [k for k, w in enumerate(texts) if len(w) >= wh.SHINGLE]
+    keep = [k for k, w in enumerate(texts) if len(w)]
     items, texts = [items[k] for k in keep], [texts[k] for k in keep]
     n = len(items)
-    questions, answers = [], []
+    questions, sizes, answers = [], [], []
     asked = hashes([q or t for _, t, q, _ in items])
     told = hashes([a or "" for *_, a in items])
     for words, q, a in zip(texts, asked, told):
@@ -108,18 +134,24 @@ def build(items: list[tuple[int, str, str | None, str | None]]) -> Index:
             cut = max(len(words) - max(len(words) // 4, wh.SHINGLE), 0)
             a = words[cut:]
             q = words[:cut] if cut >= wh.SHINGLE else words
-        questions.append(shingles(q if len(q) else words))
+        q = q if len(q) else words
+        questions.append(shingles(q))
+        sizes.append(min(wh.SHINGLE, len(q)))
         answers.append(np.unique(a))
-    pairs = [np.unique(w, return_counts=True) for w in texts]
+    few = np.array([k for k, w in enumerate(texts) if len(w) < wh.SHINGLE], int)
+    short = np.array([wh.ngrams(texts[k], tuple(range(len(texts[k]))))[0] for k in few], np.uint64)
+    by_hash = np.argsort(short, kind="stable")
+    pairs = [np.unique(w if len(w) >= wh.SHINGLE else w[:0], return_counts=True) for w in texts]
     lengths = np.array([len(w) for w in texts], float)
     term = np.concatenate([t for t, _ in pairs]) if n else np.zeros(0, np.uint64)
     count = np.concatenate([c for _, c in pairs]).astype(float) if n else np.zeros(0)
     item = np.repeat(np.arange(n), [len(t) for t, _ in pairs])
+    n, mean = n - len(few), lengths[lengths >= wh.SHINGLE].mean() if n > len(few) else 1.0
     terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    norm = K1 * (1 - B + B * lengths / max(lengths.mean() if n else 1.0, 1.0))
+    norm = K1 * (1 - B + B * lengths / max(mean, 1.0))
     impact = idf[at] * count * (K1 + 1) / (count + norm[item])
-    impact /= np.bincount(item, impact, minlength=n)[item]
+    impact /= np.bincount(item, impact, minlength=len(items))[item]
     order = np.lexsort((item, at))
     at, item, impact = at[order], item[order], impact[order]
     bounds = np.searchsorted(at, np.arange(len(terms) + 1))
@@ -130,7 +162,7 @@ def build(items: list[tuple[int, str, str | None, str | None]]) -> Index:
         np.maximum.reduceat(impact, bounds[:-1]) if len(at) else np.zeros(0), bounds, item, impact,
         np.searchsorted(at[first], np.arange(len(terms) + 1)), block[first],
         np.maximum.reduceat(impact, first) if len(at) else np.zeros(0),
-        questions, answers, int(lengths.max()) if n else 0)
+        short[by_hash], few[by_hash], questions, sizes, answers, int(lengths.max()) if len(items) else 0)
 
 
 def spread(bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,15 +172,53 @@ def spread(bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + bounds[which][owner], owner
 
 
+def held(index: Index, item: int, words: np.ndarray) -> tuple[float, float]:
+    """Shares of an item's question shingles and answer words that a passage holds."""
+    return (float(np.isin(index.questions[item], shingles(words, index.sizes[item])).mean()),
+            float(np.isin(index.answers[item], words).mean()))
+
+
+def units(data: np.ndarray, found: wh.Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of the word runs between ends of texts and of units."""
+    ends = np.concatenate([[0], np.cumsum(ENDS[data])])
+    new = np.ones(len(found.hashes) + 1, bool)
+    new[1:-1] = ends[found.starts[1:]] > ends[found.ends[:-1]]
+    new[found.bounds] = True
+    at = np.flatnonzero(new)
+    return at[:-1], at[1:]
+
+
+def search_short(row: int, data: np.ndarray, found: wh.Words, index: Index, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
+    """Like ``search``, the short items that are a unit of one of the texts."""
+    first, end = units(data, found)
+    for size in range(1, wh.SHINGLE):
+        start = first[end - first == size]
+        if not len(start):
+            continue
+        grams = wh.ngrams(found.hashes, tuple(range(size)))[start]
+        low, high = np.searchsorted(index.short, grams), np.searchsorted(index.short, grams, "right")
+        for k in np.flatnonzero(high > low):
+            own = int(np.searchsorted(found.bounds, start[k], "right")) - 1
+            words = found.hashes[max(start[k] - index.longest, found.bounds[own]) : min(start[k] + size + index.longest, found.bounds[own + 1])]
+            for item in index.short_item[low[k] : high[k]]:
+                q, a = held(index, item, words)
+                if q >= overlap - 1e-9 and a >= overlap - 1e-9:
+                    yield row + own, int(item), 1.0, q, a
+
+
 def search(column: pa.Array, index: Index, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item number, score, question overlap, answer overlap) of each verified passage match."""
-    if not len(index.terms):
+    if not len(index.item_ids):
         return
     n_blocks = -(-len(index.item_ids) // BLOCK)
     for row, data, offsets in folded(column):
         found = wh.words(data, offsets, wh.NOT_ALNUM)
         if not len(found.hashes):
             continue
+        if len(index.short):
+            yield from search_short(row, data, found, index, overlap)
+        if not len(index.terms):
+            continue
         at = np.searchsorted(index.terms, found.hashes)
         at[at == len(index.terms)] = 0
         known = index.terms[at] == found.hashes
@@ -186,10 +256,9 @@ def search(column: pa.Array, index: Index, threshold: float, overlap: float) ->
             score = np.bincount(index.posting_item[places], index.posting_impact[places])
             words = found.hashes[start[k] : end[k]]
             for item in np.flatnonzero(score >= threshold - 1e-9):
-                q = np.isin(index.questions[item], shingles(words)).mean()
-                a = np.isin(index.answers[item], words).mean()
+                q, a = held(index, item, words)
                 if q >= overlap - 1e-9 and a >= overlap - 1e-9:
-                    yield row + int(owner[k]), int(item), float(score[item]), float(q), float(a)
+                    yield row + int(owner[k]), int(item), float(score[item]), q, a
 
 
 def parts(benchmark: DataFrame) -> Iterator[Index]:

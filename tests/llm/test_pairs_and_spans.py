@@ -295,3 +295,27 @@ def test_decontamination_folds_all_letters(spark):
     got = {r["doc_id"]: r["question_overlap"] for r in decontaminate.matches(frame, bench).collect()}
     assert got == {0: 1.0, 1: 1.0, 3: 1.0}
     assert [r["doc_id"] for r in decontaminate.clean(frame, bench).collect()] == [2]
+
+
+def test_decontamination_of_unspaced_and_short_items(spark):
+    """Items without ASCII spaces and items of fewer than five words were left out of the index."""
+    zh, ja = "请问下列哪一座城市是中华人民共和国的首都？答案是北京市。", "日本で一番高い山はどれですか。答えは富士山です。"
+    th = "เมืองหลวงของประเทศไทยคือกรุงเทพมหานคร"
+    items = [(0, zh), (1, ja), (2, th), (3, "What is pi?"), (4, "北京吗"), (5, "Größe"), (6, h.prose(900, 20))]
+    docs = [(0, "前言：今天天气很好，我们一起去公园散步。" + zh + "后来大家都回家了。"), (1, h.prose(1, 30) + " " + ja), (2, "ก่อน" + th + "หลัง"),
+            (3, h.prose(2, 30) + ".\n" + "what is PI?\n" + h.prose(3, 30)), (4, "他问：“北京吗？”然后走了。"), (5, "GRÖSSE"),
+            (6, h.prose(4, 90) + " " + items[6][1]), (7, "今天天气很好，我们一起去公园散步。"), (8, "Now what is pi worth"), (9, h.prose(5, 50)), (10, "他去北京吗我不知道")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame, bench).collect()}
+    assert got == {(k, k) for k in range(7)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(frame, bench).collect()) == [7, 8, 9, 10]
+
+
+def test_decontamination_of_short_questions(spark):
+    """A question or text of fewer than five words beside a given answer."""
+    items = [(0, h.prose(1, 30), "who is it", h.prose(1, 30).split()[-1]), (1, "name it", None, "zebra")]
+    docs = [(0, "so who is it: " + items[0][1]), (1, "Name it! A zebra."), (2, "Name it! A horse.")]
+    bench = spark.createDataFrame(items, "item_id long, text string, question string, answer string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame, bench).collect()} == {(0, 0), (1, 1)}
