@@ -8,10 +8,10 @@ validator's own result.
 
 The trees learn from the candidates themselves: one that overlaps a base span of its kind
 counts as confirmed.  Spark counts the confirmed and all candidates of every distinct
-feature pattern over the whole table; the ``PATTERNS`` most frequent ones (a documented
-bound) are boosted with logistic loss on the driver.  A kind's threshold is calibrated on
-the same counts: the lowest score from which on ``PRECISION`` of the candidates are
-confirmed.  Trees are applied as conditional expressions, inside the row that holds the
+feature pattern over the whole table; the ``PATTERNS`` most frequent ones of each kind (a
+documented bound) are boosted with logistic loss on the driver.  Spark then scores the
+counts of all patterns; a kind's threshold is the lowest edge of a score bucket from which on
+``PRECISION`` of all its candidates are confirmed.  Trees are applied as conditional expressions, inside the row that holds the
 candidates: no Python on the executors and no shuffle of texts.
 
 Each pattern reads a text once, in linear time: a start in the middle of a run of
@@ -25,6 +25,8 @@ empty table gives no rows (and no trees); extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,8 @@ CONTEXT = 24
 PATTERNS = 4_000
 TREES, DEPTH, RATE, LEAST_WEIGHT = 24, 3, 0.3, 5.0
 PRECISION = 0.9
+#: Score buckets: so many for one unit of the margin, numbered from -EDGE to EDGE.
+STEPS, EDGE = 256, 1 << 15
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 SPAN = "struct<kind:int,start:int,end:int,m:string,before:string,after:string>"
@@ -220,35 +224,48 @@ def margin_of(trees: list[tuple], f: Column) -> Column:
     return total
 
 
+def lowest(counts: dict[int, tuple[float, float]]) -> float:
+    """The lowest edge of the score buckets {bucket: (confirmed, all)} from which on PRECISION are confirmed; infinite if none."""
+    best, hits, total = math.inf, 0.0, 0.0
+    for bucket in sorted(counts, reverse=True):
+        hits, total = hits + counts[bucket][0], total + counts[bucket][1]
+        if hits >= PRECISION * total and hits > 0:
+            best = bucket / STEPS if bucket > -EDGE else -math.inf
+    return best
+
+
 def thresholds(rows: list[tuple[list[int], float, float]], trees: list[tuple]) -> list[float]:
     """Per kind, the lowest margin from which on PRECISION of the candidates are confirmed; infinite if none."""
-    out = []
-    for kind in range(len(KINDS)):
-        scored = sorted(((sum(value(t, x) for t in trees), y, n) for x, y, n in rows if x[0] == kind), reverse=True)
-        best, hits, total = math.inf, 0.0, 0.0
-        for k, (margin, y, n) in enumerate(scored):
-            hits, total = hits + y, total + n
-            last_of_tie = k + 1 == len(scored) or scored[k + 1][0] < margin
-            if last_of_tie and hits >= PRECISION * total and hits > 0:
-                best = margin
-        out.append(best)
-    return out
+    counts: list[dict] = [defaultdict(lambda: (0.0, 0.0)) for _ in KINDS]
+    for x, y, n in rows:
+        bucket = min(max(math.floor(sum(value(t, x) for t in trees) * STEPS), -EDGE), EDGE)
+        hits, total = counts[x[0]][bucket]
+        counts[x[0]][bucket] = (hits + y, total + n)
+    return [lowest(c) for c in counts]
+
+
+def calibrated(counts: DataFrame, trees: list[tuple]) -> list[float]:
+    """``thresholds`` from the counts (f, y, n) of every pattern, scored and summed in Spark."""
+    bucket = F.least(F.greatest(F.floor(margin_of(trees, F.col("f")) * STEPS), F.lit(-EDGE)), F.lit(EDGE))
+    rows = counts.groupBy(F.get("f", F.lit(0)).alias("kind"), bucket.alias("bucket")).agg(
+        F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
+    return [lowest({r["bucket"]: (float(r["y"]), float(r["n"])) for r in rows if r["kind"] == k}) for k in range(len(KINDS))]
 
 
 def redactions(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end), by kind and start; spans holds base and the added ones."""
     rows = materialize(spans_of(docs), "pii-spans")
-    counts = rows.select(F.explode("found").alias("c")).groupBy("c.f").agg(
-        F.sum("c.confirmed").alias("y"), F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "f").limit(PATTERNS).collect()
-    patterns = [(list(r["f"]), float(r["y"]), float(r["n"])) for r in top]
-    trees = boost(patterns)
-    limits = thresholds(patterns, trees)
+    counts = materialize(rows.select(F.explode("found").alias("c")).groupBy("c.f").agg(
+        F.sum("c.confirmed").alias("y"), F.count(F.lit(1)).alias("n")), "pii-patterns")
+    top = reduce(DataFrame.unionAll, [
+        counts.filter(F.get("f", F.lit(0)) == k).orderBy(F.col("n").desc(), "f").limit(PATTERNS) for k in range(len(KINDS))])
+    trees = boost(sorted((list(r["f"]), float(r["y"]), float(r["n"])) for r in top.collect()))
+    limits = calibrated(counts, trees)
 
     def reaches(c: Column) -> Column:
         least = F.lit(math.inf)
         for kind, x in enumerate(limits):
-            least = F.when(c["kind"] == kind, F.lit(x - 1e-9 if x < math.inf else math.inf)).otherwise(least)
+            least = F.when(c["kind"] == kind, F.lit(x)).otherwise(least)
         return least
 
     scored = F.transform(F.filter("found", lambda c: ~c["taken"]), lambda c: F.struct(

@@ -319,3 +319,18 @@ def test_decontamination_of_short_questions(spark):
     bench = spark.createDataFrame(items, "item_id long, text string, question string, answer string")
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame, bench).collect()} == {(0, 0), (1, 1)}
+
+
+def test_pii_thresholds_cover_all_patterns(spark, monkeypatch):
+    """Kinds and patterns beyond the fit sample take part in the calibration."""
+    monkeypatch.setattr(pii, "PATTERNS", 1)
+
+    def added(data):
+        rows = pii.redactions(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()
+        return {data[r["doc_id"]] for r in rows if len(r["spans"]) > len(r["base"])}
+
+    good, bad = "x 4111 1111 1111 1111 y", "x 4111 1111 1111 1112 y"
+    assert added(["so a.b@c.example y"] * 40 + [good] * 20 + [bad]) == {bad}
+    others = [f"{word} {sep}4111{gap}1111{gap}1111{gap}1112 y" for word in ("card", "host", "phone", "mail", "x")
+              for sep in ("", ": ") for gap in ("-", "")]
+    assert added([good] * 20 + others) == set()
