@@ -6,12 +6,16 @@ bracketed network addresses, digit groups with other separators, numbers without
 code.  A candidate becomes small integer features of its format and context, never the
 validator's own result.
 
-The trees learn from the candidates themselves: one that overlaps a base span of its kind
-counts as confirmed.  Spark counts the confirmed and all candidates of every distinct
+The trees learn from the candidates themselves.  One that overlaps a base span of its kind
+counts as confirmed, and so does one in another form on evidence that the form does not
+decide: with its separators put back to the plain ones the kind's validator accepts it.
+Plain words (``at``, ``dot``) need a known top-level domain too, and a plain dot after ``at``
+a cue in the context or the local part; numbers without ``+`` or ``00`` need a cue before
+them or the same number as a base span of the document.  Spark counts the confirmed and all candidates of every distinct
 feature pattern over the whole table; the ``PATTERNS`` most frequent ones of each kind (a
 documented bound) are boosted with logistic loss on the driver.  Spark then scores the
-counts of all patterns; a kind's threshold is the lowest edge of a score bucket from which on
-``PRECISION`` of all its candidates are confirmed.  Trees are applied as conditional expressions, inside the row that holds the
+counts of all patterns; the threshold of a form of a kind is the lowest edge of a score
+bucket from which on ``PRECISION`` of all its candidates are confirmed.  Trees are applied as conditional expressions, inside the row that holds the
 candidates: no Python on the executors and no shuffle of texts.
 
 Each pattern reads a text once, in linear time: a start in the middle of a run of
@@ -47,11 +51,14 @@ BASE = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 _AT, _DOT = r"\x20?(?:@|\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?", r"\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?"
+#: Dots that do not end a sentence; tried before the others, so that an address ends where its sentence does.
+_INNER_DOT = r"(?:\.|\x20\.\x20|\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?)"
+_LABEL = "[A-Za-z0-9-]{2,63}"
 GENERATORS = {
-    "email": rf"(?i)(?:\G|(?<![{LOCAL}]))[{LOCAL}]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,63}})+",
+    "email": rf"(?i)(?:\G|(?<![{LOCAL}]))[{LOCAL}]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}(?:(?:{_INNER_DOT}{_LABEL})+|(?:{_DOT}{_LABEL})+)",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{0,2}[0-9]{3,7}){2,4}(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+|00)?[0-9]{0,3}[\x20-]?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]{1,2}[0-9]{3,5}(?![0-9])",
+    "phone": r"(?<![0-9])(?:(?:\+|00)[0-9]{0,3}[\x20-]?|[0-9]{1,3}[\x20-]?)?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]{1,2}[0-9]{3,5}(?![0-9])",
 }
 KEYWORDS = {
     1: r"(?i)(?:mail|contact|write|reach)[^A-Za-z]*$",
@@ -60,6 +67,14 @@ KEYWORDS = {
     4: r"(?i)(?:phone|tel|call|fax|mobile|cell)[^A-Za-z]*$",
 }
 CONTEXT = 24
+#: Top-level domains that an address in plain words may end in.
+TOP = (
+    "com|net|org|edu|gov|mil|int|info|biz|name|pro|app|dev|xyz|online|site|shop|cloud|tech|example|test|a[c-gilmoq-uwxz]|"
+    "b[abd-jm-or-tvwyz]|c[acdf-ik-oru-z]|d[ejkmoz]|e[cegr-u]|f[ijkmor]|g[abd-ilmnp-uwy]|h[kmnrtu]|i[delmnoq-t]|j[emop]|"
+    "k[eghimnprwyz]|l[abcikr-vy]|m[acdeghk-z]|n[acefgilopruz]|om|p[ae-hk-nrstwy]|qa|r[eosuw]|s[a-eg-ortuvxyz]|"
+    "t[cdfghj-ortvwz]|u[agksyz]|v[aceginu]|w[fs]|y[et]|z[amw]")
+#: Forms of a candidate within its kind; the last feature.
+FORMS = 4
 
 PATTERNS = 4_000
 TREES, DEPTH, RATE, LEAST_WEIGHT = 24, 3, 0.3, 5.0
@@ -115,6 +130,34 @@ def passes(kind: str):
     return lambda span: valid(span, kind)
 
 
+def form(span: Column) -> Column:
+    """0 for the base form of the kind, else which of its loose forms a candidate has."""
+    match = span["m"]
+    email = F.when(match.rlike(r"[(\[{]"), 1).when(match.rlike(r"(?i)\x20dot\x20"), 2).when(match.rlike(r"(?i)\x20at\x20"), 3).otherwise(0)
+    ip = match.rlike(r"[(\[]").cast("int")
+    card = match.rlike(r"[./_]|[\x20-]{2}").cast("int")
+    phone = F.when(match.startswith("+"), F.when(match.contains("/"), 3).otherwise(0)).when(match.startswith("00"), 1).otherwise(2)
+    return F.when(span["kind"] == 0, email).when(span["kind"] == 1, ip).when(span["kind"] == 2, card).otherwise(phone)
+
+
+def evidence(span: Column, known: Column) -> Column:
+    """Whether a candidate is one of its kind whatever its form; ``known`` are the digits of the document's base phone spans."""
+    match, before = span["m"], span["before"]
+    plain = match
+    for pattern, sign in ((r"\x20?[(\[{]at[)\]}]\x20?|\x20{1,2}at\x20{1,2}|\x20@\x20", "@"),
+                          (r"\x20?[(\[{]dot[)\]}]\x20?|\x20{1,2}dot\x20{1,2}|\x20\.\x20", ".")):
+        plain = F.regexp_replace(plain, "(?i)" + pattern, sign)
+    cue = before.rlike(KEYWORDS[1]) | plain.rlike("^[^@]*[0-9._%+-][^@]*@")
+    email = plain.rlike(rf"^[{LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$") & (
+        form(span).isin(0, 1) | plain.rlike(rf"(?i)\.(?:{TOP})$") & ((form(span) == 2) | cue))
+    octets = F.regexp_replace(match, r"[\[(]\.[\])]", ".").rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
+    digits = F.regexp_replace(F.regexp_replace(match, "[^0-9]", ""), "^0+", "")
+    phone = F.length(digits).between(9, 15) & (
+        match.rlike(r"^(?:\+|00)") | before.rlike(KEYWORDS[4]) | F.exists(known, lambda d: d.endswith(digits)))
+    return F.when(span["kind"] == 0, email).when(span["kind"] == 1, octets).when(
+        span["kind"] == 2, valid(span, "card")).otherwise(phone)
+
+
 def features(span: Column) -> Column:
     """array<int> of format and context."""
     match, before, after = span["m"], span["before"], span["after"]
@@ -136,7 +179,7 @@ def features(span: Column) -> Column:
         F.when(match.contains("@"), 2).when(match.rlike(r"(?i)\bat\b"), 1).otherwise(0),
         edge(before, "%s$"), edge(after, "^%s"), word,
         F.least(F.length(F.regexp_extract(match, "[0-9]+", 0)), F.lit(8)),
-        F.least(F.length(F.regexp_extract(match, "[0-9]+$", 0)), F.lit(8)))
+        F.least(F.length(F.regexp_extract(match, "[0-9]+$", 0)), F.lit(8)), form(span))
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
@@ -149,10 +192,12 @@ def spans_of(docs: DataFrame) -> DataFrame:
     short = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     rows = rows.select("doc_id", F.concat(*[
         F.transform(F.filter(f"b_{k}", passes(k)), short) for k in KINDS]).alias("base"),
+        F.transform(F.filter("b_phone", passes("phone")), lambda s: F.regexp_replace(s["m"], "[^0-9]", "")).alias("known"),
         F.concat(*[F.col(f"g_{k}") for k in KINDS]).alias("g"))
     return rows.select("doc_id", "base", F.transform("g", lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), features(s).alias("f"),
-        F.exists("base", lambda b: (b["kind"] == s["kind"]) & overlap(b, s)).cast("int").alias("confirmed"),
+        (F.exists("base", lambda b: (b["kind"] == s["kind"]) & overlap(b, s))
+         | ~F.exists("base", lambda b: overlap(b, s)) & evidence(s, F.col("known"))).cast("int").alias("confirmed"),
         F.exists("base", lambda b: overlap(b, s)).alias("taken"))).alias("found"))
 
 
@@ -244,12 +289,17 @@ def thresholds(rows: list[tuple[list[int], float, float]], trees: list[tuple]) -
     return [lowest(c) for c in counts]
 
 
+def group_of(f: Column) -> Column:
+    """Number of the kind and form of a candidate."""
+    return F.get(f, F.lit(0)) * FORMS + F.element_at(f, -1)
+
+
 def calibrated(counts: DataFrame, trees: list[tuple]) -> list[float]:
-    """``thresholds`` from the counts (f, y, n) of every pattern, scored and summed in Spark."""
+    """Like ``thresholds``, per kind and form, from the counts (f, y, n) of every pattern, scored and summed in Spark."""
     bucket = F.least(F.greatest(F.floor(margin_of(trees, F.col("f")) * STEPS), F.lit(-EDGE)), F.lit(EDGE))
-    rows = counts.groupBy(F.get("f", F.lit(0)).alias("kind"), bucket.alias("bucket")).agg(
+    rows = counts.groupBy(group_of(F.col("f")).alias("g"), bucket.alias("bucket")).agg(
         F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
-    return [lowest({r["bucket"]: (float(r["y"]), float(r["n"])) for r in rows if r["kind"] == k}) for k in range(len(KINDS))]
+    return [lowest({r["bucket"]: (float(r["y"]), float(r["n"])) for r in rows if r["g"] == k}) for k in range(len(KINDS) * FORMS)]
 
 
 def redactions(docs: DataFrame) -> DataFrame:
@@ -264,8 +314,9 @@ def redactions(docs: DataFrame) -> DataFrame:
 
     def reaches(c: Column) -> Column:
         least = F.lit(math.inf)
-        for kind, x in enumerate(limits):
-            least = F.when(c["kind"] == kind, F.lit(x)).otherwise(least)
+        for group, x in enumerate(limits):
+            if x < math.inf:
+                least = F.when(group_of(c["f"]) == group, F.lit(x)).otherwise(least)
         return least
 
     scored = F.transform(F.filter("found", lambda c: ~c["taken"]), lambda c: F.struct(

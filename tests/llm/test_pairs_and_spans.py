@@ -334,3 +334,18 @@ def test_pii_thresholds_cover_all_patterns(spark, monkeypatch):
     others = [f"{word} {sep}4111{gap}1111{gap}1111{gap}1112 y" for word in ("card", "host", "phone", "mail", "x")
               for sep in ("", ": ") for gap in ("-", "")]
     assert added([good] * 20 + others) == set()
+
+
+def test_pii_adds_spelled_out_spans_and_no_prose(spark):
+    """Forms that no base pattern matches are added on their own evidence; prose in their shape is not."""
+    found = {"jane (at) mail (dot) example (dot) org": "write to %s. Thanks", "bob at example dot com": "so %s today",
+             "al.b at mail.example.com": "contact %s. Then", "10[.]1[.]2[.]3": "host %s up", "4111.1111.1111.1111": "paid %s ok",
+             "0049 301 234 5678": "tel %s end"}
+    prose = ["from at and. Of the", "we look at this. It is", "they met at noon. We saw", "he sat at a dot on the map", "in 4111.1111.1111.1112 or"]
+    plain = ["mail a.b1@c.example now", "x 97.51.17.173 y", "x 9807915762804490 y", "x +1 (826) 555-4081 y"]
+    data = [around % span for span, around in found.items()] * 6 + prose * 40 + plain * 20
+    for r in pii.redactions(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect():
+        text, base = data[r["doc_id"]], r["base"]
+        added = [text[s["start"]:s["end"]] for s in r["spans"] if s not in base]
+        want = [span for span, around in found.items() if around % span == text]
+        assert added == want, text
