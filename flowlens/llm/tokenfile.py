@@ -11,10 +11,13 @@ The rows of each document (file, offset, length) are what the task returns; Spar
 commits them as a table.  Only files named there count: a task that is run again writes
 another file under a new name, so lost executors and second attempts do no harm.
 
-A text is encoded by the tokenizers library word by word: its normalisers and its
-pre-tokeniser never look across ASCII white space, so the ids of a text are those of
-its words, and each distinct word of a task is encoded once.  (Words are told apart by
-64-bit hashes of their exact bytes.)
+A text is encoded by the tokenizers library piece by piece: its normalisers and its
+pre-tokeniser never look across ASCII white space, nor from an ASCII letter to ASCII
+punctuation or a digit (``APART``), and fold the case of A-Z.  So the ids of a text are
+those of its pieces, and each distinct piece of a worker is encoded once.  Pieces are told
+apart by 64-bit hashes.  Texts that hold ``<|``, the start of a special token, are encoded
+whole.  ``WordEncoder.follows`` checks a tokenizer against these rules; one that does
+not follow them encodes every text whole.
 
 Defined results: null and empty texts are the end id alone; null ids come first;
 repeated rows are each written; rows of one doc_id are ordered by text; an empty table
@@ -44,20 +47,47 @@ from flowlens.session import materialize, new_path
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_PIECES = 1_000_000
 CHUNK = 1 << 20
-WORDS_AT_ONCE = 4_000
+PIECES_AT_ONCE = 4_000
 #: Size of the Arrow batches of texts that a task holds at a time.
 BATCH_BYTES = "8m"
 
 INDEX_DDL = "part int, file string, doc_id long, offset long, n_tokens long"
 
 
+SPACE, LETTER, DIGIT, MARK, QUOTE, WIDE = range(6)
+#: The class of each byte; bytes beyond ASCII are WIDE.
+KIND = np.array([WIDE if b > 127 else SPACE if wh.SPACE[b] else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit()
+                 else QUOTE if b == 39 else MARK for b in range(256)], np.uint8)
+#: APART[a, b]: a piece ends between neighbouring bytes of these classes.
+APART = np.zeros((6, 6), bool)
+for _a, _b in ((LETTER, MARK), (LETTER, QUOTE), (LETTER, DIGIT), (DIGIT, LETTER), (DIGIT, DIGIT), (DIGIT, MARK), (DIGIT, QUOTE),
+               (MARK, LETTER), (MARK, DIGIT), (QUOTE, DIGIT)):
+    APART[_a, _b] = True
+#: Texts that tell whether a tokenizer works piece by piece.
+PROBES = ("It's THE 12th, don't: a1b2 x-y (z) \u00c9t\u00e9, rock'n'roll 'll,'s ''s", "e\u0301, <\u0338 ~~%%% a=b; C++ $9.99 'S\t\n we'RE")
+SPECIAL = "<|"
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> wh.Words:
+    """The spans that are encoded on their own; ``hashes[bounds[i]:bounds[i + 1]]`` belong to text i."""
+    kind = KIND[data]
+    inside = kind != SPACE
+    cut = np.ones(len(data) + 1, bool)  # cut[k]: no piece holds both byte k - 1 and byte k
+    cut[1:-1] = APART[kind[:-1], kind[1:]] | ~inside[:-1] | ~inside[1:]
+    cut[offsets] = True
+    starts, ends = np.flatnonzero(inside & cut[:-1]), np.flatnonzero(inside & cut[1:]) + 1
+    if len(starts) == 0:
+        return wh.Words(np.zeros(0, np.uint64), starts, ends, np.zeros(len(offsets), np.int64))
+    return wh.Words(wh.span_hashes(wh.lowered(data), starts, ends), starts, ends, np.searchsorted(starts, offsets))
+
+
 class WordEncoder:
-    """Ids of whole texts, each distinct word encoded once and kept up to a bound.
+    """Ids of whole texts, each distinct piece encoded once and kept up to a bound.
 
-    Known words are a sorted array of hashes beside the place of their ids, some 40
-    bytes a word.  A Python worker keeps its encoder for its next tasks.
+    Known pieces are a sorted array of hashes beside the place of their ids, some 40
+    bytes a piece.  A Python worker keeps its encoder for its next tasks.
     """
 
     def __init__(self, path: str):
@@ -66,27 +96,33 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
+        self.by_pieces = self.follows(PROBES)
+        self._clear()
 
     def _clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.bounds = np.zeros(1, np.int64)
         self.ids = np.zeros(0, self.dtype)
 
-    def _code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, number of ids of each)."""
-        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        lists = [e.ids for e in coded]
-        return np.fromiter(chain.from_iterable(lists), self.dtype), np.fromiter(map(len, lists), np.int64, len(lists))
+    def follows(self, texts) -> bool:
+        """Whether the texts' ids are those of their pieces."""
+        self.by_pieces = True
+        data, offsets = wh.text_bytes(pa.array(texts, pa.large_string()))
+        ids, bounds = self._by_pieces(data, offsets, END_ID)
+        return all(ids[a : b - 1].tolist() == whole for a, b, whole in zip(bounds[:-1], bounds[1:], self._whole(texts)))
+
+    def _whole(self, texts) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Add words not known yet, given in ascending order of their hashes."""
+        """Add pieces not known yet, given in ascending order of their hashes."""
         raw = data.tobytes()
-        words = [raw[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())]
+        texts = [raw[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())]
         ids, bounds = [self.ids], [self.bounds]
-        for n in range(0, len(words), WORDS_AT_ONCE):
-            some, sizes = self._code(words[n : n + WORDS_AT_ONCE])
-            ids.append(some)
-            bounds.append(bounds[-1][-1] + np.cumsum(sizes))
+        for n in range(0, len(texts), PIECES_AT_ONCE):
+            lists = self._whole(texts[n : n + PIECES_AT_ONCE])
+            ids.append(np.fromiter(chain.from_iterable(lists), self.dtype))
+            bounds.append(bounds[-1][-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))))
         slots = np.arange(len(keys)) + len(self.bounds) - 1
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
@@ -94,15 +130,38 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, bounds of each text), with the end id after each."""
-        found = wh.words(data, offsets)
-        distinct, first, inverse = np.unique(wh.exact_hashes(data, found), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHED_WORDS:
+        raw = data.tobytes()
+        whole = np.ones(len(offsets) - 1, bool)
+        if self.by_pieces:
+            whole[:] = False
+            at = raw.find(SPECIAL.encode())
+            while at >= 0:
+                k = int(np.searchsorted(offsets, at, "right")) - 1
+                whole[k] = True
+                at = raw.find(SPECIAL.encode(), int(offsets[k + 1]))
+        if not whole.any():
+            return self._by_pieces(data, offsets, end_id)
+        parts = []
+        for k in range(len(whole)):
+            a, b = int(offsets[k]), int(offsets[k + 1])
+            if whole[k]:
+                parts.append(np.array([*self._whole([raw[a:b].decode("utf-8")])[0], end_id], self.dtype))
+            else:
+                parts.append(self._by_pieces(data[a:b], offsets[k : k + 2] - a, end_id)[0])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _by_pieces(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        found = pieces(data, offsets)
+        distinct, first, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHED_PIECES:
             self._clear()
-        unseen = ~np.isin(distinct, self.keys, assume_unique=True) if len(self.keys) else np.ones(len(distinct), bool)
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        unseen = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if unseen.any():
-            at = first[unseen]
-            self._learn(data, distinct[unseen], found.starts[at], found.ends[at])
-        slot = self.slots[np.searchsorted(self.keys, distinct)][inverse] if len(distinct) else np.zeros(0, np.int64)
+            where = first[unseen]
+            self._learn(data, distinct[unseen], found.starts[where], found.ends[where])
+            at = np.searchsorted(self.keys, distinct)
+        slot = self.slots[at][inverse] if len(distinct) else np.zeros(0, np.int64)
         size = self.bounds[slot + 1] - self.bounds[slot]
         upto = np.concatenate([[0], np.cumsum(size)])
         bounds = upto[found.bounds] + np.arange(len(offsets))
@@ -228,5 +287,7 @@ def read(index: DataFrame) -> DataFrame:
                 [batch["doc_id"], pc.add(batch["before"], batch["offset"]), batch["n_tokens"], pa.array(sums, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return index.join(starts, "part").select("doc_id", "file", "offset", "n_tokens", "before").mapInArrow(
+    rows = index.join(starts, "part").select("doc_id", "file", "offset", "n_tokens", "before")
+    files = max(totals.count(), 1)
+    return rows.repartition(files, "file").sortWithinPartitions("file", "offset").mapInArrow(
         task, "doc_id long, start long, n_tokens long, ids_crc32 long")

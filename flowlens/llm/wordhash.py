@@ -2,9 +2,10 @@
 
 A word is ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Both rules are about
 single ASCII bytes, so UTF-8 text is handled as one byte array per batch: word
-borders are a table look-up, and the hash of every word is the difference of two
-prefix sums of a polynomial, scaled back by the inverse power of the base (odd,
-hence invertible modulo 2**64).  No Python loop runs over words or characters.
+borders are a table look-up, and the hash of a word sums its blocks of eight bytes, each
+mixed with its place in the word, and mixes the sum with the word's length.  No step is
+linear in the bytes, so words of a regular structure do not collide.  No Python loop runs
+over words or characters.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 2**64)
 SHINGLE = 5
 CHUNK_BYTES = 1 << 20
 
@@ -26,7 +26,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
+#: _BYTES[n] keeps the first n bytes of a little-endian block of eight.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,16 +37,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64; kept for the next batch."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return have[:n]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column, without a copy; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -81,19 +72,31 @@ class Words:
     bounds: np.ndarray
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans, from the prefix sums of ``byte_sums``."""
-    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(sums))[starts])
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
 
 
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-    return sums
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the block that starts at each byte
+    size = ends - starts
+    total = mix(eight[starts] & _BYTES[np.minimum(size, 8)])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        blocks = (size[long] - 1) >> 3  # those after the first
+        upto = np.cumsum(blocks)
+        place = np.arange(1, upto[-1] + 1) - np.repeat(upto - blocks, blocks)
+        at = np.repeat(starts[long], blocks) + 8 * place
+        left = np.minimum(np.repeat(ends[long], blocks) - at, 8)
+        rest = mix((eight[at] & _BYTES[left]) + mix(place.astype(np.uint64) * np.uint64(BASE)))
+        total[long] += np.add.reduceat(rest, upto - blocks)
+    return mix(total + size.astype(np.uint64) * np.uint64(BASE))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, borders: np.ndarray = SPACE, prefix: int = 0) -> Words:
-    """Every word's byte span and 64-bit hash; with ``prefix``, of its first bytes only."""
+    """Every word's byte span and 64-bit hash, A-Z lower-cased; with ``prefix``, of its first bytes only."""
     if len(data) == 0:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64))
@@ -106,17 +109,10 @@ def words(data: np.ndarray, offsets: np.ndarray, borders: np.ndarray = SPACE, pr
     first[1:] &= ~inside[:-1] | fresh[1:]
     last[:-1] &= ~inside[1:] | fresh[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = span_hashes(byte_sums(data), starts, np.minimum(ends, starts + prefix) if prefix else ends)
+    hashes = span_hashes(lowered(data), starts, np.minimum(ends, starts + prefix) if prefix else ends)
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
-def exact_hashes(data: np.ndarray, found: Words) -> np.ndarray:
-    """Hashes of the words' bytes as they are, without lower-casing."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-    return span_hashes(sums, found.starts, found.ends)
-
-
 def ngrams(hashes: np.ndarray, offsets: tuple[int, ...], salt: int = 0) -> np.ndarray:
     """Hash of (word i + offsets[0], word i + offsets[1], ...) for every i it fits; (0, 2) is a skip-gram."""
     n = len(hashes) - offsets[-1]

@@ -165,7 +165,7 @@ def test_token_files_round_trip(spark, tokenizer_path):
 
 
 def test_word_encoder_survives_a_full_cache(tokenizer_path, monkeypatch):
-    monkeypatch.setattr(tokenfile, "CACHED_WORDS", 10)
+    monkeypatch.setattr(tokenfile, "CACHED_PIECES", 10)
     encoder = tokenfile.WordEncoder(tokenizer_path)
     import pyarrow as pa
 
