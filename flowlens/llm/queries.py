@@ -134,6 +134,93 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+#: Pieces, words, all phrases of up to three words; whole-number scores of both cuts; phrases held by a longer one.
+OP11_SQL = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w WHERE len(w) > 2),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING k = 1 OR count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+s AS (
+  SELECT c.*, cut, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+  FROM (SELECT c.*, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:c.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL),
+r AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN h USING (lang, phrase) WHERE h.a IS NULL OR 100 * h.a < 50 * b.a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_graph", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import collocations
+
+    return collocations.mine(table(spark, sf_dir, "documents")).drop("path_words")
+
+
+#: Failure bits of every document, all orders of the five letters, counts by bits.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+b AS (
+  SELECT part, (len(w) < 50)::INTEGER + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INTEGER
+    + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t))::INTEGER + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INTEGER AS bits,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic
+  FROM w),
+g AS (SELECT part, bits, good, toxic, count(*) AS n FROM b GROUP BY ALL),
+l AS (SELECT f::INTEGER AS f, 'ABCDE'[f + 1] AS c FROM range(5) t(f)),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.f, b.f, c.f, d.f, e.f] AS fs
+  FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (
+  SELECT filter_order, k::INTEGER AS step, (1 << fs[k])::INTEGER AS own,
+    coalesce(list_sum(list_transform(fs[1:k - 1], lambda f: 1 << f)), 0)::INTEGER AS before FROM o, range(1, 6) t(k)),
+r AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE bits & (before | own) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE bits & own > 0 AND bits & before = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE bits & own > 0 AND bits & before > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE bits = own), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE good AND bits & own > 0 AND bits & before = 0), 0) AS good_lost,
+    coalesce(sum(n) FILTER (WHERE toxic AND bits & own > 0 AND bits & before = 0), 0) AS toxic_lost
+  FROM g CROSS JOIN s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import audit
+
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_site_templates")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import pages
+
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
