@@ -9,21 +9,18 @@ from typing import Any
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowlens import fixed_values as fv
 from flowlens.functions.keys import hash_bucket, key_hash
 from flowlens.functions.numeric import as_col
+from flowlens.operators import hinge
 from flowlens.operators.balance import with_class_weight
 from flowlens.operators.fuzzy import override_prediction
-from flowlens.operators.scaling import fit_scaler, scale
 from flowlens.session import materialize
 
 MAX_DEPTH = 30  # upper bound of Spark's tree learner
@@ -104,9 +101,11 @@ def effective_variants(variants: list[tuple[int, int, int]], features: int, max_
     return [(max(d - over, 1), leaf, max(1, math.ceil(n * wide))) for d, leaf, n in variants]
 
 
-def score(model: PipelineModel, df: DataFrame, cfg: TrainConfig, out: str,
+def score(model: PipelineModel | hinge.HingeModel, df: DataFrame, cfg: TrainConfig, out: str,
           probability: str | None = None, keep_raw: str | None = None) -> DataFrame:
     """Add the predicted class (and optionally the probability array) to ``df``."""
+    if isinstance(model, hinge.HingeModel):
+        return model.score(df, out, keep_raw)
     filled = df.withColumns({f"__in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cfg.features})
     renamed = model.copy()
     used = model.stages[0].getInputCols()
@@ -144,14 +143,14 @@ def fuzzy_forest_predict(model: PipelineModel, df: DataFrame, cfg: TrainConfig,
 
 
 # --- support vector machines ------------------------------------------------------
-def linear_svm(df: DataFrame, cfg: TrainConfig, reg: float = 0.01, iterations: int = 50,
-               parallelism: int = 4) -> PipelineModel:
-    """Scaled one-vs-rest hinge-loss SVM."""
-    svc = LinearSVC(regParam=reg, maxIter=iterations, standardization=False)
-    ovr = OneVsRest(classifier=svc, labelCol=cfg.label, featuresCol="scaled", parallelism=parallelism)
-    stages = [assembler(cfg), StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-              _weighted(ovr, cfg)]
-    return Pipeline(stages=stages).fit(prepare(df, cfg))
+def linear_svm(df: DataFrame, cfg: TrainConfig, cost: float = 1.0) -> hinge.HingeModel:
+    """One-vs-rest SVM of the standardised features; in each problem the class and the rest weigh the same."""
+    return hinge.fit(df, list(cfg.features), cfg.label, cost)
+
+
+def rbf_svm(df: DataFrame, cfg: TrainConfig, cost: float = 50.0, gamma: float | None = None, n_out: int = 64) -> hinge.HingeModel:
+    """The same with an RBF kernel; the width of standardised features is 1 / features unless given."""
+    return hinge.fit(df, list(cfg.features), cfg.label, cost, gamma or 1.0 / len(cfg.features), n_out, cfg.seed)
 
 
 def fourier_weights(n_in: int, n_out: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +178,10 @@ def with_fourier_features(df: DataFrame, columns: list[str], n_out: int = 32, ga
 
 def confidence(probability: Column | None = None, decision: Column | None = None) -> Column:
     """Largest probability; else |score| for one decision value, else the largest
-    score after division by the largest magnitude; 1 when nothing is known."""
+    score after division by the largest magnitude; 1 when nothing is known.
+
+    From several decision values it lies in -1 to 1: negative where every class is rejected.
+    """
     if probability is not None:
         return F.array_max(probability)
     if decision is None:
@@ -199,43 +201,6 @@ def weighted_f1(cfg: TrainConfig) -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol=cfg.label, metricName="f1")
 
 
-def grid_search(df: DataFrame, cfg: TrainConfig, fold: str, regs: list[float], parallelism: int = 4,
-                iterations: int = 20):
-    """Grid search of the linear SVM by weighted F1 over given folds."""
-    svc = LinearSVC(maxIter=iterations, standardization=False)
-    ovr = OneVsRest(classifier=svc, labelCol=cfg.label, featuresCol="scaled")
-    pipe = Pipeline(stages=[assembler(cfg), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), ovr])
-    grid = ParamGridBuilder().addGrid(ovr.classifier, [svc.copy({svc.regParam: r}) for r in regs]).build()
-    n = df.agg(F.max(fold)).first()[0] + 1
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=weighted_f1(cfg), numFolds=n,
-                        foldCol=fold, parallelism=parallelism, collectSubModels=False)
-    slim = df.select(F.col(cfg.label).cast("double").alias(cfg.label), fold,
-                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cfg.features])
-    fitted = cv.fit(slim)
-    return fitted, [(r, float(m)) for r, m in zip(regs, fitted.avgMetrics)]
-
-
-def svm_grid(df: DataFrame, cfg: TrainConfig, fold: str, costs: list[float], gammas: list[float | None],
-             n_out: int = 64, iterations: int = 20) -> list[tuple[float, float | None, float]]:
-    """Weighted F1 of every (C, gamma) over given folds; gamma None is the linear kernel.
-
-    The features are standardised first; an RBF kernel is its random Fourier features.
-    A cost C is the regularisation 1 / (C n) of the mean hinge loss.
-    """
-    stats = fit_scaler(df, list(cfg.features))
-    scaled = materialize(scale(df, list(cfg.features), stats, "standard").select(
-        F.col(cfg.label).cast("double").alias(cfg.label), fold, *cfg.features), "grid")
-    n = scaled.count()
-    out = []
-    for gamma in gammas:
-        data, names = (scaled, list(cfg.features)) if gamma is None else with_fourier_features(
-            scaled, list(cfg.features), n_out, gamma, cfg.seed)
-        sub = TrainConfig(features=tuple(names), label=cfg.label, weight=None, seed=cfg.seed)
-        _, scores = grid_search(data, sub, fold, [1.0 / (c * n) for c in costs], iterations=iterations)
-        out += [(c, gamma, f1) for c, (_, f1) in zip(costs, scores)]
-    return out
-
-
 def out_of_fold(df: DataFrame, cfg: TrainConfig, fold: str, fit, out: str, folds: int = 3) -> DataFrame:
     """Probability of every row from the model that did not see its fold."""
     parts = []
@@ -245,6 +210,45 @@ def out_of_fold(df: DataFrame, cfg: TrainConfig, fold: str, fit, out: str, folds
     return reduce(lambda a, b: a.unionByName(b), parts).drop(f"{out}_pred")
 
 
+def out_of_fold_calls(df: DataFrame, cfg: TrainConfig, fold: str, learners: dict[str, Any], folds: int = 3) -> DataFrame:
+    """``df`` with one column per learner: the class that the learner fitted on the other folds gives the row."""
+    parts = []
+    for k in range(folds):
+        held = df.filter(F.col(fold) == k)
+        for name, fit in learners.items():
+            held = score(fit(df.filter(F.col(fold) != k), cfg), held, cfg, name)
+        parts.append(held)
+    return materialize(reduce(lambda a, b: a.unionByName(b), parts), "out-of-fold")
+
+
+def vote_weights(calls: DataFrame, label: str, fold: str, models: list[str]) -> DataFrame:
+    """model, f1, weight: the mean over folds of each model's weighted F1 and its share of their sum; equal shares if all are zero.
+
+    ``calls`` has one column of out-of-fold classes per model; one pass, and one row per model comes out.
+    """
+    named = [F.struct(F.lit(m).alias("model"), F.col(m).cast("int").alias("call")) for m in models]
+    rows = calls.select(F.col(fold).alias("__fold"), F.col(label).cast("int").alias("__y"), F.explode(F.array(*named)).alias("__m"))
+    per_fold = hinge.weighted_f1(rows.select("__fold", "__y", "__m.model", "__m.call"), ["model", "__fold"], "__y", "call")
+    f1 = per_fold.groupBy("model").agg(F.avg("f1").alias("f1"))
+    total = F.sum("f1").over(Window.partitionBy(F.lit(0)))  # one row per model
+    return f1.withColumn("weight", F.when(total > 0, F.col("f1") / total).otherwise(F.lit(1.0 / len(models))))
+
+
+def fit_weighted(df: DataFrame, cfg: TrainConfig, fold: str, learners: dict[str, Any], folds: int = 3) -> tuple[dict[str, Any], dict[str, float]]:
+    """(models fitted on all rows, their weights from cross-validated F1)."""
+    found = vote_weights(out_of_fold_calls(df, cfg, fold, learners, folds), cfg.label, fold, list(learners))
+    weights = {r["model"]: r["weight"] for r in found.collect()}
+    return {name: fit(df, cfg) for name, fit in learners.items()}, {m: weights.get(m, 0.0) for m in learners}
+
+
+def score_weighted(models: dict[str, Any], weights: dict[str, float], df: DataFrame, cfg: TrainConfig, out: str) -> DataFrame:
+    """Class with the largest summed weight over the models' calls."""
+    names = {m: f"{out}_{i}" for i, m in enumerate(models)}
+    for m, model in models.items():
+        df = score(model, df, cfg, names[m])
+    return df.withColumn(out, weighted_vote({m: F.col(c) for m, c in names.items()}, weights)).drop(*names.values())
+
+
 def stack(df: DataFrame, cfg: TrainConfig, fold: str, learners: dict[str, Any], n_classes: int,
           folds: int = 3, iterations: int = 50) -> tuple[PipelineModel, dict[str, PipelineModel], TrainConfig]:
     """Logistic regression over out-of-fold class probabilities of the learners."""
@@ -300,11 +304,11 @@ def weighted_vote(predictions: dict[str, Column], weights: dict[str, float]) ->
 # --- explanations -------------------------------------------------------------------------
 def feature_importance(model: PipelineModel, cfg: TrainConfig, spark: SparkSession) -> DataFrame:
     """``(feature, importance)`` sorted descending; coefficients count by magnitude."""
-    last = model.stages[-1]
-    if hasattr(last, "featureImportances"):
+    last = model if isinstance(model, hinge.HingeModel) else model.stages[-1]
+    if isinstance(last, hinge.HingeModel):
+        values = last.importances()
+    elif hasattr(last, "featureImportances"):
         values = last.featureImportances.toArray()
-    elif hasattr(last, "models"):
-        values = np.mean([np.abs(m.coefficients.toArray()) for m in last.models], axis=0)
     else:
         values = np.abs(last.coefficientMatrix.toArray()).mean(axis=0)
     rows = [(f, float(v)) for f, v in zip(cfg.features, values)]

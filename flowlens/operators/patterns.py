@@ -2,8 +2,8 @@
 
 ``scan_patterns`` takes a pattern table and routes by its size: up to ``WIDE_LIMIT``
 patterns are compiled to expressions on the text (no join, no row growth).  Beyond
-that the scan is an equi-join on a gram length: every text window is matched by hash
-against the pattern prefixes and verified in full, so the cost does not grow with the
+that positions that may hold a pattern are found by a bitmap inside the row (``grams``),
+joined with the patterns and verified in full, so the cost does not grow with the
 number of patterns.  The list forms below are those expressions.
 """
 
@@ -13,12 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.stats import over_all
 from flowlens.functions.text import occurrences, quote, with_chunks
+from flowlens.operators import grams as gr
+from flowlens.session import materialize
 
 WIDE_LIMIT = 150
-# Pattern tables within both bounds are broadcast in the gram join.
-BROADCAST_PATTERNS, BROADCAST_BYTES = 200_000, 32 << 20
-# Longest gram of the join; patterns shorter than that are matched by their own length.
-GRAM = 8
 
 
 def presence(df: DataFrame, text_col: str, patterns: list[str], lower: bool = False) -> DataFrame:
@@ -128,44 +126,41 @@ def positions(df: DataFrame, text_col: str, patterns: list[str]) -> DataFrame:
 
 
 def gram_matches(df: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """``(start, end inclusive, pattern)`` for any number of patterns by an equi-join.
+    """``(start, end inclusive, pattern)`` for any number of patterns.
 
-    Every text position contributes one gram per length class of the patterns (1, 2, ..,
-    GRAM characters), so that a short pattern does not shorten the gram of the others;
-    only joined positions compare the whole pattern.  An empty table matches nothing.
+    Positions whose bytes may be a pattern's anchor are found inside the row; only they
+    become rows, are joined with the anchors and compared in full.  An empty table matches nothing.
     """
-    listed = patterns.select("pattern").filter(F.length("pattern") > 0).distinct() \
-        .withColumn("__class", F.least(F.length("pattern"), F.lit(GRAM)))
-    classes = listed.groupBy("__class").agg(
-        F.max(F.length("pattern")).alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("pattern")).alias("b")).collect()
     keep = [c for c in df.columns if c != text_col]
-    if not classes:
+    listed = patterns.select("pattern").filter(F.length("pattern") > 0).distinct()
+    table = materialize(gr.anchors(listed, gr.pair_counts(df, text_col)), "anchors")
+    n, held, before, after = table.agg(
+        F.count(F.lit(1)), F.sum(F.octet_length("body")), F.max("at"), F.max(F.octet_length("body") - F.col("at"))).first()
+    if not n:
         return df.limit(0).select(*keep, F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.lit("").alias("pattern"))
-    # Short slices: a position inside a slice is found by walking its characters.
-    chunks = with_chunks(df, text_col, overlap=max(r["hi"] for r in classes) - 1, size=64)
-    at = F.explode(F.sequence(F.lit(1), F.col("chunk_len")))
-    sizes = sorted(r["__class"] for r in classes)
-    windows = F.array(*[F.struct(F.lit(n).alias("__class"), F.substring(F.col("chunk"), F.col("__at"), F.lit(n)).alias("__gram")) for n in sizes])
-    grams = listed.select("pattern", "__class", F.left("pattern", F.lit(GRAM)).alias("__gram"))
-    small = sum(r["n"] for r in classes) <= BROADCAST_PATTERNS and sum(r["b"] for r in classes) <= BROADCAST_BYTES
-    grams = F.broadcast(grams) if small else grams
-    every = chunks.withColumn("__at", at)
-    every = every.withColumn("__w", F.explode(windows)).select("*", "__w.*") if len(sizes) > 1 else every.select("*", F.inline(windows))
-    start = F.col("chunk_start") + F.col("__at") - 1
-    return (
-        every.join(grams, ["__class", "__gram"])
-        .filter(F.substring(F.col("chunk"), F.col("__at"), F.length("pattern")) == F.col("pattern"))
-        .select(*keep, start.alias("start"), (start + F.length("pattern") - 1).alias("end"), "pattern")
-    )
+    found = gr.candidates(df, text_col, gr.bitmaps(table), before, after)
+    known = table.select(*[F.col(c).alias(f"__{c}") for c in table.columns])
+    if n <= gr.BROADCAST_PATTERNS and held <= gr.BROADCAST_BYTES:
+        known = F.broadcast(known)
+    # the pattern begins ``__at`` bytes before the anchor; ``front`` bytes of the text are at hand there
+    whole = (F.col("__size") < gr.GRAM) | ((F.col("front") >= F.col("__at")) & (
+        F.substring("around", (F.col("front") - F.col("__at") + 1).cast("int"), F.octet_length("__body")) == F.col("__body")))
+    start = F.col("pos") - F.col("__lead")
+    return found.join(known, (F.col("size") == F.col("__size")) & (F.col("gram") == F.col("__gram"))).filter(whole).select(
+        *keep, start.alias("start"), (start + F.col("__chars") - 1).alias("end"), F.col("__pattern").alias("pattern"))
 
 
 def scan_patterns(df: DataFrame, text_col: str, patterns: DataFrame, mode: str = "count", lower: bool = False) -> DataFrame:
     """Occurrences (overlapping ones included) of a pattern table in a text column.
 
-    The other columns of ``df`` must identify a row.  Modes: ``position`` (start, end,
-    pattern), ``count`` (pattern, n), ``presence`` (pattern), ``frequency`` (pattern,
-    occurrences per character), ``totals`` (one row per text: total_matches,
-    unique_patterns, match_density, text_length).  ``lower`` folds text and patterns.
+    Every row of ``df`` is scanned for itself, whatever its other columns hold: rows that are
+    alike or hold NULLs each have their results.  Modes: ``position`` (start, end, pattern),
+    ``count`` (pattern, n), ``presence`` (pattern), ``frequency`` (pattern, occurrences per
+    character), ``totals`` (one row per text: total_matches, unique_patterns,
+    match_density, text_length).  ``lower`` folds text and patterns.
+
+    Up to ``WIDE_LIMIT`` patterns are counted inside the row.  Beyond that, rows are
+    written once with a number of their own, by which their matches come back to them.
     """
     if mode not in ("position", "count", "presence", "frequency", "totals"):
         raise ValueError(f"unknown mode {mode}")
@@ -177,23 +172,26 @@ def scan_patterns(df: DataFrame, text_col: str, patterns: DataFrame, mode: str =
     wide = 0 < len(some) <= WIDE_LIMIT
     if mode == "position":
         return positions(rows, "__text", sorted(some)) if wide else gram_matches(rows, "__text", table)
+    size = F.length("__text").alias("__size")
     if wide:
         listed = F.array(*[F.struct(F.lit(p).alias("pattern"), occurrences(F.col("__text"), p).cast("bigint").alias("n")) for p in sorted(some)])
-        hits = rows.select(*keep, F.explode(F.filter(listed, lambda p: p["n"] > 0)).alias("__p")).select(*keep, "__p.pattern", "__p.n")
+        hits = rows.select(*keep, size, F.filter(listed, lambda p: p["n"] > 0).alias("__hits"))
     else:
-        hits = gram_matches(rows, "__text", table).groupBy(*keep, "pattern").agg(F.count(F.lit(1)).alias("n"))
+        numbered = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "scan-rows")
+        found = gram_matches(numbered.select("__row", "__text"), "__text", table).groupBy("__row", "pattern").agg(F.count(F.lit(1)).alias("n"))
+        lists = found.groupBy("__row").agg(F.collect_list(F.struct("pattern", "n")).alias("__hits"))  # at most one entry per pattern
+        none = F.array().cast("array<struct<pattern:string,n:bigint>>")
+        hits = numbered.select(*keep, size, "__row").join(lists, "__row", "left").select(*keep, "__size", F.coalesce("__hits", none).alias("__hits"))
+    if mode == "totals":
+        total = F.aggregate("__hits", F.lit(0).cast("bigint"), lambda a, h: a + h["n"])
+        return hits.select(*keep, total.alias("total_matches"), F.size("__hits").cast("bigint").alias("unique_patterns"),
+                           (total / F.greatest("__size", F.lit(1))).alias("match_density"), F.col("__size").alias("text_length"))
+    each = hits.select(*keep, "__size", F.explode("__hits").alias("__h")).select(*keep, "__size", "__h.pattern", "__h.n")
     if mode == "count":
-        return hits
+        return each.drop("__size")
     if mode == "presence":
-        return hits.select(*keep, "pattern")
-    size = F.length("__text")
-    if mode == "frequency":
-        return hits.join(rows.select(*keep, size.alias("__n")), keep).select(*keep, "pattern", (F.col("n") / F.col("__n")).alias("frequency"))
-    sums = hits.groupBy(*keep).agg(F.sum("n").alias("total_matches"), F.count(F.lit(1)).alias("unique_patterns"))
-    zero = F.lit(0).cast("bigint")
-    return rows.select(*keep, size.alias("text_length")).join(sums, keep, "left").select(
-        *keep, F.coalesce("total_matches", zero).alias("total_matches"), F.coalesce("unique_patterns", zero).alias("unique_patterns"),
-        (F.coalesce("total_matches", zero) / F.greatest("text_length", F.lit(1))).alias("match_density"), "text_length")
+        return each.select(*keep, "pattern")
+    return each.select(*keep, "pattern", (F.col("n") / F.col("__size")).alias("frequency"))
 
 
 def pattern_statistics(df: DataFrame, text_col: str, patterns: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.operators import compare as cp, features as ft, fuzzy as fz, metrics as mt, models as md, patterns as pt, selection as fs
+from flowlens.operators.hinge import HingeModel
 from flowlens.session import materialize
 from flowlens.sources.tables import PREDICTION_COLUMNS
 
@@ -21,7 +22,7 @@ class TrainedSystem:
     plain_cfg: md.TrainConfig
     forest: PipelineModel
     trees: list[PipelineModel]
-    svm: PipelineModel
+    svm: HingeModel
     seconds: dict[str, float] = field(default_factory=dict)
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ class Sizes:
     trees: int = 200
     depth: int = 30
     tree_depth: int = 30
-    svm_iterations: int = 50
+    svm_cost: float = 50.0
 
 
 def with_model_inputs(df: DataFrame, patterns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -68,7 +69,7 @@ def train_all(train: DataFrame, features: list[str], fuzzy_features: list[str],
         forest_cfg, plain,
         forest=timed("Fuzzy_RF", lambda: md.random_forest(data, forest_cfg, sizes.trees, sizes.depth)),
         trees=timed("IntruDTree", lambda: md.tree_ensemble(data, plain, max_depth=sizes.tree_depth)),
-        svm=timed("ACA_SVM", lambda: md.linear_svm(data, plain, iterations=sizes.svm_iterations)),
+        svm=timed("ACA_SVM", lambda: md.rbf_svm(data, plain, sizes.svm_cost)),
         seconds=seconds)
 
 

@@ -8,7 +8,7 @@ accuracy not below what the class shares give away, paths that agree with the fe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens import fixed_values as fv
 from flowlens.operators import compare as cp, fuzzy as fz, metrics as mt, models as md, sampling as sp, selection as fs
@@ -24,7 +24,6 @@ from flowlens.sources import artifacts as ar, readers, sinks, tables as tb
 N = len(fv.CLASSES)
 CFG = md.TrainConfig(features=tuple(FEATURES))
 FIT_ROWS = 2_000
-GRID_ROWS = 600
 
 SPLIT_SQL = f"""{S.FLOWS}, sides AS (SELECT *, CASE WHEN ('0x' || substr(md5(flow_id || '#42'), 1, 8))::BIGINT / 4294967296 < 0.3e0
   THEN 'test' ELSE 'train' END AS split FROM flows), test AS (SELECT * FROM sides WHERE split = 'test')"""
@@ -116,39 +115,55 @@ def tolerant(path: str) -> str:
     return " AND ".join(out)
 
 
-@query("m09_linear_svm", LEARNED_SQL)
+SVM_SQL = LEARNED_SQL.replace("true AS learned", "true AS learned, true AS two_classes, true AS converged")
+
+
+def svm_facts(model, test: DataFrame) -> DataFrame:
+    """Rows per class, mean recall above guessing, more than one class predicted, confidence in its range, solver done."""
+    scored = md.score(model, test, CFG, "pred", keep_raw="raw")
+    facts = learned(scored, "pred", balanced=True, also=md.confidence(decision=F.col("raw")).between(-1.0, 1.0))
+    several = scored.agg(F.count_distinct("pred").alias("k")).first()["k"] > 1
+    return facts.withColumns({"two_classes": F.lit(several), "converged": F.lit(model.converged)})
+
+
+@query("m09_linear_svm", SVM_SQL)
 def m09(spark, sf):
     train, test = split_flows(spark, sf)
-    scored = md.score(md.linear_svm(train, CFG, iterations=100), test, CFG, "pred", keep_raw="raw")
-    return learned(scored, "pred", balanced=True, also=md.confidence(decision=F.col("raw")).between(-1.0, 1.0))
+    return svm_facts(md.linear_svm(train, CFG), test)
 
 
-@query("m10_rbf_svm", LEARNED_SQL)
+@query("m10_rbf_svm", SVM_SQL)
 def m10(spark, sf):
+    """RBF kernel at cost 50."""
     train, test = split_flows(spark, sf)
-    from flowlens.operators import scaling as sc
-
-    stats = sc.fit_scaler(train, FEATURES)
-    parts = [md.with_fourier_features(sc.scale(d, FEATURES, stats, "standard"), FEATURES, n_out=64) for d in (train, test)]
-    cfg = md.TrainConfig(features=tuple(parts[0][1]))
-    return learned(md.score(md.linear_svm(parts[0][0], cfg, iterations=100), parts[1][0], cfg, "pred"), "pred", balanced=True)
+    return svm_facts(md.rbf_svm(train, CFG, 50.0), test)
 
 
 # Costs of the linear grid; costs and kernel widths of the RBF grid (standardised features: scale = auto = 1 / features).
 LINEAR_COSTS = [0.1, 1.0, 10.0, 100.0]
 RBF_COSTS, RBF_GAMMAS = [0.1, 1.0, 10.0], [1.0 / len(FEATURES), 0.001, 0.01, 0.1]
 
+_FIT_SIZES = f"""sizes AS (SELECT label_idx, count(*) AS sz FROM sides WHERE split = 'train' GROUP BY 1),
+  fitted AS (SELECT sum(least(sz, greatest(1, floor({FIT_ROWS} * sz / (SELECT sum(sz) FROM sizes) + 0.5))))::BIGINT AS n FROM sizes)"""
+_POINTS = " UNION ALL ".join(
+    [f"SELECT 'linear' AS kernel, {c}::DOUBLE AS cost, NULL::DOUBLE AS gamma" for c in LINEAR_COSTS]
+    + [f"SELECT 'rbf', {c}::DOUBLE, {g!r}::DOUBLE" for c in RBF_COSTS for g in RBF_GAMMAS])
+
 
-@query("m11_grid_search", "SELECT unnest(['linear', 'rbf']) AS kernel, unnest([4, 12])::BIGINT AS points, true AS best_not_below_first")
+@query("m11_grid_search", f"""WITH {SPLIT_SQL}, {_FIT_SIZES}, points AS ({_POINTS})
+SELECT kernel, cost, gamma, n, true AS converged, true AS in_range, true AS best_beats_mean FROM points, fitted""")
 def m11(spark, sf):
-    train, _ = split_flows(spark, sf, GRID_ROWS)
-    cfg = md.TrainConfig(features=tuple(FEATURES), weight=None)
+    """Both grids over three folds; every point is scored on all fitted rows, each by the model that left it out."""
+    from flowlens.operators import hinge
+
+    train, _ = split_flows(spark, sf)
     folded = md.with_fold(train, "flow_id")
-    rows = []
-    for kernel, costs, gammas in (("linear", LINEAR_COSTS, [None]), ("rbf", RBF_COSTS, RBF_GAMMAS)):
-        scores = md.svm_grid(folded, cfg, "fold", costs, gammas)
-        rows.append((kernel, len(scores), max(f for *_, f in scores) >= scores[0][2] > 0))
-    return spark.createDataFrame(rows, "kernel string, points long, best_not_below_first boolean")
+    tables = [hinge.search(folded, FEATURES, "label_idx", "fold", costs, gammas).withColumn("kernel", F.lit(kernel))
+              for kernel, costs, gammas in (("linear", LINEAR_COSTS, [None]), ("rbf", RBF_COSTS, RBF_GAMMAS))]
+    rows = materialize(tables[0].unionByName(tables[1]), "grid")
+    kernel = Window.partitionBy("kernel")  # at most twelve points
+    return rows.select("kernel", "cost", "gamma", "n", "converged", F.col("f1").between(0, 1).alias("in_range"),
+                       (F.max("f1").over(kernel) >= F.avg("f1").over(kernel)).alias("best_beats_mean"))
 
 
 # --- votes over given predictions -------------------------------------------------------
@@ -173,6 +188,34 @@ def m14(spark, sf):
     return tb.flows(spark, sf).select("flow_id", md.weighted_vote(preds, WEIGHTS).alias("pred"))
 
 
+_FOLD_SQL = "('0x' || substr(md5(flow_id || '#42'), 1, 8))::BIGINT % 3"
+_F1_SQL = f"""WITH {S.FLOWS}, v AS (SELECT *, {_FOLD_SQL} AS fold FROM flows),
+calls AS ({" UNION ALL ".join(f"SELECT '{m}' AS model, fold, label_idx AS y, {c} AS p FROM v" for m, c in S.PREDICTIONS)}),
+classes AS (SELECT model, fold, c, sum(t) AS t, sum(p) AS p, sum(h) AS h FROM (
+  SELECT model, fold, y AS c, 1 AS t, 0 AS p, (y = p)::INT AS h FROM calls UNION ALL SELECT model, fold, p, 0, 1, 0 FROM calls) GROUP BY ALL),
+folds AS (SELECT model, fold, sum(2.0e0 * h / (t + p) * t) / sum(t) AS f1 FROM classes GROUP BY ALL),
+f AS (SELECT model, avg(f1) AS f1 FROM folds GROUP BY 1)"""
+
+
+@query("m14_f1_weights", f"""{_F1_SQL} SELECT model, round(f1, 9) AS f1,
+  round(CASE WHEN sum(f1) OVER () > 0 THEN f1 / sum(f1) OVER () ELSE 1.0e0 / 3 END, 9) AS weight FROM f""")
+def m14_f1(spark, sf):
+    """Vote weights from the weighted F1 of three folds of given predictions."""
+    calls = md.with_fold(tb.flows(spark, sf), "flow_id").withColumnsRenamed({c: m for m, c in tb.PREDICTION_COLUMNS.items()})
+    found = md.vote_weights(calls, "label_idx", "fold", list(tb.PREDICTION_COLUMNS))
+    return rounded(found, "f1", "weight", digits=9)
+
+
+@query("m14_cross_validated_vote", LEARNED_SQL)
+def m14_fitted(spark, sf):
+    """Forest, tree and linear SVM vote with weights from their out-of-fold calls."""
+    train, test = split_flows(spark, sf)
+    learners = {"rf": lambda d, c: md.random_forest(d, c, trees=20, depth=8), "dt": lambda d, c: md.entropy_tree(d, c, depth=8), "svm": md.linear_svm}
+    models, weights = md.fit_weighted(md.with_fold(train, "flow_id"), CFG, "fold", learners)
+    good = abs(sum(weights.values()) - 1) < 1e-9 and all(0 <= w <= 1 for w in weights.values())
+    return learned(md.score_weighted(models, weights, test, CFG, "pred"), "pred", balanced=True, also=F.lit(good))
+
+
 @query("m07_majority_vote", f"""WITH {S.FLOWS}, f AS (SELECT *, row_number() OVER () AS rid FROM flows), v AS ({_WV}), t AS (SELECT rid, flow_id, c, count(*) AS w FROM v GROUP BY 1, 2, 3)
 SELECT flow_id, c AS pred FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY w DESC, c) AS rn FROM t) WHERE rn = 1""")
 def m07_vote(spark, sf):
@@ -232,7 +275,7 @@ def m20(spark, sf):
     train, test = split_flows(spark, sf)
     _, tables = tr.run(train.unionByName(test), FEATURES)
     both = tables["evaluation"].join(tables["ranking"].select("model", "overall_rank"), "model")
-    return both.select("model", F.col("overall_rank").between(1, 3).alias("ranked"), F.col("accuracy").between(0, 1).alias("in_range"))
+    return both.select("model", F.col("overall_rank").between(1, 3).alias("ranked"), F.col("accuracy").between(0, 100).alias("in_range"))
 
 
 IMPORTANCE_SQL = f"SELECT unnest({FEATURES!r}) AS feature, true AS not_negative, true AS sum_is_one"
