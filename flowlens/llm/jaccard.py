@@ -46,6 +46,8 @@ from flowlens.session import materialize
 #: The threshold 0.8 as a fraction of integers: link when DEN * shared >= NUM * union.
 NUM, DEN = 4, 5
 CELL = 1024
+#: Elements of the sets of a cell; a longer set has a cell of its own.
+CELL_ELEMENTS = 1 << 20
 SAMPLE_BITS, HOT_MOST, HOT_LEAST = 4, 65_536, 4
 LEAST_WIDTH, MOST_WIDTH = 64, 1 << 15
 #: Size of the Arrow batches of texts and sets that a task holds at a time.
@@ -79,7 +81,7 @@ def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, cls, n, bitmap; the set too for one in 2**SAMPLE_BITS classes, once a task."""
+    """doc_id, cls, n, bitmap and a mark of the row, if any; the set too for one in 2**SAMPLE_BITS classes, once a task."""
     seen: set[int] = set()
     for batch in batches:
         cls, n, maps, sample = [], [], [], []
@@ -90,10 +92,11 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(name)
             cls.append(name), n.append(len(one)), maps.append(bitmap(one).tobytes() if len(one) else None)
             sample.append(one.view(np.int64) if take else None)
+        marks = [c for c in batch.schema.names if c not in ("doc_id", "text")]
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"].cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int64()),
-             pa.array(maps, pa.binary()), pa.array(sample, pa.list_(pa.int64()))],
-            names=["doc_id", "cls", "n", "bitmap", "sample"])
+             pa.array(maps, pa.binary()), pa.array(sample, pa.list_(pa.int64())), *(batch[c] for c in marks)],
+            names=["doc_id", "cls", "n", "bitmap", "sample", *marks])
 
 
 SKETCH_DDL = "doc_id long, cls long, n long, bitmap binary, sample array<long>"
@@ -157,11 +160,19 @@ def shared_postings(docs: DataFrame, members: DataFrame) -> DataFrame:
     return shared.join(once, "key").select(F.col("key").alias("group"), "cls", "n", "size")
 
 
-def tiles(rows: DataFrame) -> DataFrame:
-    """Rows (group, cls, n, size, ...) with tile and cell; rows of large groups once per tile they meet others in."""
-    small = rows.filter(F.col("size") <= CELL).withColumn("cell", F.lit(0)).withColumn("tile", F.lit("0"))
-    large = rows.filter(F.col("size") > CELL).withColumn("band", F.floor(F.log("n") / np.log(DEN / NUM)).cast("int"))
-    cells = large.groupBy("group", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("k"))
+def tiles(rows: DataFrame, exact: bool) -> DataFrame:
+    """Rows (group, cls, n, size, ...) with tile and cell; rows of large groups once per tile they meet others in.
+
+    Where sets are compared (``exact``), the rows' column ``load`` is the group's number of elements and bounds cells as well.
+    """
+    fits = F.col("size") <= CELL
+    count = F.count(F.lit(1)) / CELL
+    if exact:
+        fits &= F.col("load") <= CELL_ELEMENTS
+        count = F.greatest(count, F.sum("n") / CELL_ELEMENTS)
+    small = rows.filter(fits).withColumn("cell", F.lit(0)).withColumn("tile", F.lit("0"))
+    large = rows.filter(~fits).withColumn("band", F.floor(F.log("n") / np.log(DEN / NUM)).cast("int"))
+    cells = large.groupBy("group", "band").agg(F.ceil(count).cast("int").alias("k"))
     of_group = cells.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("cells"))
     placed = large.join(of_group, "group").withColumn(
         "cell", F.col("band") * 1_000_000 + F.pmod(F.xxhash64("cls"), F.element_at("cells", F.col("band"))).cast("int"))
@@ -178,36 +189,20 @@ def tiles(rows: DataFrame) -> DataFrame:
     return small.unionByName(met.select(small.columns))
 
 
-class Roots:
-    """Union-find over the places of one tile."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.parent[max(x, y)] = min(x, y)
-
-
 def compare(cls: np.ndarray, n: np.ndarray, cell: np.ndarray, maps: list[np.ndarray], copies: np.ndarray | None = None,
-            sets: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+            sets: list[np.ndarray] | None = None, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(root class, linked documents) of each member of a tile.
 
     Without ``sets``, pairs within the bitmap bound connect; with them, pairs whose
-    exact overlap reaches the threshold.  Two cells: only pairs across them.
+    exact overlap reaches the threshold.  Two cells: only pairs across them.  Unless links
+    are counted, pairs that are connected already are not compared again.
     """
+    count &= sets is not None
     order = np.argsort(n, kind="stable")
     n, cell = n[order], cell[order]
     across = len(np.unique(cell)) > 1
     links = np.zeros(len(n), np.int64)
-    roots = Roots(len(n))
+    label = np.arange(len(n))  # the connected part of each member
     width = np.array([len(maps[k]) for k in order])
     blocks: dict[int, tuple[int, np.ndarray]] = {}
     for w in np.unique(width):
@@ -243,6 +238,8 @@ def compare(cls: np.ndarray, n: np.ndarray, cell: np.ndarray, maps: list[np.ndar
         if across:
             possible &= cell[lo:hi] != cell[i]
         near = np.flatnonzero(possible) + lo
+        if not count:
+            near = near[label[near] != label[i]]
         if not len(near):
             continue
         if sets is not None:
@@ -254,9 +251,11 @@ def compare(cls: np.ndarray, n: np.ndarray, cell: np.ndarray, maps: list[np.ndar
             near = near[DEN * shared >= NUM * (n[i] + sizes[near] - shared)]
             links[i] += own_copies[near].sum()
             links[near] += own_copies[i]
-        for j in near.tolist():
-            roots.join(i, j)
-    found = np.array([roots.find(k) for k in range(len(n))])
+        others = np.unique(label[near])
+        others = others[others != label[i]]
+        if len(others):
+            label[np.isin(label, others)] = label[i]
+    found = label
     least = np.full(len(n), np.iinfo(np.int64).max)
     np.minimum.at(least, found, cls[order])
     root, linked = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
@@ -264,7 +263,7 @@ def compare(cls: np.ndarray, n: np.ndarray, cell: np.ndarray, maps: list[np.ndar
     return root, linked
 
 
-def tile_task(exact: bool):
+def tile_task(exact: bool, count: bool):
     """Compares the members of each tile; rows come sorted by (group, tile)."""
     names = ["cls", "root", "links"]
 
@@ -280,7 +279,7 @@ def tile_task(exact: bool):
         maps = [np.frombuffer(r["bitmap"], np.uint64) for r in rows]
         if exact:
             sets = [np.frombuffer(r["set"], np.uint64) for r in rows]
-            root, links = compare(cls, n, cell, maps, column("copies"), sets)
+            root, links = compare(cls, n, cell, maps, column("copies"), sets, count)
         else:
             root, links = compare(cls, n, cell, maps)
         use = (root != cls) | (links > 0)
@@ -299,10 +298,10 @@ def tile_task(exact: bool):
     return run
 
 
-def in_tiles(rows: DataFrame, exact: bool) -> DataFrame:
+def in_tiles(rows: DataFrame, exact: bool, count: bool = True) -> DataFrame:
     """cls, root, links per member and tile."""
-    dealt = tiles(rows).repartition("group", "tile").sortWithinPartitions("group", "tile")
-    return dealt.mapInArrow(tile_task(exact), "cls long, root long, links long")
+    dealt = tiles(rows, exact).repartition("group", "tile").sortWithinPartitions("group", "tile")
+    return dealt.mapInArrow(tile_task(exact, count), "cls long, root long, links long")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -342,11 +341,24 @@ def sets_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents linked with, copies included) of every row."""
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
-        return _join(docs)
-
-
-def _join(docs: DataFrame) -> DataFrame:
-    members = materialize(docs.select("doc_id", "text").mapInArrow(sketches, SKETCH_DDL), "join-sketches")
+        members, classes, exact, linked = _linked(docs.select("doc_id", "text"), count=True)
+        least = linked.join(classes, F.col("node") == F.col("cls")).groupBy("component").agg(F.min("rep").alias("component_id"))
+        of_class = linked.join(least, "component").select(F.col("node").alias("cls"), "component_id")
+        counts = exact.groupBy("cls").agg(F.sum("links").alias("links"))
+        facts = classes.join(of_class, "cls", "left").join(counts, "cls", "left").select(
+            "cls", F.coalesce("component_id", "rep").alias("component_id"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        return members.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(facts, "cls", "left").select(
+            "doc_id", "n_shingles",
+            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
+def _linked(docs: DataFrame, count: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows with their class, classes, links in tiles, component of each linked class)."""
+    columns = [c for c in docs.columns if c not in ("doc_id", "text")]  # a mark of the row, at most
+    kept = "".join(f", {c} long" for c in columns)
+    members = materialize(docs.select("doc_id", "text", *columns).mapInArrow(sketches, SKETCH_DDL + kept), "join-sketches")
     classes = members.filter(F.col("n") > 0).groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     classes = materialize(classes, "join-classes")
@@ -360,29 +372,30 @@ def _join(docs: DataFrame) -> DataFrame:
     wanted = F.broadcast(wanted) if groups.count() <= BROADCAST_ROWS else wanted
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cls")
     sets = texts.mapInArrow(sets_task, "cls long, set binary")
-    size = F.count(F.lit(1))
-    sized = groups.join(groups.groupBy("component").agg(size.alias("size")), "component").withColumnRenamed("component", "group")
-    exact = materialize(in_tiles(sized.drop("rep").join(sets, "cls"), exact=True), "join-links")
-
-    linked = components(exact.select(F.col("cls").alias("a"), F.col("root").alias("b")), "join-components")
-    least = linked.join(classes, F.col("node") == F.col("cls")).groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = linked.join(least, "component").select(F.col("node").alias("cls"), "component_id")
-    counts = exact.groupBy("cls").agg(F.sum("links").alias("links"))
-    facts = classes.join(of_class, "cls", "left").join(counts, "cls", "left").select(
-        "cls", F.coalesce("component_id", "rep").alias("component_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return members.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(facts, "cls", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("load"))
+    sized = groups.join(sizes, "component").withColumnRenamed("component", "group")
+    exact = materialize(in_tiles(sized.drop("rep").join(sets, "cls"), exact=True, count=count), "join-links")
+    return members, classes, exact, components(exact.select(F.col("cls").alias("a"), F.col("root").alias("b")), "join-components")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents but for those whose component has a smaller id; of rows that repeat an id, one stays."""
-    kept = join(docs).filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(
-        F.col("doc_id").alias("kept")).distinct()
-    same = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
-    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
-    if repeated.isEmpty():
-        return same
-    return same.filter(F.col("doc_id").isNull()).unionByName(same.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    """One row of each group of near copies: the first by doc_id (null last), class and row hash.
+
+    Rows without words are copies of nothing and stay; of rows alike in every column one stays.
+    """
+    hashed = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*hashed).alias("mark"))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        members, _, _, linked = _linked(marked.select("row.doc_id", "row.text", "mark"), count=False)
+        component = linked.select(F.col("node").alias("cls"), "component")
+        rows = members.filter(F.col("n") > 0).select("doc_id", "cls", "mark").join(component, "cls", "left")
+        first = rows.groupBy(F.coalesce("component", "cls")).agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "mark")).alias("first"))
+        kept = materialize(first.select(F.col("first.doc_id").alias("id"), F.col("first.mark").alias("kept")), "join-kept")
+        alike = members.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+        repeated = not alike.isEmpty()
+    has_words = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    chosen = marked.filter(has_words).join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("kept")), "left_semi")
+    if repeated:
+        chosen = chosen.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "mark"]).drop("id")
+    return marked.filter(~has_words).unionByName(chosen).select("row.*")

@@ -12,7 +12,8 @@ element names or class words mark as not the article, and writes the blocks.
 What a recurring subtree may not be: an element that holds an article, prose inside an
 article (copies of articles and passages that many articles share are text), or a passage
 of more than ``PASSAGE`` words that are not links.  Where a page marks its article (``article``,
-``main``, ``role=main``, ``itemprop=articleBody``) only that is kept, else what is left of the body.
+``main``, ``role=main``, ``itemprop=articleBody``) only that is kept, an ``article`` inside a ``main``
+before the rest of it, else what is left of the body.
 
 Defined results: a null or empty page, or one without an article's text, gives an empty text of
 0 characters; unclosed, misnested and cut-off markup is read as browsers do in the cases that
@@ -122,7 +123,7 @@ class Page:
         self.template, self.hashes = template, set()
         self.articles: list[list[str | None]] = []
         self.stack = [Element("")]
-        self.inside = 0  # open elements that mark an article
+        self.inside = self.inside_article = 0  # open elements that mark an article; of these, <article>
         at, n, html = 0, len(html), html.replace("\x00", "")
         n = len(html)
         while at < n:
@@ -176,6 +177,7 @@ class Page:
             drop = True
         self.stack.append(Element(tag, drop, marks and not drop))
         self.inside += self.stack[-1].marks
+        self.inside_article += self.stack[-1].marks and tag == "article"
 
     def _implied(self, ends: set[str], scope: frozenset[str] | set[str]) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -198,6 +200,7 @@ class Page:
     def _close(self) -> None:
         e, above = self.stack.pop(), self.stack[-1]
         self.inside -= e.marks
+        self.inside_article -= e.marks and e.tag == "article"
         if e.digest:
             mark = hashlib.blake2b(b"\x1f".join([e.tag.encode("utf-8", "replace"), *e.digest]), digest_size=8).digest()
             above.digest.append(mark)
@@ -220,11 +223,11 @@ class Page:
                     above.out.append(None)
                     return
         above.prose |= e.prose
-        if e.marks and not self.inside:
+        if e.marks and not self.inside_article and (e.tag == "article" or not self.inside):
             above.holds = True
-            if not e.holds or e.tag == "article":
+            if e.tag == "article" or not e.holds:  # an article inside goes before what is around it
                 self.articles.append(e.out)
-                return
+            return
         if e.tag in BLOCKS:
             above.out.append(None)
             above.out += e.out

@@ -12,8 +12,8 @@ id.  Tiles are merged per query, k rows from each.
 Block sizes bound the memory of a task; the number of tiles follows the input.
 
 Defined results: vectors that are null, or hold a null or non-finite component, and
-rows without an id take no part; of rows that repeat an id the smallest vector stays;
-shorter vectors are filled up with zeros; a query with fewer than k candidates gets
+rows without an id take no part; rows that repeat an id are each a candidate for other ids
+and each a query, whose results are ranked together; shorter vectors are filled up with zeros; a query with fewer than k candidates gets
 all; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -39,11 +39,11 @@ BLOCK_DDL = "block long, n int, dims int, ids binary, data binary"
 
 
 def valid(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, v array<long>): the rows that take part, as integers."""
+    """(id, v array<long>): the rows that take part, as integers; rows that repeat an id each take part."""
     x = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x")).filter(
         F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: F.coalesce(finite_value(c), F.lit(False))))
-    return rows.groupBy("id").agg(F.min("x").alias("x")).select("id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
+    return rows.select("id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
 
 
 def finite_value(c):

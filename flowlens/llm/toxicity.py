@@ -16,6 +16,7 @@ repeated rows score alike; no training rows (or one class only) give the base ra
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,17 +47,15 @@ class ToxicityModel:
     bias: float
 
 
-def features(column: pa.Array) -> list[np.ndarray]:
-    """The distinct feature coordinates of each text."""
-    out: list[np.ndarray] = []
+def features(column: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct feature coordinates of each text, one chunk of texts in memory at a time."""
     for _, _, data, offsets in wh.chunks(column):
         words = wh.words(data, offsets, wh.NOT_ALNUM)
         stems = wh.words(data, offsets, wh.NOT_ALNUM, prefix=STEM).hashes ^ np.uint64(0x5DEECE66D)
         for a, b in zip(words.bounds[:-1], words.bounds[1:]):
             grams = [wh.ngrams(words.hashes[a:b], g, salt=g[-1] << 8) for g in GRAMS]
             every = np.concatenate([*grams, wh.mix(stems[a:b])])
-            out.append(np.unique((every >> np.uint64(64 - BITS)).astype(np.int32)))
-    return out
+            yield np.unique((every >> np.uint64(64 - BITS)).astype(np.int32))
 
 
 def value(at: np.ndarray) -> float:
@@ -102,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("at", pa.list_(pa.int32()))])
 
     def coordinates(batch: pa.RecordBatch):
-        return {"doc_id": batch["doc_id"], "y": batch["_y"], "at": features(batch["text"])}
+        return {"doc_id": batch["doc_id"], "y": batch["_y"], "at": list(features(batch["text"]))}
 
     rows = (
         sample.mapInArrow(arrow_rows(coordinates, schema), "doc_id long, y int, at array<int>")

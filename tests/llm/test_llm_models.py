@@ -104,7 +104,7 @@ def test_ftrl_is_sparse_and_uses_skip_grams():
         labels.append(float(k % 4 == 0))
         some[10:13] = ["bad", "filler%d" % k, "thing"] if k % 4 == 0 else ["bad", "other", "thing2"]
         texts.append(" ".join(some))
-    model = toxicity.learn(toxicity.features(pa.array(texts)), np.array(labels))
+    model = toxicity.learn(list(toxicity.features(pa.array(texts))), np.array(labels))
     assert 0 < len(model.index) < 500
     assert (toxicity.scores(pa.array(texts), model) > 0.5).astype(float).tolist() == labels
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import helpers as h
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,39 @@ def test_word_hashes_agree_with_regex():
     assert len(set(by_word.values())) == len(by_word)
 
 
+def test_words_of_a_regular_structure_keep_apart():
+    """A polynomial hash modulo 2**64 cannot tell these words apart."""
+    import pyarrow as pa
+
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    words = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), "a" * 1024, "a" * 1023, "a" * 8 + "b" * 8, "b" * 8 + "a" * 8]
+    data, offsets = wordhash.text_bytes(pa.array([" ".join(words)], pa.large_string()))
+    assert len(set(wordhash.words(data, offsets).hashes.tolist())) == len(words)
+    encoder = tokenfile.encoder_of(public_tokenizers.path("word_bpe_49k.json"))
+    data, offsets = wordhash.text_bytes(pa.array(words, pa.large_string()))
+    ids, bounds = encoder.encode(data, offsets, 1)
+    for k, word in enumerate(words):
+        assert ids[bounds[k] : bounds[k + 1] - 1].tolist() == encoder.tokenizer.encode(word, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_have_the_ids_of_whole_texts(seed):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    parts = ["it", "IT", "'s", "'S", "'ll", "'", "''", "12", "3", ",", "...", "é", "É", "e\u0301", "\u0338", "<", "<|endoftext|>", "<|END", "ß", "日本",
+             "²", "½", " ", "\t", "\n", "\u00a0", "\u2028", "-", "_", "don't", "\U0001f600", "K", "\x1c", "a" * 40]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    encoder = tokenfile.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.by_pieces
+    data, offsets = wordhash.text_bytes(pa.array(texts, pa.large_string()))
+    ids, bounds = encoder.encode(data, offsets, 1)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1] - 1].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_join_is_exact(spark):
     got = [tuple(r) for r in jaccard.join(h.table(spark)).select("doc_id", "n_shingles", "component_id", "n_links").collect()]
     assert Counter(got) == Counter(h.join_by_hand(h.rows()))
@@ -62,6 +96,52 @@ def test_one_of_each(spark):
     assert kept.filter("doc_id is null").count() == 2
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Copies without an id go, a clean text under a repeated id stays, of alike rows one stays."""
+    a, b, near = h.prose(31, 60), h.prose(32, 60), " ".join(h.prose(31, 60).split()[:59])
+    rows = [(1, a, "x"), (None, a, "x"), (None, near, "y"), (None, a, None), (7, b, "x"), (7, b, "x"), (7, h.prose(33, 60), "x"), (9, near, None),
+            (None, h.prose(34, 40), None), (None, h.prose(34, 40), None), (11, None, None), (11, None, None), (None, " ", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = Counter(tuple(r) for r in jaccard.one_of_each(docs).collect())
+    assert kept == Counter([(1, a, "x"), (7, b, "x"), (7, h.prose(33, 60), "x"), (None, h.prose(34, 40), None),
+                            (11, None, None), (11, None, None), (None, " ", "z")])
+
+
+def test_components_need_not_all_pairs():
+    """Without links to count, connected members are not compared again; the parts are the same."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 2**62, 400).astype(np.uint64)
+    sets = [np.sort(np.where(rng.random(400) < 0.03, rng.integers(1, 2**62, 400).astype(np.uint64), base)) for _ in range(60)]
+    sets += [np.sort(rng.integers(1, 2**62, 380).astype(np.uint64)) for _ in range(20)]
+    n, cls, cell = np.array([len(s) for s in sets]), np.arange(len(sets)), np.zeros(len(sets), int)
+    maps, copies = [jaccard.bitmap(s) for s in sets], np.ones(len(sets), int)
+    full, links = jaccard.compare(cls, n, cell, maps, copies, sets)
+    short, _ = jaccard.compare(cls, n, cell, maps, copies, sets, count=False)
+    assert full.tolist() == short.tolist() and links.sum() > 0
+
+
+def test_join_of_long_texts_in_cells_of_few_elements(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL_ELEMENTS", 300)
+    base = h.prose(41, 100).split()
+    data = [(k, " ".join([*base[: 100 - k % 5], f"end{k}"])) for k in range(12)]
+    got = [tuple(r) for r in jaccard.join(spark.createDataFrame(data, "doc_id long, text string"))
+           .select("doc_id", "n_shingles", "component_id", "n_links").collect()]
+    assert Counter(got) == Counter(h.join_by_hand(data))
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Every row is a candidate, every row with a query's id is a query; as the SQL twin has it."""
+    rows = [(20, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [3.0, 1.0]), (2, [1.0, 1.0]), (20, [-1.0, 4.0]), (40, [0.0, 1.0]), (None, [9.0, 9.0]), (3, None), (4, [None, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q in (20, 40):
+        scores = [(-int(sum(np.floor(64 * a) * np.floor(64 * b) for a, b in zip(v, w))), i)
+                  for j, v in rows if j == q for i, w in rows if i is not None and i != q and w and None not in w]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:20])]
+    got = [tuple(r) for r in topk.search(table).select("query_id", "rank", "vec_id", "score").collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 400), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in jaccard.components(edges, "test").collect()}
