@@ -3,6 +3,10 @@
 toxicity -> n-gram Jaccard join -> benchmark decontamination -> mixing -> token files.
 All stages but the last return the columns of ``documents``; the last returns one row
 per document of the mix, read back from the files.
+
+Stages return lazy tables that carry whole texts through Python tasks, so each sets the
+session's Arrow batches to ``BATCH_BYTES`` and leaves them so: the setting has to hold when
+the table is written.  ``run`` puts the session's own setting back at its end.
 """
 
 from __future__ import annotations
@@ -13,8 +17,12 @@ from flowlens.llm import decontaminate, jaccard, mixing, tokenfile, toxicity
 from flowlens.session import materialize
 
 
+BATCHES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.7; decided row by row, in the scan that scores."""
+    spark.conf.set(BATCHES, BATCH_BYTES)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.below(docs, model, 0.7)
 
@@ -26,6 +34,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that quotes a benchmark item."""
+    spark.conf.set(BATCHES, BATCH_BYTES)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -55,9 +64,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; every stage reads what the one before wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs, f"pipeline-{name}")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(BATCHES)
+    try:
+        for name, stage in STAGES:
+            docs = stage(spark, docs, sf_dir)
+            if name != STAGES[-1][0]:
+                docs = materialize(docs, f"pipeline-{name}")
+    finally:
+        spark.conf.set(BATCHES, before)
     return docs
