@@ -354,6 +354,84 @@ def test_retrieval_equals_full_scoring():
     assert got == want
 
 
+def scored_by_hand(items, texts, threshold):
+    """(row, item) with a passage at or above the threshold: BM25 of whole items against whole windows, class by class."""
+    words = [decontaminate.hashes([t])[0].tolist() for _, t, *_ in items]
+    long = [w for w in words if len(w) >= 5]
+    df, mean = Counter(x for w in long for x in set(w)), np.mean([len(w) for w in long])
+
+    def impacts(w):
+        raw = {}
+        for x, c in Counter(w).items():
+            idf = np.log1p((len(long) - df[x] + 0.5) / (df[x] + 0.5))
+            raw[x] = idf * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        total = sum(raw.values())
+        return {x: v / total for x, v in raw.items()}
+
+    out = set()
+    for kind in {decontaminate.length_class(len(w)) for w in words}:
+        own = [k for k, w in enumerate(words) if decontaminate.length_class(len(w)) == kind]
+        step, known = max(len(words[k]) for k in own), {k: impacts(words[k]) for k in own}
+        for row, text in enumerate(texts):
+            w = decontaminate.hashes([text])[0].tolist()
+            for start in range(0, max(1, -(-len(w) // step) - 1) * step, step):
+                window = set(w[start : start + 2 * step])
+                out |= {(row, items[k][0]) for k in own if sum(v for x, v in known[k].items() if x in window) >= threshold - 1e-9}
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.25, 0.6])
+def test_pivots_and_blocks_lose_nothing(monkeypatch, threshold):
+    """Common words, several length classes, batches of few blocks: all that full scoring finds."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    monkeypatch.setattr(decontaminate, "CLASS", 12)
+    common, rare = [f"the{k}" for k in range(12)], [f"rare{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(rng.choice([6, 9, 12, 20, 60]))), None, None) for k in range(90)]
+    texts = [" ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(rng.choice([3, 40, 300]))) for _ in range(30)]
+    texts += [" ".join([texts[1], items[k][1], texts[2]]) for k in range(0, 90, 9)]
+    indexes = decontaminate.classes(items)
+    assert len(indexes) > 1
+    ids = np.concatenate([x.item_ids for x in indexes])
+    want = scored_by_hand(items, texts, threshold)
+    for most in (decontaminate.OPENED, 3):
+        monkeypatch.setattr(decontaminate, "OPENED", most)
+        got = {(row, int(ids[item])) for row, item, *_ in decontaminate.search(pa.array(texts, pa.large_string()), indexes, threshold, 0.0)}
+        assert got == want
+
+
+def test_large_benchmark_in_little_memory():
+    """50,000 items, one of them long: a task's arrays stay below 300 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{k}" for k in range(30_000)])
+    items = [(k, " ".join(words[(rng.zipf(1.3, 25) * 7919) % len(words)]), None, None) for k in range(50_000)]
+    items.append((50_000, " ".join(words[rng.integers(0, len(words), 3_000)]), None, None))
+    indexes = decontaminate.classes(items)
+    text = " ".join([*words[(rng.zipf(1.3, 150_000) * 7919) % len(words)], items[123][1], *words[(rng.zipf(1.3, 50_000) * 7919) % len(words)]])
+    tracemalloc.start()
+    found = {(r[0], r[1]) for r in decontaminate.search(pa.array([text], pa.large_string()), indexes, 0.6, 0.8)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (0, 123) in found and peak < 300 << 20
+
+
+def test_parts_do_not_change_scores(spark, monkeypatch):
+    items = [(k, h.prose(k // 3, 20 + k)) for k in range(14)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(k, h.prose(k // 3, 30) + " " + items[k][1]) for k in range(14)], "doc_id long, text string")
+    whole = sorted(map(tuple, decontaminate.matches(docs, bench, 0.4, 0.1).collect()))
+    monkeypatch.setattr(decontaminate, "PART_ITEMS", 5)
+    got = sorted(map(tuple, decontaminate.matches(docs, bench, 0.4, 0.1).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in whole] and np.allclose([r[2:] for r in got], [r[2:] for r in whole])
+
+
 def test_benchmark_in_parts_gives_the_same(spark, monkeypatch):
     items = [(k, h.prose(900 + k, 20)) for k in range(12)]
     bench = spark.createDataFrame(items, "item_id long, text string")
