@@ -66,7 +66,3 @@ def shannon_shares(cols: list[Column]) -> Column:
 def wald_margin(p: Column, n: Column) -> Column:
     """Half width of the 95% Wald interval, 0 where there are no samples."""
     return F.when(n > 0, F.lit(1.96) * F.sqrt(p * (1 - p) / n)).otherwise(F.lit(0.0))
-
-
-def round6(c: Column, digits: int = 6) -> Column:
-    return F.round(c, digits)

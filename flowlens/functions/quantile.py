@@ -1,10 +1,12 @@
 """Exact interpolated quantiles with bounded memory.
 
 ``percentile`` and ``median`` keep every distinct value of a group in one
-buffer.  Here each pass counts values in equal-width buckets of the bracket
-that still holds a wanted rank, so tasks and driver see bucket counts only.
-Brackets shrink some thousandfold per pass; what is left is read once it is
-small.
+buffer.  Here two scans do for any number of columns: the first builds mergeable
+sketches, whose rank error is bounded, and so a bracket around every wanted rank; the
+second counts what lies outside the brackets and reads what lies inside.  The sketches are made as fine
+as it takes to leave at most ``INSIDE`` values in all brackets together.  A table too large for
+the finest sketch, or a rank that its bracket does not hold, goes on with counts in equal-width
+buckets, which shrink a bracket some thousandfold per pass.
 
 The wanted columns are written once and every pass reads that table.  NULL, NaN and
 infinite values take no part.
@@ -13,14 +15,20 @@ infinite values take no part.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.session import materialize
 
 BUCKETS = 4096
 SMALL = 10_000
+#: Values read from all brackets together, about; the accuracy of the sketches from that, within bounds.
+INSIDE = 200_000
+LEAST_ACCURACY, MOST_ACCURACY = 10_000, 200_000
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int = SMALL,
@@ -38,7 +46,8 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int =
     for (c, _), r in ranks.items():
         for k in (math.floor(r), math.ceil(r)):
             open_[c, k] = (first[c]["lo"], first[c]["hi"], 0, first[c]["n"])
-    value: dict[tuple[str, int], float] = {}
+    value = _from_sketches(data, wanted, ranks, {c: first[c] for c in wanted})
+    open_ = {k: b for k, b in open_.items() if k not in value}
     while open_:
         for key, (lo, hi, _, _) in list(open_.items()):
             if lo == hi:
@@ -61,6 +70,72 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int =
     return {(c, p): at(c, ranks[c, p]) if (c, p) in ranks else None for c, ps in wanted.items() for p in ps}
 
 
+def _from_sketches(data: DataFrame, wanted: dict[str, list[float]], ranks: dict, first: dict) -> dict[tuple[str, int], float]:
+    """Order statistics found in brackets from sketches; those that are not are left to the caller."""
+    n = max((r["n"] for r in first.values()), default=0)
+    accuracy = max(LEAST_ACCURACY, 4 * n * len(ranks) // INSIDE)
+    if not ranks or accuracy > MOST_ACCURACY:
+        return {}
+    margin = 2.0 / accuracy
+    columns = sorted({c for c, _ in ranks})
+    places = {c: sorted({q for d, p in ranks if d == c for q in (max(p - margin, 0.0), min(p + margin, 1.0))}) for c in columns}
+    row = data.agg(*[F.percentile_approx(c, places[c], accuracy).alias(c) for c in columns]).first()
+    # per column: the brackets' ends, and whether the gap before each is inside a bracket
+    ends: dict[str, np.ndarray] = {}
+    wide: dict[str, np.ndarray] = {}
+    for c in columns:
+        at = dict(zip(places[c], row[c]))
+        spans = []
+        for d, p in ranks:
+            if d == c:
+                low, high = max(p - margin, 0.0), min(p + margin, 1.0)
+                spans.append((first[c]["lo"] if low == 0.0 else at[low], first[c]["hi"] if high == 1.0 else at[high]))
+        ends[c] = np.unique(np.array([x for s in spans for x in s], float))
+        inside = np.zeros(len(ends[c]) + 1, bool)
+        for lo, hi in spans:
+            a, b = np.searchsorted(ends[c], [lo, hi])
+            inside[a + 1 : b + 1] = True
+        wide[c] = inside
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # place 2g: values in gap g (with the value where the gap is in a bracket), 2g + 1: equal to end g
+        held: dict[tuple[int, int, float], int] = {}
+        for batch in batches:
+            for i, c in enumerate(columns):
+                x = batch[c].drop_null().to_numpy(zero_copy_only=False)
+                gap = np.searchsorted(ends[c], x, "left")
+                equal = (gap < len(ends[c])) & (ends[c][np.minimum(gap, len(ends[c]) - 1)] == x)
+                place = 2 * gap + equal
+                read = ~equal & wide[c][gap]
+                for k, m in enumerate(np.bincount(place[~read], minlength=1).tolist()):
+                    if m:
+                        held[i, k, 0.0] = held.get((i, k, 0.0), 0) + m
+                values, m = np.unique(x[read], return_counts=True)
+                for v, g, one in zip(values.tolist(), (2 * np.searchsorted(ends[c], values)).tolist(), m.tolist()):
+                    held[i, g, v] = held.get((i, g, v), 0) + one
+        keys = list(held)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.float64()),
+             pa.array(list(held.values()), pa.int64())], names=["i", "place", "x", "n"])
+
+    found = data.select(*columns).mapInArrow(count, "i int, place long, x double, n long").groupBy("i", "place", "x").agg(
+        F.sum("n").alias("n")).collect()  # the brackets' values and a few counts
+    out: dict[tuple[str, int], float] = {}
+    for i, c in enumerate(columns):
+        rows = sorted((r["place"], r["x"], r["n"]) for r in found if r["i"] == i)
+        upto = np.cumsum([m for *_, m in rows])
+        for k in {j for d, p in ranks if d == c for j in (math.floor(ranks[d, p]), math.ceil(ranks[d, p]))}:
+            at = int(np.searchsorted(upto, k, "right"))
+            if at >= len(rows):
+                continue
+            place, x, _ = rows[at]
+            if place % 2:
+                out[c, k] = float(ends[c][place // 2])
+            elif wide[c][place // 2]:
+                out[c, k] = x
+    return out
+
+
 def finite(c: Column) -> Column:
     """The value as a double, NULL where it is not a finite number."""
     x = c.cast("double")

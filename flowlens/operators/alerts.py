@@ -141,16 +141,29 @@ def prediction_map(truth_is_threat: Column, predictions: dict[str, str] = PREDIC
     return F.create_map(*pairs)
 
 
-def key_features(df: DataFrame, least: int = 5, most: int = 10) -> Column:
-    """Map of the analyst features; topped up with other columns when fewer than five exist."""
+def _key_columns(df: DataFrame, least: int, most: int) -> dict[str, str]:
+    """Display name -> column: the analyst features that exist, topped up with others when fewer than ``least``."""
     found = {name: c for name, c in fv.KEY_FEATURES.items() if c in df.columns}
     if len(found) < least:
         extra = [c for c in df.columns if c not in found.values()]
         found |= {c: c for c in extra[: most - len(found)]}
-    as_double = F.map_filter(
-        F.create_map(*[x for n, c in found.items() for x in (F.lit(n), F.col(c).try_cast("double"))]),
-        lambda _, v: v.isNotNull())
-    return as_double
+    return found
+
+
+def key_features(df: DataFrame, least: int = 5, most: int = 10) -> Column:
+    """Map of the analyst features that are numbers; text ones are in ``key_feature_texts``."""
+    kinds = dict(df.dtypes)
+    found = {n: c for n, c in _key_columns(df, least, most).items() if kinds[c] != "string"}
+    pairs = [x for n, c in found.items() for x in (F.lit(n), F.col(f"`{c}`").try_cast("double"))]
+    return F.map_filter(F.create_map(*pairs).cast("map<string,double>"), lambda _, v: v.isNotNull())
+
+
+def key_feature_texts(df: DataFrame, least: int = 5, most: int = 10) -> Column:
+    """Map of the analyst features that are text: numbers written as text stay text, as they came."""
+    kinds = dict(df.dtypes)
+    found = {n: c for n, c in _key_columns(df, least, most).items() if kinds[c] == "string"}
+    pairs = [x for n, c in found.items() for x in (F.lit(n), F.col(f"`{c}`"))]
+    return F.map_filter(F.create_map(*pairs).cast("map<string,string>"), lambda _, v: v.isNotNull())
 
 
 def enrich(df: DataFrame, predictions: dict[str, str] = PREDICTION_COLUMNS) -> DataFrame:
@@ -180,14 +193,15 @@ def enrich(df: DataFrame, predictions: dict[str, str] = PREDICTION_COLUMNS) -> D
 def alert_records(df: DataFrame, predictions: dict[str, str] = PREDICTION_COLUMNS) -> DataFrame:
     """Full nested alert record."""
     e = enrich(df, predictions)
-    features = key_features(df) if any(c in df.columns for c in fv.KEY_FEATURES.values()) else (
-        F.create_map().cast("map<string,double>"))
+    some = any(c in df.columns for c in fv.KEY_FEATURES.values())
+    features = key_features(df) if some else F.create_map().cast("map<string,double>")
+    texts = key_feature_texts(df) if some else F.create_map().cast("map<string,string>")
     time = F.col("detection_time") if "detection_time" in df.columns else F.lit(fv.DEFAULT_DETECTION_SECONDS)
     return e.select(
         "flow_id", "src_ip", "dst_ip", "attack_type", "attack_label", "severity", "model_used", "risk_analysis",
         F.col("ts").alias("timestamp"), "detection_models", "ensemble", "true_is_threat",
         prediction_map(F.col("true_is_threat"), predictions).alias("model_predictions"),
-        time.alias("detection_time"), features.alias("key_features"),
+        time.alias("detection_time"), features.alias("key_features"), texts.alias("key_feature_texts"),
     )
 
 
@@ -356,6 +370,13 @@ def recommendation(df: DataFrame, attack: Column, model_used: Column) -> Column:
     return F.concat(text, suffix)
 
 
+def headline(df: DataFrame, attack: Column, model_used: Column, models: int = 3) -> Column:
+    """What an analyst reads first: the attack, how many models found it, and the advice on a second line."""
+    n = F.size(F.filter(F.split(model_used, ","), lambda m: F.trim(m) != ""))
+    found = F.format_string(fv.HEADLINE, attack, n, F.lit(models))
+    return F.concat(found, F.lit("\n"), F.lit(fv.HEADLINE_ADVICE), recommendation(df, attack, model_used))
+
+
 def verification_status(verdict: Column) -> Column:
     """State of an alert in the review queue."""
     used = F.lower(F.trim(F.coalesce("model_used", F.lit(""))))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowlens import fixed_values as fv
 from flowlens.functions.lookup import literal_table
@@ -95,6 +95,76 @@ def encode_column(df: DataFrame, column: str, out: str, null_code: int | None =
     return joined.withColumn(out, code.cast("bigint")).drop("__k", "__v", "__c")
 
 
+@dataclass(frozen=True)
+class Coding:
+    """A column to encode: NULL maps to ``null_code``, or counts as ``null_value``."""
+
+    column: str
+    out: str
+    null_code: int | None = -1
+    null_value: str | None = None
+
+
+def _entry(df: DataFrame, i: int, coding: Coding) -> tuple[Column, Column]:
+    """(column number and value as text, place in the order): numbers are ordered as numbers."""
+    kind = dict(df.dtypes)[coding.column]
+    c = F.col(f"`{coding.column}`")
+    number = F.lit(None).cast("decimal(38,10)")
+    if coding.null_value is None and kind in ("tinyint", "smallint", "int", "bigint"):
+        number = c.cast("decimal(38,10)")
+    text = c.cast("string") if coding.null_value is None else F.coalesce(c.cast("string"), F.lit(coding.null_value))
+    return F.when(text.isNotNull(), F.concat(F.lit(f"{i}:"), text)), number
+
+
+def dictionaries(df: DataFrame, codings: list[Coding]) -> DataFrame:
+    """(entry, i, code) of all columns from one pass: distinct pairs of column and value, numbered by ranges."""
+    pairs = [F.struct(F.lit(i).alias("i"), number.alias("number"), entry.alias("entry"))
+             for i, (entry, number) in enumerate(_entry(df, i, c) for i, c in enumerate(codings))]
+    every = df.select(F.inline(F.filter(F.array(*pairs), lambda p: p["entry"].isNotNull()))).distinct()
+    ranged = materialize(every.repartitionByRange("i", "number", "entry").withColumn("__part", F.spark_partition_id()), "dictionaries")
+    counts = ranged.groupBy("i", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("i").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = counts.select(F.col("i").alias("__i"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    rank = F.row_number().over(Window.partitionBy("__part", "i").orderBy("number", "entry"))
+    numbered = ranged.withColumn("__rank", rank).join(
+        F.broadcast(offsets), (F.col("__part") == F.col("__p")) & (F.col("i") == F.col("__i")))  # columns plus ranges
+    return numbered.select("entry", "i", (F.col("__offset") + F.col("__rank") - 1).cast("bigint").alias("code"))
+
+
+def encode_columns(df: DataFrame, codings: list[Coding], max_values: int = BROADCAST_ENTRIES) -> DataFrame:
+    """Dense codes of several columns.
+
+    Columns whose dictionaries fit share one broadcast table, looked up once per column in one
+    projection; a larger dictionary is joined by shuffle, where AQE splits hot values.
+    """
+    if not codings:
+        return df
+    found = materialize(dictionaries(df, codings), "codes")
+    sizes = {r["i"]: r for r in found.groupBy("i").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("entry")).alias("b")).collect()}  # one row per column
+    small, n, held = set(), 0, 0
+    for i, r in sorted(sizes.items(), key=lambda x: x[1]["n"]):
+        if n + r["n"] <= max_values and held + r["b"] <= BROADCAST_BYTES:
+            small.add(i)
+            n, held = n + r["n"], held + r["b"]
+    shared = F.broadcast(found.filter(F.col("i").isin(sorted(small))).select("entry", "code")) if small else None
+    for i, coding in enumerate(codings):
+        if i in small or i not in sizes:
+            right = shared if shared is not None else found.select("entry", "code").limit(0)
+        else:
+            right = found.filter(F.col("i") == i).select("entry", "code")
+        right = right.select(F.col("entry").alias("__e"), F.col("code").alias("__c"))
+        joined = df.withColumn("__k", _entry(df, i, coding)[0]).join(right, F.col("__k") == F.col("__e"), "left")
+        code = F.col("__c") if coding.null_code is None else F.coalesce("__c", F.lit(coding.null_code))
+        df = joined.withColumn(coding.out, code.cast("bigint")).drop("__k", "__e", "__c")
+    return df
+
+
+def label_coding(column: str = "label", out: str = "label_idx") -> Coding:
+    """Alphabetical label index; a missing label is the class ``UNKNOWN``."""
+    return Coding(column, out, None, "UNKNOWN")
+
+
 def encode_labels(df: DataFrame, column: str = "label", out: str = "label_idx") -> DataFrame:
     """Alphabetical label index; a missing label is the class ``UNKNOWN``."""
     return encode_column(df, column, out, null_code=None, null_value="UNKNOWN")
@@ -137,7 +207,9 @@ def plan_categoricals(df: DataFrame, columns: list[str], max_distinct: int = 100
     return CategoricalPlan(tuple(keep), tuple(drop))
 
 
+def categorical_codings(plan: CategoricalPlan) -> list[Coding]:
+    return [Coding(c, f"{c}_encoded", None, NA) for c in plan.encode]
+
+
 def encode_categoricals(df: DataFrame, plan: CategoricalPlan) -> DataFrame:
-    for c in plan.encode:
-        df = encode_column(df, c, f"{c}_encoded", null_code=None, null_value=NA)
-    return df.drop(*plan.encode, *plan.drop)
+    return encode_columns(df, categorical_codings(plan)).drop(*plan.encode, *plan.drop)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from flowlens import fixed_values as fv
 from flowlens.functions.keys import hash_bucket, key_hash
 from flowlens.functions.numeric import as_col
+from flowlens.functions.quantile import exact_quantiles
 from flowlens.operators import hinge
 from flowlens.operators.balance import with_class_weight
 from flowlens.operators.fuzzy import override_prediction
@@ -67,8 +69,7 @@ def entropy_tree(df: DataFrame, cfg: TrainConfig, depth: int = 10, min_leaf: int
     return Pipeline(stages=[assembler(cfg), _weighted(dt, cfg)]).fit(prepare(df, cfg))
 
 
-# Variants of the tree ensemble as (depth, minimum rows per leaf, leading features used).
-TREE_VARIANTS = [(50, 1, 60), (45, 1, 55), (55, 1, 65), (48, 2, 58), (52, 1, 62)]
+TREE_VARIANTS = fv.TREE_VARIANTS
 
 
 def tree_ensemble(df: DataFrame, cfg: TrainConfig, variants: list[tuple[int, int, int]] = TREE_VARIANTS,
@@ -197,10 +198,6 @@ def with_fold(df: DataFrame, key: str | Column, folds: int = 3, seed: int = 42,
     return df.withColumn(out, F.pmod(hash_bucket(key_hash(as_col(key), seed), 8), F.lit(folds)).cast("int"))
 
 
-def weighted_f1(cfg: TrainConfig) -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol=cfg.label, metricName="f1")
-
-
 def out_of_fold(df: DataFrame, cfg: TrainConfig, fold: str, fit, out: str, folds: int = 3) -> DataFrame:
     """Probability of every row from the model that did not see its fold."""
     parts = []
@@ -361,16 +358,45 @@ def eliminate(df: DataFrame, cfg: TrainConfig, keep: int) -> list[str]:
     return names
 
 
-def subset_search(df: DataFrame, cfg: TrainConfig, ranked: list[str], fold: str, sizes: list[int],
-                  trees: int = 20, folds: int = 3) -> list[tuple[int, float]]:
-    """Mean weighted F1 of a forest on the first n ranked features, for each n."""
-    out = []
-    for n in sizes:
-        sub = TrainConfig(features=tuple(ranked[:n]), label=cfg.label, weight=None, seed=cfg.seed)
-        scores = []
-        for k in range(folds):
-            model = random_forest(df.filter(F.col(fold) != k), sub, trees=trees, depth=8)
-            held = prepare(df.filter(F.col(fold) == k), sub)
-            scores.append(weighted_f1(sub).evaluate(model.transform(held)))
-        out.append((n, float(np.mean(scores))))
-    return out
+def subset_sizes(features: int, first: int = 10, step: int = 5) -> list[int]:
+    """Sizes to try: from ``first`` in steps up to all features; a set that is no larger than ``first`` in steps of two."""
+    sizes = list(range(first, features + 1, step)) if features > first else list(range(2, features + 1, 2))
+    return sorted({*sizes, features}) if features else []
+
+
+def binned(df: DataFrame, cfg: TrainConfig, fold: str, bins: int = 32) -> DataFrame:
+    """Label, fold and every feature as the number of its equal-frequency bin, written once."""
+    filled = df.select(cfg.label, fold, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cfg.features])
+    cuts = exact_quantiles(filled, {c: [i / bins for i in range(1, bins)] for c in cfg.features})
+
+    def place(c: str) -> Column:
+        edges = sorted({v for (name, _), v in cuts.items() if name == c and v is not None})
+        if not edges:
+            return F.lit(0.0)
+        return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(c))).cast("double")
+
+    return materialize(filled.select(F.col(cfg.label).cast("double").alias(cfg.label), fold, *[place(c).alias(c) for c in cfg.features]), "binned")
+
+
+def subset_search(df: DataFrame, cfg: TrainConfig, ranked: list[str], fold: str, sizes: list[int] | None = None,
+                  trees: int = 50, folds: int = 3, parallelism: int = 4) -> DataFrame:
+    """n_features, f1 (mean of the folds' weighted F1 of a forest on the first n ranked features), n (rows scored).
+
+    One binned table serves all fits; sizes and folds are fitted side by side, and one
+    query scores all of them.
+    """
+    spark = df.sparkSession
+    table = binned(df, TrainConfig(features=tuple(ranked), label=cfg.label), fold)
+    tasks = [(n, k) for n in sizes or subset_sizes(len(ranked)) for k in range(folds)]
+
+    def fit(task: tuple[int, int]) -> DataFrame:
+        n, k = task
+        rf = RandomForestClassifier(labelCol=cfg.label, numTrees=trees, maxDepth=8, maxBins=64, seed=cfg.seed)
+        model = Pipeline(stages=[VectorAssembler(inputCols=ranked[:n], outputCol="features"), rf]).fit(table.filter(F.col(fold) != k))
+        held = model.transform(table.filter(F.col(fold) == k))
+        return held.select(F.lit(n).alias("n_features"), F.lit(k).alias("fold"), F.col(cfg.label).cast("int").alias("y"), F.col("prediction").cast("int").alias("call"))
+
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        calls = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(fit), tasks))
+    per_fold = hinge.weighted_f1(calls, ["n_features", "fold"], "y", "call")
+    return per_fold.groupBy("n_features").agg(F.avg("f1").alias("f1"), F.sum("n").alias("n"))

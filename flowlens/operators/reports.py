@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.numeric import safe_div
 from flowlens.functions.stats import over_all
+from flowlens.session import materialize
 from flowlens.operators.alerts import is_benign, is_valid_alert, model_tokens, recent
 from flowlens.operators.severity import report_action_table
 
@@ -105,41 +106,26 @@ def report_status(alerts: DataFrame, ref_ts: Column, stale_minutes: int = 30) ->
     return one.withColumn("age_minutes", age).withColumn("is_stale", F.col("age_minutes") > stale_minutes)
 
 
-BUCKET_ROWS = 1_000_000
+def running_detection_time(alerts: DataFrame, key: str, ts: str = "ts", tie: str = "flow_id") -> DataFrame:
+    """Cumulative mean detection time per key, in event order (rows alike in time go by ``tie``, then by their hash).
 
-
-def _bucket_of(alerts: DataFrame, key: str, ts: str) -> str:
-    for bucket in ("hour", "minute"):
-        sizes = alerts.groupBy(key, F.date_trunc(bucket, F.col(ts).cast("timestamp"))).count()
-        if (sizes.agg(F.max("count").alias("m")).first()["m"] or 0) <= BUCKET_ROWS:
-            return bucket
-    return "second"
-
-
-def running_detection_time(alerts: DataFrame, key: str, ts: str = "ts", tie: str = "flow_id",
-                           bucket: str | None = None) -> DataFrame:
-    """Cumulative mean detection time per key, in event order.
-
-    Rows are accumulated inside (key, time bucket); sums of earlier buckets come
-    from the small table of bucket totals.  A key that holds a large share of
-    all rows is spread over its buckets: the coarsest of hour, minute and second of
-    which no (key, bucket) holds more than ``BUCKET_ROWS`` rows, unless one is given.
+    A prefix sum in parallel: rows are dealt once into ranges of (key, time, tie), each range adds up
+    its keys, and what a key has in earlier ranges enters its part of a range as a first row of
+    its own.  Ranges are equal in rows, so a key or a second that holds most rows is spread like any other.
     """
-    bucket = bucket or _bucket_of(alerts, key, ts)
-    bucketed = alerts.withColumn("__b", F.date_trunc(bucket, F.col(ts).cast("timestamp")))
-    totals = bucketed.groupBy(key, "__b").agg(
-        F.sum("detection_time").alias("__s"), F.count("detection_time").alias("__n"))
-    earlier = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        F.col(key).alias("__k"), F.col("__b").alias("__kb"),
-        F.coalesce(F.sum("__s").over(earlier), F.lit(0.0)).alias("__s0"),
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0"))
-    w = Window.partitionBy(key, "__b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = bucketed.withColumns({
-        "__s1": F.coalesce(F.sum("detection_time").over(w), F.lit(0.0)), "__n1": F.count("detection_time").over(w)})
-    joined = inside.join(before, (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__kb")))
-    mean = F.try_divide(F.col("__s0") + F.col("__s1"), F.col("__n0") + F.col("__n1"))
-    return joined.select(*alerts.columns, mean.alias("running_mean"))
+    order = [F.col(ts), F.col(tie), F.col("__h")]
+    ranged = alerts.withColumn("__h", F.xxhash64(*[c for c, kind in alerts.dtypes if "map<" not in kind])) \
+        .repartitionByRange(F.col(key), *order).withColumn("__p", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    totals = ranged.groupBy(key, "__p").agg(F.sum("detection_time").alias("__s"), F.count("detection_time").alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range of the key
+    carried = totals.select(key, "__p", F.sum("__s").over(earlier).alias("__s"), F.sum("__n").over(earlier).alias("__n")).filter("__n > 0")
+    own = ranged.select("*", F.lit(1).alias("__own"), F.col("detection_time").cast("double").alias("__s"),
+                        F.when(F.col("detection_time").isNotNull(), 1).otherwise(0).cast("long").alias("__n"))
+    both = own.unionByName(carried.withColumn("__own", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy(key, "__p").orderBy("__own", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mean = F.try_divide(F.sum("__s").over(upto), F.sum("__n").over(upto))
+    return both.select("*", mean.alias("running_mean")).filter("__own = 1").select(*alerts.columns, "running_mean")
 
 
 def windowed_severity(alerts: DataFrame, length: str = "30 minutes", slide: str = "5 minutes") -> DataFrame:

@@ -83,11 +83,6 @@ def bottom_k(df: DataFrame, key: str | Column, n: int, seed: int = 42) -> DataFr
     return df.withColumns({_HASH: h, _TIE: row_hash(df)}).orderBy(_HASH, _TIE).limit(max(n, 0)).drop(_HASH, _TIE)
 
 
-def sample_fraction(df: DataFrame, key: str | Column, fraction: float, seed: int = 42) -> DataFrame:
-    """Cheap Bernoulli sample: one filter, no shuffle, repeatable."""
-    return df.filter(hash_uniform(key_hash(as_col(key), seed)) < fraction)
-
-
 def sample_stratified(df: DataFrame, key: str | Column, group: str, n: int, seed: int = 42) -> DataFrame:
     """About n rows in all: every group keeps its share, rounded half up, at least one."""
     hashed = _hashed(df, key, seed, group)

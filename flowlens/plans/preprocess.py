@@ -48,13 +48,13 @@ def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Pr
         df = materialize(sp.sample_exact(df, cfg.key, cfg.sample_size, cfg.seed), "sample")
     df = materialize(cl.clean(df), "clean")
     feature_stats = ft.feature_stats(df)
-    df = en.encode_labels(df, cfg.label)
+    codings = [en.label_coding(cfg.label)]
     if "protocol" in df.columns:
-        df = en.encode_column(df, "protocol", "protocol_encoded")
+        codings.append(en.Coding("protocol", "protocol_encoded"))
     meta = ("flow_id", "src_ip", "dst_ip", "ts", cfg.label)
     strings = string_columns(df, meta)
-    if strings:
-        df = en.encode_categoricals(df, en.plan_categoricals(df, strings))
+    plan = en.plan_categoricals(df, strings) if strings else en.CategoricalPlan((), ())
+    df = en.encode_columns(df, codings + en.categorical_codings(plan)).drop(*plan.encode, *plan.drop)
     df = ft.engineer(df, feature_stats)
     booleans = [f.name for f in df.schema.fields if f.dataType.simpleString() == "boolean"]
     df = df.withColumns({c: F.col(c).cast("int") for c in booleans}) if booleans else df

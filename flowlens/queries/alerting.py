@@ -244,6 +244,13 @@ def r16(spark, sf):
     return w.select("flow_id", al.recommendation(w, F.col("attack_type"), F.col("model_used")).alias("recommendation"))
 
 
+@query("r16_headline", f"""WITH {S.FLOW_ALERTS}, {WIDE} SELECT flow_id, attack_type || ' — detected by ' || greatest(n_agreeing, 1) || '/3 models' || chr(10) || '💡 Recommendation: ' || {_advice_sql()}
+  || CASE WHEN attack_type = 'Benign' THEN '' WHEN n_agreeing = 3 THEN ' [3/3 high confidence]' WHEN n_agreeing = 2 THEN ' [2/3 models]' ELSE ' [Verify manually]' END AS headline FROM wide""")
+def r16_headline(spark, sf):
+    w = wide_alerts(spark, sf)
+    return w.select("flow_id", al.headline(w, F.col("attack_type"), F.col("model_used")).alias("headline"))
+
+
 @query("r17_alert_record", f"""WITH {S.FLOW_ALERTS} SELECT attack_label, severity, ensemble, true_is_threat, CAST(n_agreeing AS INT) AS n_models, count(*) AS n,
   3 AS map_size, round(sum(flow_duration), 3) AS sum_duration, 0.05e0 AS detection_time FROM (SELECT *, attack_type AS attack_label FROM alerts)
 GROUP BY ALL""")

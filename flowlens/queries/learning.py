@@ -17,7 +17,7 @@ from flowlens.queries import query
 from flowlens.queries import sql as S
 from flowlens.queries.scans import QUALITY_SQL
 from flowlens.queries.aggregates import PROBS, long, probability_rows, rounded
-from flowlens.queries.selection import FEATURES, equal_bins
+from flowlens.queries.selection import F_SQL, FEATURES, equal_bins
 from flowlens.session import materialize, new_path
 from flowlens.sources import artifacts as ar, readers, sinks, tables as tb
 
@@ -139,9 +139,8 @@ def m10(spark, sf):
     return svm_facts(md.rbf_svm(train, CFG, 50.0), test)
 
 
-# Costs of the linear grid; costs and kernel widths of the RBF grid (standardised features: scale = auto = 1 / features).
-LINEAR_COSTS = [0.1, 1.0, 10.0, 100.0]
-RBF_COSTS, RBF_GAMMAS = [0.1, 1.0, 10.0], [1.0 / len(FEATURES), 0.001, 0.01, 0.1]
+LINEAR_COSTS, RBF_COSTS = fv.SVM_LINEAR_COSTS, fv.SVM_RBF_COSTS
+RBF_GAMMAS = [1.0 / len(FEATURES) if g is None else g for g in fv.SVM_RBF_GAMMAS]
 
 _FIT_SIZES = f"""sizes AS (SELECT label_idx, count(*) AS sz FROM sides WHERE split = 'train' GROUP BY 1),
   fitted AS (SELECT sum(least(sz, greatest(1, floor({FIT_ROWS} * sz / (SELECT sum(sz) FROM sizes) + 0.5))))::BIGINT AS n FROM sizes)"""
@@ -335,35 +334,49 @@ def linear_selection(spark, sf, k: int) -> DataFrame:
     return fs.top_k(scores, "score", k)
 
 
-def selection_facts(selected: DataFrame) -> DataFrame:
-    known = F.bool_and(F.col("feature").isin(FEATURES))
-    return selected.agg(F.count("*").alias("n"), F.count_distinct("feature").alias("distinct_features"), known.alias("known"))
+def with_facts(scores: DataFrame, selected: DataFrame, k: int) -> DataFrame:
+    """Every feature's score, and whether the selection holds k different known features."""
+    kept = {r["feature"] for r in selected.select("feature").collect()}  # at most one row per feature
+    return scores.withColumn("k_selected", F.lit(len(kept) == k and selected.count() == k and kept <= set(FEATURES)))
 
 
-@query("fs4_tree_score", "SELECT 5::BIGINT AS n, 5::BIGINT AS distinct_features, true AS known")
+@query("fs4_tree_score", f"WITH {F_SQL} SELECT feature, round(f_score, 4) AS f_score, true AS k_selected FROM fscore")
 def fs4(spark, sf):
-    return selection_facts(tree_selection(spark, sf, 5))
+    """The F part of the score of every feature, beside the selection by the whole score."""
+    f = rounded(fs.anova_f(tb.flows(spark, sf), FEATURES, "label_idx"), "f_score", digits=4)
+    return with_facts(f, tree_selection(spark, sf, 5), 5)
 
 
-@query("fs6_recursive_elimination", "SELECT 7::BIGINT AS n, 7::BIGINT AS distinct_features, true AS known FROM (SELECT count(*) FROM lineitem)")
+@query("fs6_recursive_elimination", f"WITH {SPLIT_SQL}, {_FIT_SIZES} SELECT 7::BIGINT AS n_features, n, true AS known FROM fitted")
 def fs6(spark, sf):
+    """Seven features survive on the fitted rows."""
     train, _ = split_flows(spark, sf)
     kept = md.eliminate(train, CFG, 7)
-    return selection_facts(train.agg(*[F.count(c).alias(c) for c in kept]).unpivot([], kept, "feature", "n"))
+    return train.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(len(set(kept))).cast("long").alias("n_features"), "n", F.lit(set(kept) <= set(FEATURES)).alias("known"))
 
 
-@query("fs7_linear_score", "SELECT 8::BIGINT AS n, 8::BIGINT AS distinct_features, true AS known")
+_CORR_ALL = " UNION ALL ".join(f"SELECT '{f}' AS feature, round(abs(corr({f}, label_idx)), 6) AS corr, true AS k_selected FROM flows" for f in FEATURES)
+
+
+@query("fs7_linear_score", f"WITH {S.FLOWS} {_CORR_ALL}")
 def fs7(spark, sf):
-    return selection_facts(linear_selection(spark, sf, 8))
+    """The correlation of every feature, beside the selection by the whole score."""
+    corr = rounded(fs.correlations(tb.flows(spark, sf), FEATURES, "label_idx"), "corr")
+    return with_facts(corr, linear_selection(spark, sf, 8), 8)
 
 
-@query("fs8_subset_search", "SELECT unnest([2, 4, 6, 8]) AS n_features, true AS in_range, true AS within_union")
+@query("fs8_subset_search", f"WITH {SPLIT_SQL}, {_FIT_SIZES} SELECT true AS whole_union, true AS in_range, true AS several_sizes, n FROM fitted")
 def fs8(spark, sf):
-    """Union of tree and linear selection, then the best leading subset by cross-validated F1."""
+    """Union of tree and linear selection, then leading subsets of all sizes up to the whole union by cross-validated F1.
+
+    Every size is scored on all fitted rows, each by the forest that left its fold out.
+    """
     train, _ = split_flows(spark, sf)
     union = fs.selection_union(tree_selection(spark, sf, 6).select("feature"), linear_selection(spark, sf, 6).select("feature"))
-    chosen = {r["feature"] for r in union.collect()}  # at most the two selections
-    ranked = [r["feature"] for r in fs.top_k(fs.anova_f(train, sorted(chosen), "label_idx"), "f_score", len(chosen)).collect()]
-    found = md.subset_search(md.with_fold(train, "flow_id"), CFG, (ranked + [f for f in FEATURES if f not in ranked])[:8], "fold", [2, 4, 6, 8])
-    inside = set(ranked) == chosen and len(chosen) >= 6
-    return spark.createDataFrame([(n, 0 <= f <= 1, inside) for n, f in found], "n_features int, in_range boolean, within_union boolean")
+    chosen = sorted(r["feature"] for r in union.collect())  # at most the two selections
+    ranked = [r["feature"] for r in fs.top_k(fs.anova_f(train, chosen, "label_idx"), "f_score", len(chosen)).collect()]
+    found = md.subset_search(md.with_fold(train, "flow_id"), CFG, ranked, "fold")
+    return found.agg((F.max("n_features") == len(chosen)).alias("whole_union"), F.bool_and(F.col("f1").between(0, 1)).alias("in_range"),
+                     (F.count(F.lit(1)) > 1).alias("several_sizes"),
+                     F.when(F.min("n") == F.max("n"), F.max("n")).alias("n"))

@@ -39,6 +39,35 @@ def s01(spark, sf):
         F.min("src_ip").alias("min_ip"), F.max("flow_bytes_per_s").alias("max_bytes"), F.sum("dst_port").alias("sum_port"))
 
 
+def _export_value(header: str, k: int) -> str:
+    """A feature of the flow view, or a number made from the flow for features that it lacks; valid in both engines."""
+    name = sch.feature_column(header)
+    if name in sch.FLOW_SCHEMA.names:
+        return name
+    return f"dst_port + {k}" if name.endswith(sch._WHOLE) else f"dst_port / 4.0 + {k}"
+
+
+_EXPORT = {h: _export_value(h, k) for k, h in enumerate(fv.EXPORT_FEATURES)}
+
+
+@query("s01_export_scan", f"WITH {S.FLOWS} " + " UNION ALL ".join(
+    f"SELECT {S.q(sch.feature_column(h))} AS feature, {S.q(sch.export_schema()[sch.feature_column(h)].dataType.simpleString())} AS kind, "
+    f"count({v}) AS n, round(sum(({v})::DOUBLE), 2) AS total FROM flows" for h, v in _EXPORT.items()))
+def s01_export(spark, sf):
+    """A whole export with its own headers, written and read back by name: every feature typed, none inferred."""
+    flows = tb.flows(spark, sf)
+    path = new_path(spark, "export")
+    out = {"Flow ID": "flow_id", "Src IP": "src_ip", "Src Port": "src_port", "Dst IP": "dst_ip", "Dst Port": "dst_port", "Timestamp": "ts"}
+    raw = flows.select(*[F.col(c).alias(h) for h, c in out.items()], *[F.expr(v).alias(h) for h, v in _EXPORT.items()])
+    sinks.write_csv(raw, path)
+    back = readers.read_export(spark, path)
+    names = [sch.feature_column(h) for h in fv.EXPORT_FEATURES]
+    kinds = dict(back.dtypes)
+    entries = [F.struct(F.lit(c).alias("feature"), F.lit(kinds[c]).alias("kind"), F.count(c).alias("n"),
+                        F.round(F.sum(F.col(c).cast("double")), 2).alias("total")) for c in names]
+    return back.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+
+
 _LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
              "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -422,6 +451,16 @@ def p11(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("p11_text_features", f"""WITH {S.FLOWS}
+SELECT feature, count(*) AS n, count(DISTINCT value) AS values_ FROM (
+  SELECT 'src_ip' AS feature, src_ip AS value FROM flows UNION ALL SELECT 'dst_ip', dst_ip FROM flows UNION ALL SELECT 'flow_id', flow_id FROM flows) GROUP BY 1""")
+def p11_text(spark, sf):
+    """Where few of the analyst's features exist, text columns top them up as text."""
+    slim = tb.flows(spark, sf).select("flow_duration", "src_ip", "dst_ip", "flow_id", "dst_port")
+    return slim.select(F.explode(al.key_feature_texts(slim)).alias("feature", "value")).groupBy("feature").agg(
+        F.count("*").alias("n"), F.count_distinct("value").alias("values_"))
+
+
 _TEXT_COLS = ["protocol", "flow_id", "flow_duration", "packet_length_mean", "flow_bytes_per_s", "flow_packets_per_s"]
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.operators import alerts as al, features as ft, reports as rp, verify as vf
+from flowlens.operators import alerts as al, features as ft, reports as rp
 from flowlens.queries import query
 from flowlens.queries import sql as S
 from flowlens.queries.aggregates import rounded
 from flowlens.session import new_path
 from flowlens.sources import tables as tb
-from flowlens.streaming import flows as sf_, state
+from flowlens.streaming import flows as sf_, late, state
 
 def replay(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
     """The rows of a table as a stream of several files, two per micro-batch."""
@@ -19,15 +19,15 @@ def replay(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
     return sf_.source(spark, path, df.schema, files_per_trigger=2)
 
 
-def to_table(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def to_table(spark: SparkSession, stream: DataFrame, on_disk: bool = False) -> DataFrame:
     out = new_path(spark, "sink")
-    sf_.run_to_table(stream, out, new_path(spark, "checkpoint"))
+    sf_.run_to_table(stream, out, new_path(spark, "checkpoint"), on_disk=on_disk)
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def to_latest(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
     out = new_path(spark, "upserts")
-    sf_.run_upserts(stream, out, new_path(spark, "checkpoint"))
+    sf_.run_upserts(stream, out, new_path(spark, "checkpoint"), keys)
     return sf_.latest_upserts(spark, out, keys)
 
 
@@ -56,7 +56,7 @@ def st01(spark, sf):
 @query("st02_first_seen_pairs", f"WITH {S.ALERTS} SELECT DISTINCT src_ip, dst_ip FROM alerts0")
 def st02(spark, sf):
     stream = replay(spark, tb.alerts(spark, sf))
-    return to_table(spark, sf_.first_seen_pairs(stream).select("src_ip", "dst_ip"))
+    return to_table(spark, sf_.first_seen_pairs(stream).select("src_ip", "dst_ip"), on_disk=True)
 
 
 @query("st03_severity_windows", f"""WITH {S.ALERTS_ENRICHED}, w AS (SELECT epoch_us(time_bucket(INTERVAL 5 MINUTES, ts)) AS last, severity FROM alerts WHERE {S.VALID}),
@@ -74,6 +74,43 @@ def st04(spark, sf):
     return out.select(F.unix_micros("window_start").alias("start_us"), "attack_type", "severity", "n")
 
 
+ST03_SQL = f"""WITH {S.ALERTS_ENRICHED}, w AS (SELECT epoch_us(time_bucket(INTERVAL 5 MINUTES, ts)) AS last, severity FROM alerts WHERE {S.VALID}),
+x AS (SELECT last - 300000000 * unnest([0, 1, 2, 3, 4, 5]) AS start_us, severity FROM w)
+SELECT start_us, severity, count(*) AS n FROM x GROUP BY 1, 2"""
+
+
+def disordered(spark, sf, files: int = 12) -> DataFrame:
+    """Enriched alerts as a feed of ``files`` micro-batches in no order of time: most batches hold late rows."""
+    alerts = al.enrich(tb.alerts(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")))
+    path = new_path(spark, "feed")
+    alerts.repartition(files, F.xxhash64("flow_id")).write.parquet(path)
+    return sf_.source(spark, path, alerts.schema, files_per_trigger=1)
+
+
+@query("st03_windows_and_late_rows", ST03_SQL)
+def st03_late(spark, sf):
+    """Severity windows of a disordered feed with a short delay: the table plus its late rows are the batch report."""
+    keys = ["window_start", "window_end", "severity"]
+    store = late.run_windows(disordered(spark, sf), new_path(spark, "windows"), new_path(spark, "checkpoint"), sf_.severity_windows, keys)
+    both = store.read("windows")
+    side = store.read("late")
+    if side is not None:
+        both = both.unionByName(sf_.severity_windows(side)).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return both.select(F.unix_micros("window_start").alias("start_us"), "severity", "n")
+
+
+@query("st04_windows_and_late_rows", f"""WITH {S.ALERTS_ENRICHED} SELECT epoch_us(date_trunc('hour', ts)) AS start_us, attack_type, severity, count(*) AS n FROM alerts
+WHERE {S.VALID} AND attack_type <> 'Benign' GROUP BY 1, 2, 3""")
+def st04_late(spark, sf):
+    keys = ["window_start", "attack_type", "severity"]
+    store = late.run_windows(disordered(spark, sf), new_path(spark, "windows"), new_path(spark, "checkpoint"), sf_.frequency_windows, keys, delay="1 hour")
+    both = store.read("windows")
+    side = store.read("late")
+    if side is not None:
+        both = both.unionByName(sf_.frequency_windows(side)).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return both.select(F.unix_micros("window_start").alias("start_us"), "attack_type", "severity", "n")
+
+
 @query("st05_running_detection_time", f"""WITH {S.ALERTS_ENRICHED} SELECT attack_type, round(sum(detection_time), 6) AS total_time, count(*) AS n, round(avg(detection_time), 6) AS running_mean
 FROM alerts WHERE n_agreeing > 0 AND attack_type <> 'Benign' GROUP BY 1""")
 def st05(spark, sf):
@@ -98,6 +135,18 @@ def st07(spark, sf):
     return to_table(spark, sf_.join_verifications(alert_stream(spark, sf), stream).select("flow_id", "severity", "is_threat"))
 
 
+@query("st07_interval_join", f"""WITH {S.VERIFS}, {S.ALERTS_ENRICHED} SELECT a.flow_id, severity, is_threat FROM alerts a JOIN verifs v ON a.flow_id = v.flow_id
+AND v.verified_at + INTERVAL 10 MINUTES BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR""")
+def st07_tables(spark, sf):
+    """The same join kept as tables, with a delay that covers the feed's disorder."""
+    verdicts = tb.verifications(spark, sf).withColumn("verified_at", F.expr("verified_at + interval 10 minutes").cast("timestamp")).select(
+        "flow_id", "verified_at", "is_threat")
+    alerts = al.enrich(tb.alerts(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp")).select("flow_id", "ts", "severity")
+    store = late.run_interval_join(replay(spark, alerts, files=6), replay(spark, verdicts, files=2), new_path(spark, "join"), new_path(spark, "checkpoint"),
+                                   "flow_id", "ts", "verified_at", delay=sf_.span(alerts.unionByName(verdicts.select("flow_id", F.col("verified_at").alias("ts"), F.lit("").alias("severity")))))
+    return store.read("joined").select("flow_id", "severity", "is_threat")
+
+
 @query("st08_sink_status", f"""WITH {S.ALERTS} SELECT count(*) AS n_alerts, round((epoch_us(max(ts)) + 2700000000 - epoch_us(max(ts))) / 60000000, 3) AS age_minutes, true AS is_stale FROM alerts0""")
 def st08(spark, sf):
     sink = to_table(spark, alert_stream(spark, sf).select("flow_id", "ts", "severity"))

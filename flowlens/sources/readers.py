@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from flowlens.functions.lookup import literal_table
-from flowlens import fixed_values as fv
+from flowlens.sources.schema import typed
 
 DETECTION_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
@@ -30,6 +29,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return reader.schema(schema).csv(path)
 
 
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """A flow export with its own headers, typed by name: no inference pass, no order of columns assumed."""
+    return typed(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines; a line that is not valid JSON lands in ``_corrupt_record``."""
     with_bad = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
@@ -63,9 +67,3 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
         .filter((F.col("line") != "") & ~F.col("line").startswith("#"))
         .select(F.col("line").alias("pattern"), "category")
     )
-
-
-def builtin_signatures(spark: SparkSession, catalog: str = "malware") -> DataFrame:
-    """``(pattern_id, pattern)`` of a built-in catalog: ``malware`` or ``threat``."""
-    names = {"malware": fv.MALWARE_SIGNATURES, "threat": fv.THREAT_PATTERNS}[catalog]
-    return literal_table(spark, ["pattern_id", "pattern"], list(enumerate(names)))

@@ -22,6 +22,8 @@ FLOW_SCHEMA = T.StructType(
 )
 
 NUMERIC_TYPES = (T.NumericType,)
+# Columns of whole numbers among the features of an export; the others are doubles.
+_WHOLE = ("_flags", "_flag_count", "_packets", "_pkts", "protocol", "_bytes")
 
 
 def canonical_name(name: str) -> str:
@@ -30,6 +32,44 @@ def canonical_name(name: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", s).strip("_")
 
 
+def feature_column(header: str) -> str:
+    """The library's name of an export header."""
+    name = canonical_name(header)
+    return fv.COLUMN_ALIASES.get(name, name)
+
+
+def export_schema() -> T.StructType:
+    """All columns of a flow export under the library's names: ids, time, the features, the label."""
+    known = {f.name: f for f in FLOW_SCHEMA.fields}
+    fields = [known[c] for c in ("flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "ts")]
+    for header in fv.EXPORT_FEATURES:
+        name = feature_column(header)
+        whole = name.endswith(_WHOLE)
+        fields.append(known.get(name, T.StructField(name, T.LongType() if whole else T.DoubleType())))
+    return T.StructType([*fields, T.StructField("label", T.StringType())])
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """A raw export read as text, under the library's names and the types of the export schema.
+
+    Text that is no number becomes NULL; whole numbers may be written with a fraction of
+    zero; columns beyond the schema stay as they are.
+    """
+    kinds = {f.name: f.dataType for f in export_schema().fields}
+
+    def cast(c: str) -> Column:
+        kind = kinds.get(c)
+        if kind is None or isinstance(kind, (T.StringType, T.TimestampNTZType)):
+            return F.col(c)
+        number = F.trim(F.col(c).cast("string")).try_cast("double")
+        if isinstance(kind, T.DoubleType):
+            return number.alias(c)
+        return F.when(number == F.floor(number), number.try_cast(kind)).alias(c)
+
+    named = resolve_columns(df)
+    return named.select(*[cast(c) for c in named.columns])
+
+
 def resolve_columns(df: DataFrame) -> DataFrame:
     """A raw export under the names the library uses: canonical form, then known aliases.
 

@@ -6,12 +6,14 @@ dict, because a stream has no global aggregate.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Any, Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.operators import alerts as al, features as ft, fuzzy as fz, reports as rp
+from flowlens.streaming.store import Store, newest
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -39,8 +41,8 @@ def score_flows(df: DataFrame, stats: dict[str, Any],
 def first_seen_pairs(df: DataFrame) -> DataFrame:
     """First row of every (source, destination) pair, however late the pair returns.
 
-    Exact, so every distinct pair stays in the state store (two addresses a pair); use
-    the RocksDB state store for very many pairs.
+    Exact, so every distinct pair stays in the state store; ``run_to_table`` with
+    ``on_disk`` keeps it in RocksDB files, whose memory is bounded.
     """
     return df.dropDuplicates(["src_ip", "dst_ip"])
 
@@ -52,11 +54,6 @@ def span(df: DataFrame, column: str = "ts") -> str:
     return f"{(row['b'] or 0) - (row['a'] or 0) + 60} seconds"
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows the stateful operators have dropped as later than the watermark, in the batches Spark still reports."""
-    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
-
-
 def severity_windows(df: DataFrame, length: str = "30 minutes", slide: str = "5 minutes") -> DataFrame:
     return rp.windowed_severity(df, length, slide)
 
@@ -84,25 +81,51 @@ def join_verifications(alerts: DataFrame, verdicts: DataFrame, within: str = "1
     return a.join(v, bound, "inner").drop("v_flow_id")
 
 
-def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process everything available into a parquet table, then stop."""
-    query = (
-        df.writeStream.outputMode(mode).format("parquet")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+# State on local disk with a bound on its memory, checkpointed as changes.
+ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for what starts inside the block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append", on_disk: bool = False) -> StreamingQuery:
+    """Process everything available into a parquet table, then stop; ``on_disk`` keeps state in RocksDB."""
+    with settings(df.sparkSession, ON_DISK if on_disk else {}):
+        query = (
+            df.writeStream.outputMode(mode).format("parquet")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return query
 
 
-def run_upserts(df: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Changed groups of each batch appended with their batch number.
+def upserts(spark: SparkSession, path: str, keys: list[str]) -> Store:
+    """The compacted table of changed groups, newest batch first."""
+    return Store(spark, path, {"rows": newest(keys, ["batch_id"])})
+
+
+def run_upserts(df: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update") -> StreamingQuery:
+    """Changed groups of each batch into a compacted table; a batch that is retried counts once."""
+    store = upserts(df.sparkSession, path, keys)
 
-    A batch that is retried writes the same folder again, so the table holds
-    each batch once; readers take the newest batch per key.
-    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        store.append(batch_id, {"rows": batch.withColumn("batch_id", F.lit(batch_id).cast("long"))})
 
     query = (
         df.writeStream.outputMode(mode).foreachBatch(write)
@@ -113,11 +136,8 @@ def run_upserts(df: DataFrame, path: str, checkpoint: str, mode: str = "update")
 
 
 def latest_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest version of every key in an upsert table."""
-    log = spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
-    rest = [c for c in log.columns if c not in keys and c != "batch_id"]
-    newest = F.max(F.struct("batch_id", *rest)).alias("s")
-    return log.groupBy(*keys).agg(newest).select(*keys, *[f"s.{c}" for c in rest])
+    """Newest version of every key."""
+    return upserts(spark, path, keys).read("rows").drop("batch_id")
 
 
 def progress(sink: DataFrame, total: int) -> dict[str, int]:

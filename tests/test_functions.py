@@ -121,6 +121,26 @@ def test_exact_quantiles(spark, small):
         assert got["b", p] == pytest.approx(np.quantile(b[b > 0], p))
 
 
+@pytest.mark.parametrize("least,most", [(4, 200_000), (20, 200_000), (10_000, 200_000), (10_000, 1)])
+def test_quantiles_from_brackets_and_from_buckets(spark, monkeypatch, least, most):
+    """Coarse sketches, fine ones and none at all give the same exact values, ties included."""
+    from flowlens.functions import quantile
+
+    monkeypatch.setattr(quantile, "LEAST_ACCURACY", least)
+    monkeypatch.setattr(quantile, "MOST_ACCURACY", most)
+    monkeypatch.setattr(quantile, "INSIDE", 10**9)
+    rng = np.random.default_rng(4)
+    columns = {"smooth": rng.normal(size=3000), "ties": rng.integers(0, 4, 3000).astype(float), "tail": rng.pareto(0.5, 3000), "one": np.full(3000, 2.5)}
+    rows = [tuple(float(v[k]) if k % 97 or c != "smooth" else None for c, v in columns.items()) for k in range(3000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    wanted = {c: [0.0, 0.01, 0.25, 0.5, 0.505, 0.9, 1.0] for c in columns}
+    got = quantile.exact_quantiles(df, wanted, small=50, buckets=16)
+    for c, v in columns.items():
+        own = v[np.arange(3000) % 97 > 0] if c == "smooth" else v
+        for p in wanted[c]:
+            assert got[c, p] == pytest.approx(np.quantile(own, p), rel=1e-12, abs=1e-12), (c, p)
+
+
 def test_exact_quantiles_of_nothing(spark):
     df = spark.createDataFrame([], "a double")
     assert exact_quantiles(df, {"a": [.5]}) == {("a", .5): None}

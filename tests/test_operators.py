@@ -225,16 +225,23 @@ def test_poisson_draws_of_a_large_rate_keep_their_variance(spark):
     assert abs(mean - 900) < 6 and 650 < variance < 1200
 
 
-def test_hot_buckets_are_cut_finer(spark, monkeypatch):
-    from flowlens.operators import reports as rp
-
-    df = spark.range(3000).selectExpr(
-        "case when id % 10 = 0 then 'cold' else 'hot' end as k", "timestamp_seconds(1700000000 + id % 3000) as ts", "string(id) as flow_id", "double(id % 7) as detection_time")
-    want = sorted(map(tuple, rp.running_detection_time(df, "k", bucket="hour").collect()))
-    monkeypatch.setattr(rp, "BUCKET_ROWS", 50)
-    assert rp._bucket_of(df, "k", "ts") == "second"
-    got = sorted(map(tuple, rp.running_detection_time(df, "k").collect()))
-    assert [r[:4] for r in got] == [r[:4] for r in want] and all(abs(a[4] - b[4]) < 1e-9 for a, b in zip(got, want))
+def test_running_means_of_a_hot_second(spark):
+    """One key with 90 % of the rows in one second: equal to a plain running mean, and no range holds twice its share."""
+    rows = [("hot" if k % 10 else f"k{k % 7}", 1_000 if k % 10 else k, f"f{k:04d}", None if k % 17 == 0 else float(k % 13)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "k string, s long, flow_id string, detection_time double").select(
+        "k", F.timestamp_seconds("s").alias("ts"), "flow_id", "detection_time")
+    want, sums = {}, {}
+    for k, s, f, d in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        total, n = sums.get(k, (0.0, 0))
+        sums[k] = total, n = total + (d or 0.0), n + (d is not None)
+        want[f] = total / n if n else None
+    got = {r["flow_id"]: r["running_mean"] for r in rp.running_detection_time(df, "k").collect()}
+    assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f]) for f in want)
+    ranged = df.repartitionByRange("k", "ts", "flow_id").groupBy(F.spark_partition_id()).count()
+    sizes = [r["count"] for r in ranged.collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+    null = spark.createDataFrame([(None, None, "a", 1.0), (None, None, "a", 3.0)], "k string, ts timestamp, flow_id string, detection_time double")
+    assert sorted(r["running_mean"] for r in rp.running_detection_time(null, "k").collect()) in ([1.0, 2.0], [2.0, 3.0])
 
 
 def test_sample_of_one_repeated_key_is_exact_and_stable(spark):

@@ -64,6 +64,45 @@ def test_key_features_top_up(spark):
     assert got == {"Flow Duration": 1.0, "other": 2.0, "more": 3.0}
 
 
+def test_key_feature_texts(spark):
+    df = spark.createDataFrame([(1.5, "tcp", "7", None)], "flow_duration double, proto string, code string, empty string")
+    assert df.select(al.key_features(df)).first()[0] == {"Flow Duration": 1.5}
+    assert df.select(al.key_feature_texts(df)).first()[0] == {"proto": "tcp", "code": "7"}
+
+
+def test_export_is_typed_by_name(spark, tmp_path):
+    """Headers in any order, numbers with spaces or fractions, text that is no number, columns beyond the schema."""
+    from flowlens import fixed_values as fv
+    from flowlens.sources import readers, schema as sch
+
+    heads = ["Label", "Custom", *reversed(fv.EXPORT_FEATURES), "Src IP"]
+    row = ["Benign", "x", *["6.0" if h == "Protocol" else "oops" if h == "Flow Duration" else "2.5" if h == "SYN Flag Count" else " 3 " for h in reversed(fv.EXPORT_FEATURES)], "1.2.3.4"]
+    path = tmp_path / "e.csv"
+    path.write_text(",".join(heads) + "\n" + ",".join(row) + "\n")
+    got = readers.read_export(spark, str(path))
+    kinds, r = dict(got.dtypes), got.first()
+    names = [sch.feature_column(h) for h in fv.EXPORT_FEATURES]
+    assert len(set(names)) == 77 and all(kinds[n] in ("double", "int", "bigint") for n in names)
+    assert r["protocol"] == 6 and r["flow_duration"] is None and r["syn_flag_count"] is None and r["idle_min"] == 3.0
+    assert r["custom"] == "x" and r["label"] == "Benign" and r["src_ip"] == "1.2.3.4"
+
+
+def test_codes_of_many_columns_equal_their_own(spark, monkeypatch):
+    """One dictionary pass gives each column the codes it gets alone, broadcast or joined."""
+    from flowlens.operators import encode as en
+
+    df = spark.createDataFrame([(k, (k * 7) % 13 if k % 9 else None, f"v{k % 5}" if k % 4 else None, f"0:{k % 3}") for k in range(60)],
+                               "id int, num int, text string, odd string")
+    codings = [en.Coding("num", "a"), en.Coding("text", "b", None, en.NA), en.Coding("odd", "c"), en.label_coding("text", "d")]
+    want = df
+    for c in codings:
+        want = en.encode_column(want, c.column, c.out, c.null_code, c.null_value)
+    want = sorted(map(tuple, want.collect()))
+    for most in (en.BROADCAST_ENTRIES, 6, 0):
+        assert sorted(map(tuple, en.encode_columns(df, codings, most).collect())) == want
+    assert en.encode_columns(df.limit(0), codings).count() == 0
+
+
 def test_upserts_survive_replay(spark, sf):
     """A second run from the same checkpoint adds nothing."""
     events = tb.alerts(spark, sf)
@@ -72,7 +111,7 @@ def test_upserts_survive_replay(spark, sf):
 
     def totals():
         stream = al.enrich(sf_.event_time(sf_.source(spark, feed, events.schema, 1), delay="400 days"))
-        sf_.run_upserts(sf_.detection_time_totals(stream, ["attack_type"]), out, cp)
+        sf_.run_upserts(sf_.detection_time_totals(stream, ["attack_type"]), out, cp, ["attack_type"])
         return {r["attack_type"]: r["n"] for r in sf_.latest_upserts(spark, out, ["attack_type"]).collect()}
 
     first = totals()
