@@ -6,11 +6,14 @@ of ASCII letters, digits and non-ASCII bytes.  The learner keeps per-coordinate
 rates and an L1 penalty, so most of the ``2**BITS`` weights are exactly zero and
 what is left is small enough to send to every task.
 
-The fit uses at most ``max_rows`` labelled rows (bounded, documented); scoring
-reads every whole text once, in Arrow batches, without a shuffle.
+The fit uses at most ``max_rows`` labelled rows with at most ``MAX_COORDINATES`` coordinates
+(bounds of the one learning task, documented).  Each label has half of the rows and what
+the other leaves, so rare toxic rows are not thinned out with the rest; the intercept is put back to
+the shares of all labelled rows.  Scoring reads every whole text once, in Arrow batches, without a shuffle.
 
 Defined results: a null or empty text has no feature and scores by the intercept;
-repeated rows score alike; no training rows (or one class only) give the base rate
+repeated rows score alike; of rows that repeat a labelled id with other texts, the one with the smallest
+text hash is learned from; no training rows (or one class only) give the base rate
 (0.0 without any label); other columns of the input are ignored.
 """
 
@@ -21,17 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm import wordhash as wh
 from flowlens.llm.common import MAX_TRAINING_ROWS, arrow_rows, bounded_sample, fold, labels_of, sigmoid
+from flowlens.session import materialize
 
 BITS = 22
 STEM = 5
 GRAMS = ((0,), (0, 1), (0, 2))
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 1.0, 0.0
 EPOCHS = 4
+#: Coordinates of all training rows together; rows beyond it, in the order of their hashes, are not fitted on.
+MAX_COORDINATES = 64_000_000
 #: A coordinate is admitted once this many training rows have it.
 MIN_ROWS = 4
 #: Feature value: LENGTH / sqrt(number of features), at most 1, so that long texts do not learn faster.
@@ -93,22 +99,39 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> T
     return ToxicityModel(alive, weights(alive), bias)
 
 
+def quotas(counts: dict[int, int], most: int) -> dict[int, int]:
+    """Rows to take of label 0 and 1: half of ``most`` each, and what the other label leaves."""
+    return {k: max(most // 2, most - counts.get(1 - k, 0)) for k in (0, 1)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> ToxicityModel:
     """Learn from the labelled rows outside the held-out fold, at most ``max_rows`` of them."""
-    known = labels_of(labels, label).filter(fold("doc_id", 3) != 1).withColumn("_all", F.lit(0))
-    chosen = bounded_sample(known, "_all", ["doc_id"], max_rows).select("doc_id", F.col(label).alias("_y"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by max_rows
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("at", pa.list_(pa.int32()))])
+    known = labels_of(labels, label).filter(fold("doc_id", 3) != 1)
+    counts = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    quota = quotas(counts, max_rows)
+    chosen = [bounded_sample(known.filter(F.col(label) == k), label, ["doc_id"], quota[k]) for k in (0, 1)]
+    both = chosen[0].unionByName(chosen[1]).select("doc_id", F.col(label).alias("_y"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(both), "doc_id")  # bounded by max_rows
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("h", pa.int64()), ("at", pa.list_(pa.int32()))])
 
     def coordinates(batch: pa.RecordBatch):
-        return {"doc_id": batch["doc_id"], "y": batch["_y"], "at": list(features(batch["text"]))}
-
-    rows = (
-        sample.mapInArrow(arrow_rows(coordinates, schema), "doc_id long, y int, at array<int>")
-        .dropDuplicates(["doc_id"]).coalesce(1).mapInArrow(_train, "at array<int>, weight array<double>, bias double")
-    ).collect()
-    parts = [ToxicityModel(np.array(r["at"], np.int32), np.array(r["weight"], float), r["bias"]) for r in rows]
-    return parts[0] if parts else learn([], np.zeros(0))
+        return {"doc_id": batch["doc_id"], "y": batch["_y"], "h": batch["h"], "at": list(features(batch["text"]))}
+
+    rows = sample.withColumn("h", F.xxhash64("text")).mapInArrow(arrow_rows(coordinates, schema), "doc_id long, y int, h long, at array<int>")
+    rows = materialize(rows.groupBy("doc_id").agg(F.min_by(F.struct("y", "at"), "h").alias("r")).select("doc_id", "r.y", "r.at"), "toxicity-sample")
+    if (rows.agg(F.sum(F.size("at"))).first()[0] or 0) > MAX_COORDINATES:
+        upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most max_rows numbers
+        fits = rows.select("doc_id", F.size("at").cast("long").alias("size")).withColumn("upto", upto).filter(F.col("upto") <= MAX_COORDINATES)
+        rows = rows.join(F.broadcast(fits.select("doc_id")), "doc_id")
+    found = rows.coalesce(1).mapInArrow(_train, "at array<int>, weight array<double>, bias double").collect()
+    if not found:
+        return learn([], np.zeros(0))
+    model = ToxicityModel(np.array(found[0]["at"], np.int32), np.array(found[0]["weight"], float), found[0]["bias"])
+    taken = {k: min(quota[k], counts.get(k, 0)) for k in (0, 1)}
+    if min(taken.values()) == 0:
+        return model
+    shift = np.log(counts[1] / counts[0]) - np.log(taken[1] / taken[0])  # from the sample's shares to those of all labels
+    return ToxicityModel(model.index, model.weight, model.bias + float(shift))
 
 
 def _train(batches):

@@ -276,6 +276,46 @@ def test_shards_are_even_whole_and_numbered(spark):
     assert sharding.assign(h.empty(spark)).count() == 0
 
 
+def test_shards_are_ranges_of_one_order(spark):
+    """Bounds against a plain sort: shards are consecutive runs of the rows by key, cut within the tolerance of equal bytes."""
+    data = [(k, h.prose(k % 400, 5 + k % 60)) for k in range(900)] + [(2000 + k, h.BASE) for k in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    rows = sharding.keys(docs)
+    order = sorted((r["kt"], r["kd"], r["size"]) for r in rows.collect())
+    total = sum(size for *_, size in order)
+    for parts in (3, 16):
+        bounds = sharding.splitters(rows, parts, 0.01)
+        assert bounds == sorted(bounds) and len(bounds) == parts - 1
+        for k, bound in enumerate(bounds, 1):
+            below = sum(size for kt, kd, size in order if (kt, kd) < tuple(bound))
+            slack = max(0.01 * total / parts, max(size for *_, size in order))
+            assert abs(below - total * k / parts) <= slack
+    by_id = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.assign(docs).collect()}
+    key = {r["doc_id"]: (r["kt"], r["kd"]) for r in rows.collect()}
+    assert sorted(by_id, key=by_id.get) == sorted(key, key=key.get)
+
+
+def test_mix_takes_the_first_by_pareto_order(spark):
+    """Beside the certain copies, each source takes the documents of the smallest odds ratio, and no other."""
+    data = [(k, h.prose(k, 5 + k % 20), "abc"[k % 3]) for k in range(1500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    rows = mixing.decided(docs).select("row.doc_id", "row.source", "mix.size", "mix.copies", "mix.target").collect()
+    shares = {r["source"]: r for r in mixing.plan(docs).filter("level = 0").collect()}
+    draws = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.uniform("doc_id", seed=mixing.SEED).alias("u")).collect()}
+    for source, plan in shares.items():
+        own, p = [r for r in rows if r["source"] == source], plan["fraction"]
+        assert {r["copies"] for r in own} <= {plan["certain"], plan["certain"] + 1}
+        if not 0 < p < 1:
+            continue
+        ratio = lambda r: (draws[r["doc_id"]] / (1 - draws[r["doc_id"]])) / (p / (1 - p))
+        ranked = sorted(own, key=ratio)
+        extra = [r["copies"] - plan["certain"] for r in ranked]
+        assert extra == sorted(extra, reverse=True)  # a first run of the order
+        rest = plan["target"] - plan["certain"] * sum(r["size"] for r in own)
+        taken = sum(r["size"] for r, e in zip(ranked, extra) if e)
+        assert abs(taken - rest) <= max(r["size"] for r in own)
+
+
 def targets_by_hand(sizes):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: 1 + k % 3 for k, s in enumerate(order)}
