@@ -109,51 +109,56 @@ def _entry(df: DataFrame, i: int, coding: Coding) -> tuple[Column, Column]:
     """(column number and value as text, place in the order): numbers are ordered as numbers."""
     kind = dict(df.dtypes)[coding.column]
     c = F.col(f"`{coding.column}`")
-    number = F.lit(None).cast("decimal(38,10)")
+    number = F.lit(None).cast("bigint")
     if coding.null_value is None and kind in ("tinyint", "smallint", "int", "bigint"):
-        number = c.cast("decimal(38,10)")
+        number = c.cast("bigint")
     text = c.cast("string") if coding.null_value is None else F.coalesce(c.cast("string"), F.lit(coding.null_value))
     return F.when(text.isNotNull(), F.concat(F.lit(f"{i}:"), text)), number
 
 
-def dictionaries(df: DataFrame, codings: list[Coding]) -> DataFrame:
-    """(entry, i, code) of all columns from one pass: distinct pairs of column and value, numbered by ranges."""
+def distinct_entries(df: DataFrame, codings: list[Coding]) -> DataFrame:
+    """(i, number, entry): the distinct values of all columns from one pass, written once."""
     pairs = [F.struct(F.lit(i).alias("i"), number.alias("number"), entry.alias("entry"))
              for i, (entry, number) in enumerate(_entry(df, i, c) for i, c in enumerate(codings))]
-    every = df.select(F.inline(F.filter(F.array(*pairs), lambda p: p["entry"].isNotNull()))).distinct()
-    ranged = materialize(every.repartitionByRange("i", "number", "entry").withColumn("__part", F.spark_partition_id()), "dictionaries")
+    every = df.select(F.inline(F.array(*pairs))).filter(F.col("entry").isNotNull()).distinct()
+    return materialize(every, "dictionaries")
+
+
+def _numbered(entries: DataFrame, small: bool) -> DataFrame:
+    """(__e, __c): entries with their place among those of their column, from 0; ``small`` as in ``dense_codes``."""
+    order = ["number", "entry"]
+    if small:
+        code = F.row_number().over(Window.partitionBy("i").orderBy(*order)) - 1
+        return entries.select(F.col("entry").alias("__e"), code.cast("bigint").alias("__c"))
+    ranged = materialize(entries.repartitionByRange("i", *order).withColumn("__part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("i", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("i").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = counts.select(F.col("i").alias("__i"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    rank = F.row_number().over(Window.partitionBy("__part", "i").orderBy("number", "entry"))
-    numbered = ranged.withColumn("__rank", rank).join(
-        F.broadcast(offsets), (F.col("__part") == F.col("__p")) & (F.col("i") == F.col("__i")))  # columns plus ranges
-    return numbered.select("entry", "i", (F.col("__offset") + F.col("__rank") - 1).cast("bigint").alias("code"))
+    offsets = counts.select("i", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    rank = F.row_number().over(Window.partitionBy("i", "__part").orderBy(*order))
+    return ranged.withColumn("__rank", rank).join(F.broadcast(offsets), ["i", "__part"]).select(
+        F.col("entry").alias("__e"), (F.col("__offset") + F.col("__rank") - 1).cast("bigint").alias("__c"), "i")
 
 
 def encode_columns(df: DataFrame, codings: list[Coding], max_values: int = BROADCAST_ENTRIES) -> DataFrame:
     """Dense codes of several columns.
 
     Columns whose dictionaries fit share one broadcast table, looked up once per column in one
-    projection; a larger dictionary is joined by shuffle, where AQE splits hot values.
+    stage; larger dictionaries are numbered by ranges and joined by shuffle, where AQE splits hot values.
     """
     if not codings:
         return df
-    found = materialize(dictionaries(df, codings), "codes")
+    found = distinct_entries(df, codings)
     sizes = {r["i"]: r for r in found.groupBy("i").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("entry")).alias("b")).collect()}  # one row per column
-    small, n, held = set(), 0, 0
+    small, n, held = [], 0, 0
     for i, r in sorted(sizes.items(), key=lambda x: x[1]["n"]):
         if n + r["n"] <= max_values and held + r["b"] <= BROADCAST_BYTES:
-            small.add(i)
+            small.append(i)
             n, held = n + r["n"], held + r["b"]
-    shared = F.broadcast(found.filter(F.col("i").isin(sorted(small))).select("entry", "code")) if small else None
+    shared = F.broadcast(_numbered(found.filter(F.col("i").isin(small)), small=True))
+    large = None if len(small) == len(sizes) else materialize(_numbered(found.filter(~F.col("i").isin(small)), small=False), "codes")
     for i, coding in enumerate(codings):
-        if i in small or i not in sizes:
-            right = shared if shared is not None else found.select("entry", "code").limit(0)
-        else:
-            right = found.filter(F.col("i") == i).select("entry", "code")
-        right = right.select(F.col("entry").alias("__e"), F.col("code").alias("__c"))
+        right = large.filter(F.col("i") == i).drop("i") if i in sizes and i not in small else shared
         joined = df.withColumn("__k", _entry(df, i, coding)[0]).join(right, F.col("__k") == F.col("__e"), "left")
         code = F.col("__c") if coding.null_code is None else F.coalesce("__c", F.lit(coding.null_code))
         df = joined.withColumn(coding.out, code.cast("bigint")).drop("__k", "__e", "__c")

@@ -37,7 +37,7 @@ class Preprocessed:
 def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Preprocessed:
     """Clean, encode, derive, split, scale.
 
-    The cleaned, derived and scaled rows are written once each: later passes
+    The cleaned, engineered and scaled rows are written once each: later passes
     (statistics, dictionaries, scaler fit, splits) read a table instead of
     repeating the duplicate removal, and the logical plan of a pass stays small.
     """
@@ -59,9 +59,9 @@ def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Pr
     booleans = [f.name for f in df.schema.fields if f.dataType.simpleString() == "boolean"]
     df = df.withColumns({c: F.col(c).cast("int") for c in booleans}) if booleans else df
     df = materialize(df, "engineered")
-    split = sp.split_exact(df, cfg.key, "label_idx", cfg.test_fraction, cfg.seed) if cfg.stratify \
+    # a comparison of the row's hash with its class's cut: no row moves, so the split is not written
+    df = sp.split_exact(df, cfg.key, "label_idx", cfg.test_fraction, cfg.seed) if cfg.stratify \
         else sp.split_hash(df, cfg.key, cfg.test_fraction, cfg.seed)
-    df = materialize(split, "derived")
     columns = numeric_columns(df, ("label_idx", "src_port", "dst_port"))
 
     def filled(rows: DataFrame) -> DataFrame:
