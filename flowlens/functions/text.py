@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -51,3 +53,10 @@ def with_chunks(df: DataFrame, text_col: str, overlap: int, size: int = 4096) ->
             F.length("__piece").alias("chunk_len"),
         )
     )
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A text with ``{name}`` replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    pieces = [values[part] if k % 2 else F.lit(part) for k, part in enumerate(parts) if k % 2 or part]
+    return F.concat(*pieces)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens import fixed_values as fv
 from flowlens.functions.lookup import literal_table, lookup
+from flowlens.functions.text import fill
 from flowlens.sources.tables import PREDICTION_COLUMNS
 
 BENIGN_IDX = fv.CLASSES.index(fv.BENIGN)
@@ -77,56 +78,31 @@ def voting_models(predictions: dict[str, str] = PREDICTION_COLUMNS) -> Column:
     return _pick({m: is_threat(F.col(c)) for m, c in predictions.items()})
 
 
-def _severity_text(severity: Column, high: Column, medium: Column, low: Column) -> Column:
-    return F.when(severity == "High", high).when(severity == "Medium", medium).otherwise(low)
-
-
-def _risk_sentence(label: Column, severity: Column, n: Column, total: int, unseen: dict[str, str]) -> Column:
+def _risk_sentence(label: Column, severity: Column, n: Column, total: int) -> Column:
     """Threat part of the narrative, by severity and number of agreeing models."""
-    heads = {"High": "🔥 High risk: ", "Medium": "⚠️ Medium risk: ", "Low": "🟡 Low risk: "}
-    many = {"High": " - immediate action required", "Medium": " - monitor closely", "Low": ""}
-    single = {"High": " - investigate immediately", "Medium": " - investigate", "Low": ""}
-
     def sentence(level: str) -> Column:
-        head = F.concat(F.lit(heads[level]), label)
-        confirmed = F.concat(head, F.lit(" confirmed by "), n.cast("string"), F.lit(f"/{total} models" + many[level]))
-        return (
-            F.when(n >= 2, confirmed)
-            .when(n == 1, F.concat(head, F.lit(f" detected by 1/{total} models" + single[level])))
-            .otherwise(F.concat(head, F.lit(" detected (ground truth) - " + unseen[level])))
-        )
-
-    return _severity_text(severity, sentence("High"), sentence("Medium"), sentence("Low"))
+        several, single, unseen = (fill(t, label=label, n=n.cast("string"), total=F.lit(str(total))) for t in fv.RISK_SENTENCES[level])
+        return F.when(n >= 2, several).when(n == 1, single).otherwise(unseen)
 
-
-UNSEEN_TEXTS = {"High": "manual review required", "Medium": "manual review recommended",
-                "Low": "routine monitoring"}
+    return F.when(severity == "High", sentence("High")).when(severity == "Medium", sentence("Medium")).otherwise(sentence("Low"))
 
 
 def risk_narrative(label: Column, severity: Column, agreeing: Column, total: int = 3) -> Column:
     """One-line explanation for streamed alerts."""
-    benign = F.lit("🟢 Low risk: Normal traffic confirmed")
-    return F.when(label == fv.BENIGN, benign).otherwise(
-        _risk_sentence(label, severity, agreeing, total, UNSEEN_TEXTS))
+    return F.when(label == fv.BENIGN, fv.BENIGN_SENTENCE).otherwise(_risk_sentence(label, severity, agreeing, total))
 
 
 def batch_risk_narrative(label: Column, severity: Column, votes: Column, models: Column, total: int = 3) -> Column:
     """Explanation for batch detection: vote counts plus the list of models."""
     n = F.size(models)
     names = F.array_join(models, ", ")
-    benign = (
-        F.when(n == total, "🟢 Low risk: Normal traffic confirmed by all models")
-        .when(n >= 1, F.concat(F.lit("🟢 Low risk: Normal traffic confirmed by "), n.cast("string"),
-                               F.lit(f"/{total} models")))
-        .otherwise("⚠️ Warning: All models misclassified benign traffic as threat")
-    )
-    benign_tail = F.when(n > 0, F.concat(F.lit(" | Correctly identified by: "), names)).otherwise(
-        " | Misclassified by all models")
-    review = F.concat(F.lit("⚠️ Medium risk: "), label, F.lit(" detected (ground truth) - manual review recommended"))
-    routine = F.concat(F.lit("🟡 Low risk: "), label, F.lit(" detected (ground truth) - routine monitoring"))
+    some = fill(fv.BENIGN_BY_SOME, n=n.cast("string"), total=F.lit(str(total)))
+    benign = F.when(n == total, fv.BENIGN_BY_ALL).when(n >= 1, some).otherwise(fv.BENIGN_BY_NONE)
+    benign_tail = F.when(n > 0, fill(fv.BENIGN_TAIL, names=names)).otherwise(fv.BENIGN_TAIL_NONE)
+    review, routine = (fill(fv.RISK_SENTENCES[level][2], label=label) for level in ("Medium", "Low"))
     unseen = F.when(label.isin(*fv.INHERENT_HIGH), review).otherwise(routine)
-    threat = F.when(votes == 0, unseen).otherwise(_risk_sentence(label, severity, votes, total, UNSEEN_TEXTS))
-    threat_tail = F.when(n > 0, F.concat(F.lit(" | Detected by: "), names)).otherwise("")
+    threat = F.when(votes == 0, unseen).otherwise(_risk_sentence(label, severity, votes, total))
+    threat_tail = F.when(n > 0, fill(fv.THREAT_TAIL, names=names)).otherwise("")
     return F.when(label == fv.BENIGN, F.concat(benign, benign_tail)).otherwise(F.concat(threat, threat_tail))
 
 
@@ -285,24 +261,14 @@ def anomaly_tests(df: DataFrame) -> dict[str, tuple[Column, Column]]:
     ratio = F.round(fwd / F.when(bwd == 0, 1.0).otherwise(bwd), 0).cast("bigint")
     s = lambda c: c.cast("string")
     whole = lambda c: s(c.cast("bigint"))
-    return {
-        "asymmetry": ((bwd < fwd * 0.15) & (fwd > 50), F.concat(
-            s(ratio), F.lit("x more outbound than return traffic ("), short_number(fwd), F.lit(" vs "),
-            whole(bwd), F.lit(" packets)"))),
-        "continuous": ((dur > 180) & (minutes >= 60), F.concat(
-            F.lit("Continuous "), s(minutes), F.lit("min connection (unusually long)"))),
-        "persistent": ((dur > 180) & (minutes > 10) & (minutes < 60), F.concat(
-            F.lit("Persistent "), s(minutes), F.lit("min connection"))),
-        "incomplete": ((syn > 10) & (done < 30), F.concat(
-            F.lit("Only "), s(done), F.lit("% connections complete ("), whole(syn), F.lit(" attempts, "),
-            whole(ack), F.lit(" succeeded)"))),
-        "exfiltration": ((dur > 5) & (rate > 50_000), F.concat(
-            short_number(fwd_bytes), F.lit("B transferred at "), short_number(rate), F.lit("B/s (high volume)"))),
-        "burst": (pps > 150, F.concat(
-            F.lit("Burst traffic at "), short_number(pps), F.lit(" packets/sec (potential flood)"))),
-        "push": ((push > fwd * 0.15) & (fwd > 30), F.concat(
-            whole(push), F.lit(" forced push responses from destination (possible C2)"))),
+    tests = {
+        "asymmetry": (bwd < fwd * 0.15) & (fwd > 50), "continuous": (dur > 180) & (minutes >= 60),
+        "persistent": (dur > 180) & (minutes > 10) & (minutes < 60), "incomplete": (syn > 10) & (done < 30),
+        "exfiltration": (dur > 5) & (rate > 50_000), "burst": pps > 150, "push": (push > fwd * 0.15) & (fwd > 30),
     }
+    values = {"ratio": s(ratio), "fwd": short_number(fwd), "bwd": whole(bwd), "minutes": s(minutes), "done": s(done), "syn": whole(syn),
+              "ack": whole(ack), "bytes": short_number(fwd_bytes), "rate": short_number(rate), "pps": short_number(pps), "push": whole(push)}
+    return {code: (test, fill(fv.ANOMALY_TEXTS[code], **values)) for code, test in tests.items()}
 
 
 def anomaly_codes(df: DataFrame) -> Column:
