@@ -65,6 +65,8 @@ BLOCK = 4
 CLASS = 64
 #: Postings blocks opened, or looked up, at a time.
 OPENED = 1 << 19
+#: Words before the pivot that are looked up in a block before its bound is tried again.
+AT_ONCE = 4
 PART_ITEMS, PART_BYTES = 50_000, 32 << 20
 
 #: Characters of scripts written without spaces; each is a word.
@@ -287,15 +289,22 @@ def retrieve(index: Index, window: np.ndarray, term: np.ndarray, threshold: floa
     rest = np.bincount(run, np.where(essential, 0.0, index.term_max[term]), minlength=len(runs) - 1)
     keep = bound + rest[own] >= low
     own, block, bound = own[keep], block[keep], bound[keep]
-    # 2. look the other words up in these blocks
+    # 2. look the other words up in these blocks, those of large maxima first, while the bound holds
     pivots = np.bincount(run, ~essential, minlength=len(runs) - 1).astype(int)  # words before the pivot, first in their run
+    mass = np.r_[0.0, upto]
     found = []
-    for part in slices(pivots[own] + 1, OPENED):
-        o, b = own[part], block[part]
-        where = np.repeat(np.arange(len(o)), pivots[o])
-        word = runs[:-1][o][where] + np.arange(len(where)) - np.repeat(np.cumsum(pivots[o]) - pivots[o], pivots[o])
-        at = lookup(index, term[word], b[where])
-        whole = bound[part] + np.bincount(where, np.where(at >= 0, index.block_max[at], 0.0), minlength=len(o))
+    for part in slices(np.minimum(pivots[own], AT_ONCE) + 1, OPENED):
+        o, b, whole, left = own[part], block[part], bound[part], pivots[own[part]]
+        while left.any():
+            size = np.minimum(left, AT_ONCE)
+            left = left - size
+            where = np.repeat(np.arange(len(o)), size)
+            word = (runs[:-1][o] + left)[where] + np.arange(len(where)) - np.repeat(np.cumsum(size) - size, size)
+            at = lookup(index, term[word], b[where])
+            whole = whole + np.bincount(where, np.where(at >= 0, index.block_max[at], 0.0), minlength=len(o))
+            rest = mass[runs[:-1][o] + left] - mass[runs[:-1][o]]
+            keep = whole + rest >= low
+            o, b, whole, left = o[keep], b[keep], whole[keep], left[keep]
         o, b = o[whole >= low], b[whole >= low]
         # 3. score the items of blocks that are still above
         size = np.diff(runs)[o]
