@@ -24,3 +24,13 @@ def test_draws_are_not_broadcast(spark):
     joins = re.findall(r"(\w+Join) \[[^\]]*row_idx", plan_of(drawn))
     assert joins == ["SortMergeJoin"]
     assert {r["c"]: r["n"] for r in drawn.groupBy("c").agg(F.sum("copies").alias("n")).collect()} == {"a": 380, "b": 1900}
+
+
+def test_fit_rows_are_drawn_by_all_tasks(spark, sf, monkeypatch):
+    """The sample is brought together by an exchange; a coalesce makes one task read the whole split."""
+    written = {}
+    real = learning.materialize
+    monkeypatch.setattr(learning, "materialize", lambda df, label: real(written.setdefault(label, df), label))
+    train, _ = learning.split_flows(spark, sf, 100)
+    assert "Coalesce" not in plan_of(written["fit"]) and "Exchange SinglePartition" in plan_of(written["fit"])
+    assert len(train.inputFiles()) == 1 and 90 <= train.count() <= 110
