@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.operators import alerts as al, features as ft, reports as rp
 from flowlens.queries import query
@@ -12,11 +14,25 @@ from flowlens.session import new_path
 from flowlens.sources import tables as tb
 from flowlens.streaming import flows as sf_, late, state
 
+#: Rows of one file of a feed; a task writes a file, so this bounds what it reads.
+FILE_ROWS = 1_000_000
+
+
+def feed(spark: SparkSession, df: DataFrame, files: int, per_trigger: int, *by: Column) -> DataFrame:
+    """The rows of a table as a stream of ``files`` files, ``per_trigger`` a micro-batch.
+
+    A larger table has as many times the files, and a batch as many times more, as it takes to
+    keep a file near ``FILE_ROWS``: the number of micro-batches stays, and no task grows with the table.
+    """
+    times = max(1, math.ceil(df.count() / (files * FILE_ROWS)))
+    path = new_path(spark, "feed")
+    df.repartition(files * times, *by).write.parquet(path)
+    return sf_.source(spark, path, df.schema, files_per_trigger=per_trigger * times)
+
+
 def replay(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
     """The rows of a table as a stream of several files, two per micro-batch."""
-    path = new_path(spark, "feed")
-    df.repartition(files).write.parquet(path)
-    return sf_.source(spark, path, df.schema, files_per_trigger=2)
+    return feed(spark, df, files, 2)
 
 
 def to_table(spark: SparkSession, stream: DataFrame, on_disk: bool = False) -> DataFrame:
@@ -82,9 +98,7 @@ SELECT start_us, severity, count(*) AS n FROM x GROUP BY 1, 2"""
 def disordered(spark, sf, files: int = 12) -> DataFrame:
     """Enriched alerts as a feed of ``files`` micro-batches in no order of time: most batches hold late rows."""
     alerts = al.enrich(tb.alerts(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")))
-    path = new_path(spark, "feed")
-    alerts.repartition(files, F.xxhash64("flow_id")).write.parquet(path)
-    return sf_.source(spark, path, alerts.schema, files_per_trigger=1)
+    return feed(spark, alerts, files, 1, F.xxhash64("flow_id"))
 
 
 @query("st03_windows_and_late_rows", ST03_SQL)
@@ -164,11 +178,9 @@ def st10(spark, sf):
 @query("st11_reset_stream", "SELECT 'first' AS run, count(*) AS n FROM events UNION ALL SELECT 'after reset', count(*) FROM events")
 def st11(spark, sf):
     """A reset starts from a new checkpoint and a new sink: every row is seen again, once."""
-    feed = new_path(spark, "feed")
-    events = tb.table(spark, sf, "events")
-    events.repartition(2).write.parquet(feed)
+    stream = feed(spark, tb.table(spark, sf, "events"), 2, 100)
     runs = []
     for name in ("first", "after reset"):
-        rows = to_table(spark, sf_.source(spark, feed, events.schema))
+        rows = to_table(spark, stream)
         runs.append(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("run"), "n"))
     return runs[0].unionByName(runs[1])

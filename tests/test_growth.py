@@ -34,3 +34,15 @@ def test_fit_rows_are_drawn_by_all_tasks(spark, sf, monkeypatch):
     train, _ = learning.split_flows(spark, sf, 100)
     assert "Coalesce" not in plan_of(written["fit"]) and "Exchange SinglePartition" in plan_of(written["fit"])
     assert len(train.inputFiles()) == 1 and 90 <= train.count() <= 110
+
+
+def test_files_of_a_feed_are_bounded(spark, tmp_path, monkeypatch):
+    """A larger table has more files, not larger ones, and as many micro-batches as before."""
+    load()
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    monkeypatch.setattr(streams, "new_path", lambda spark, label: str(tmp_path / label))
+    query = sf_.run_to_table(streams.replay(spark, spark.range(1000)), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    sizes = [pq.read_metadata(f).num_rows for f in glob.glob(f"{tmp_path}/feed/*.parquet")]
+    assert sum(sizes) == 1000 and len(sizes) == 20 and max(sizes) <= 60
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 2
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 1000
