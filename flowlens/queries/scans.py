@@ -47,6 +47,8 @@ def _export_value(header: str, k: int) -> str:
     return f"dst_port + {k}" if name.endswith(sch._WHOLE) else f"dst_port / 4.0 + {k}"
 
 
+#: Rows of one file of an export: some 200 MB of text, which one task unpacks.
+EXPORT_FILE_ROWS = 250_000
 _EXPORT = {h: _export_value(h, k) for k, h in enumerate(fv.EXPORT_FEATURES)}
 
 
@@ -59,7 +61,7 @@ def s01_export(spark, sf):
     path = new_path(spark, "export")
     out = {"Flow ID": "flow_id", "Src IP": "src_ip", "Src Port": "src_port", "Dst IP": "dst_ip", "Dst Port": "dst_port", "Timestamp": "ts"}
     raw = flows.select(*[F.col(c).alias(h) for h, c in out.items()], *[F.expr(v).alias(h) for h, v in _EXPORT.items()])
-    sinks.write_csv(raw, path)
+    sinks.write_csv(raw, path, "gzip", EXPORT_FILE_ROWS)
     back = readers.read_export(spark, path)
     names = [sch.feature_column(h) for h in fv.EXPORT_FEATURES]
     kinds = dict(back.dtypes)

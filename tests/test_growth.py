@@ -46,3 +46,14 @@ def test_files_of_a_feed_are_bounded(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 1000 and len(sizes) == 20 and max(sizes) <= 60
     assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 2
     assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 1000
+
+
+def test_export_is_written_compressed(spark, sf, tmp_path):
+    load()
+    assert len(QUERIES["s01_export_scan"](spark, sf).collect()) > 70
+    files = glob.glob(f"{shared_dir(spark)}/flowlens/{run_id(spark)}/export-*/part-*")
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    rows = spark.range(95).select(F.concat(F.lit("f, "), "id").alias("Flow ID"), (F.col("id") / 4).alias("Flow Duration"))
+    sinks.write_csv(rows.coalesce(1), str(tmp_path / "x"), "gzip", 10)
+    assert len(glob.glob(f"{tmp_path}/x/part-*.csv.gz")) == 10
+    assert {tuple(r) for r in readers.read_export(spark, str(tmp_path / "x")).collect()} == {(f"f, {i}", i / 4) for i in range(95)}
