@@ -36,6 +36,28 @@ def test_fit_rows_are_drawn_by_all_tasks(spark, sf, monkeypatch):
     assert len(train.inputFiles()) == 1 and 90 <= train.count() <= 110
 
 
+def lineitem(spark, tmp_path, rows):
+    """A flow table of its own: every 50th row has no order key, every 40th repeats the row before it."""
+    n = F.col("id") - F.when(F.col("id") % 40 == 39, 1).otherwise(0)
+    spark.range(rows).withColumn("n", n).selectExpr(
+        "if(n % 50 = 10, null, n div 4) as l_orderkey", "(n * 37) % 500 as l_partkey", "n % 90 as l_suppkey", "cast(n % 4 as int) as l_linenumber",
+        "cast(n % 50 + 1 as double) as l_quantity", "cast(n * 13 % 9000 as double) as l_extendedprice", "(n % 11) / 100D as l_discount",
+        "(n % 9) / 100D as l_tax", "timestamp_ntz'2022-01-01 00:00:00' as l_shipdate").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_models_fit_on_every_train_row(spark, tmp_path):
+    """All rows are on one side or the other, in a fold, and counted by the queries that return the rows fitted on."""
+    load()
+    own = lineitem(spark, tmp_path, 9000)
+    train, test = learning.split_flows(spark, own)
+    n = train.count()
+    assert n > 6000 and n + test.count() == 9000
+    assert {r["fold"]: r["count"] > n / 4 for r in learning.folded(train).groupBy("fold").count().collect()} == {0: True, 1: True, 2: True}
+    assert QUERIES["fs6_recursive_elimination"](spark, own).first()["n"] == n
+    assert {r["n"] for r in QUERIES["m11_grid_search"](spark, own).collect()} == {n}
+
+
 def test_files_of_a_feed_are_bounded(spark, tmp_path, monkeypatch):
     """A larger table has more files, not larger ones, and as many micro-batches as before."""
     load()
