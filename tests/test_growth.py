@@ -79,3 +79,16 @@ def test_export_is_written_compressed(spark, sf, tmp_path):
     sinks.write_csv(rows.coalesce(1), str(tmp_path / "x"), "gzip", 10)
     assert len(glob.glob(f"{tmp_path}/x/part-*.csv.gz")) == 10
     assert {tuple(r) for r in readers.read_export(spark, str(tmp_path / "x")).collect()} == {(f"f, {i}", i / 4) for i in range(95)}
+
+
+def test_detection_log_is_written_compressed(spark, tmp_path, monkeypatch):
+    """Appended files are compressed and hold a bounded number of rows; the log reads back whole."""
+    monkeypatch.setattr(sinks, "LOG_FILE_ROWS", 10)
+    rows = spark.range(45).selectExpr("timestamp_ntz'2022-01-01 00:00:00' as ts", "concat('f', id) as flow_id", "cast(id % 9 as int) as pred",
+                                      "id / 45 as conf", "cast(id as double) as d").coalesce(1)
+    for model in ("ACA_SVM", "Fuzzy_RF"):
+        sinks.append_detections(sinks.detection_log(rows, model, "pred", "conf", ["d"]), str(tmp_path / "log"))
+    files = glob.glob(f"{tmp_path}/log/part-*")
+    assert len(files) == 10 and all(f.endswith(".json.gz") for f in files)
+    back = readers.read_detection_log(spark, str(tmp_path / "log"))
+    assert {(r["model_name"], r["flow_id"], r["features"]["d"]) for r in back.collect()} == {(m, f"f{i}", float(i)) for m in ("ACA_SVM", "Fuzzy_RF") for i in range(45)}
