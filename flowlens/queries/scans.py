@@ -12,7 +12,7 @@ from flowlens.operators import (
 )
 from flowlens.queries import query
 from flowlens.queries import sql as S
-from flowlens.session import new_path
+from flowlens.session import materialize, new_path, small_methods
 from flowlens.sources import artifacts as ar, readers, schema as sch, sinks, tables as tb
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -61,13 +61,15 @@ def s01_export(spark, sf):
     path = new_path(spark, "export")
     out = {"Flow ID": "flow_id", "Src IP": "src_ip", "Src Port": "src_port", "Dst IP": "dst_ip", "Dst Port": "dst_port", "Timestamp": "ts"}
     raw = flows.select(*[F.col(c).alias(h) for h, c in out.items()], *[F.expr(v).alias(h) for h, v in _EXPORT.items()])
-    sinks.write_csv(raw, path, "gzip", EXPORT_FILE_ROWS)
+    with small_methods(spark):
+        sinks.write_csv(raw, path, "gzip", EXPORT_FILE_ROWS)
     back = readers.read_export(spark, path)
     names = [sch.feature_column(h) for h in fv.EXPORT_FEATURES]
     kinds = dict(back.dtypes)
     entries = [F.struct(F.lit(c).alias("feature"), F.lit(kinds[c]).alias("kind"), F.count(c).alias("n"),
                         F.round(F.sum(F.col(c).cast("double")), 2).alias("total")) for c in names]
-    return back.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+    with small_methods(spark):  # a row per feature
+        return materialize(back.agg(F.array(*entries).alias("e")).select(F.inline("e")), "totals-of-export")
 
 
 _LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",

@@ -7,8 +7,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from flowlens.operators import balance as bl
-from flowlens.queries import QUERIES, learning, load, streams
-from flowlens.session import run_id, shared_dir
+from flowlens.queries import QUERIES, learning, load, scans, streams
+from flowlens.session import run_id, shared_dir, small_methods
 from flowlens.sources import readers, sinks
 from flowlens.streaming import flows as sf_
 
@@ -92,3 +92,21 @@ def test_detection_log_is_written_compressed(spark, tmp_path, monkeypatch):
     assert len(files) == 10 and all(f.endswith(".json.gz") for f in files)
     back = readers.read_detection_log(spark, str(tmp_path / "log"))
     assert {(r["model_name"], r["flow_id"], r["features"]["d"]) for r in back.collect()} == {(m, f"f{i}", float(i)) for m in ("ACA_SVM", "Fuzzy_RF") for i in range(45)}
+
+
+def test_wide_rows_run_in_compiled_methods(spark, sf, monkeypatch):
+    """The export is written and read unfused; the session's own setting comes back, also after an error."""
+    load()
+    name, seen, real = "spark.sql.codegen.hugeMethodLimit", [], {}
+    before = spark.conf.get(name)
+    for module, step in ((sinks, "write_csv"), (scans, "materialize")):
+        real[step] = getattr(module, step)
+        monkeypatch.setattr(module, step, lambda *a, step=step: seen.append((step, spark.conf.get(name))) or real[step](*a))
+    assert QUERIES["s01_export_scan"](spark, sf).count() > 70
+    assert seen == [("write_csv", "8000"), ("materialize", "8000")] and spark.conf.get(name) == before
+    try:
+        with small_methods(spark):
+            raise ValueError
+    except ValueError:
+        pass
+    assert spark.conf.get(name) == before
