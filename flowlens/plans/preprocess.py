@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.operators import balance as bl, clean as cl, encode as en, features as ft, sampling as sp, scaling as sc
-from flowlens.session import materialize
+from flowlens.session import materialize, small_methods
 from flowlens.sources import artifacts as ar, sinks
 from flowlens.sources.schema import numeric_columns, resolve_columns, string_columns, with_ips, with_label
 
@@ -41,6 +41,11 @@ def preprocess(raw: DataFrame, cfg: PreprocessConfig = PreprocessConfig()) -> Pr
     (statistics, dictionaries, scaler fit, splits) read a table instead of
     repeating the duplicate removal, and the logical plan of a pass stays small.
     """
+    with small_methods(raw.sparkSession):
+        return _preprocess(raw, cfg)
+
+
+def _preprocess(raw: DataFrame, cfg: PreprocessConfig) -> Preprocessed:
     df = with_ips(with_label(resolve_columns(raw), cfg.label))
     if cfg.key not in df.columns:
         df = df.withColumn(cfg.key, F.sha2(F.to_json(F.struct("*")), 256))  # exports without an id: one of the whole row

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from flowlens.operators import balance as bl
+from flowlens.plans import preprocess
 from flowlens.queries import QUERIES, learning, load, scans, streams
 from flowlens.session import run_id, shared_dir, small_methods
 from flowlens.sources import readers, sinks
@@ -104,6 +105,11 @@ def test_wide_rows_run_in_compiled_methods(spark, sf, monkeypatch):
         monkeypatch.setattr(module, step, lambda *a, step=step: seen.append((step, spark.conf.get(name))) or real[step](*a))
     assert QUERIES["s01_export_scan"](spark, sf).count() > 70
     assert seen == [("write_csv", "8000"), ("materialize", "8000")] and spark.conf.get(name) == before
+    written = []
+    real["preprocess"] = preprocess.materialize
+    monkeypatch.setattr(preprocess, "materialize", lambda df, label: written.append((label, spark.conf.get(name))) or real["preprocess"](df, label))
+    assert QUERIES["e13_preprocessing"](spark, sf).count() > 10
+    assert written == [("clean", "8000"), ("engineered", "8000"), ("scaled", "8000")] and spark.conf.get(name) == before
     try:
         with small_methods(spark):
             raise ValueError
